@@ -29,38 +29,39 @@ def parse_payload(df: DataFrame, ddl: str, payload: str = "payload", mode: str =
     fields = T._parse_datatype_string(ddl).fields
     names = [field.name for field in fields]
     expected = list(names if required is None else required)
-    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+    lenient = mode.upper() == "PERMISSIVE"
     options = {"mode": mode.upper()}
-    if mode.upper() == "PERMISSIVE":
+    schema = T.StructType(list(fields))
+    if lenient:
+        schema = schema.add(CORRUPT, T.StringType())
         options["columnNameOfCorruptRecord"] = CORRUPT
-    else:
-        schema = T.StructType(fields)
-
-    # The record is parsed once. Only rows in which a required field came out NULL
-    # are read a second time, for the names they really carry.
-    parsed = df.select(*keep, F.col(payload).alias("_text"),
-                       F.from_json(payload, schema, options).alias("_parsed"))
-    present = F.coalesce(F.json_object_keys("_text"), F.array().cast("array<string>"))
+
+    # Unnested through a generator, each record is parsed exactly once: a later
+    # filter on a parsed column cannot be pushed below it and parse again.
+    record = F.array(F.from_json(F.col("_text"), schema, options))
+    parsed = (
+        df.select(*keep, F.col(payload).alias("_text"))
+        .select(*keep, "_text", F.inline(record))
+    )
+    # Only rows in which a required field came out NULL are read a second time,
+    # for the names they really carry.
+    no_names = F.array().cast("array<string>")
+    present = F.coalesce(F.json_object_keys("_text"), no_names)
     absent = F.array_except(F.array(*[F.lit(name) for name in expected]).cast("array<string>"),
                             present)
     suspect = F.lit(False)
     for name in expected:
-        suspect = suspect | F.col(f"_parsed.{name}").isNull()
-    out = parsed.withColumn(MISSING, F.when(suspect, absent)
-                            .otherwise(F.array().cast("array<string>")))
-    if mode.upper() == "PERMISSIVE":
+        suspect = suspect | F.col(name).isNull()
+    missing = F.when(suspect & (F.size(absent) > 0), absent)
+    if lenient:
         # Empty and NULL payloads never reach the parser, so they are marked here.
-        corrupt = F.coalesce(
-            F.col(f"_parsed.{CORRUPT}"),
-            F.when(blank_to_null(F.col("_text")).isNull(), F.coalesce("_text", F.lit(""))),
-        )
-        missing = F.when(corrupt.isNull() & (F.size(MISSING) > 0), F.col(MISSING))
-        return out.select(*keep, *[F.col(f"_parsed.{name}").alias(name) for name in names],
-                          corrupt.alias(CORRUPT), missing.alias(MISSING))
-    message = F.concat(F.lit("record lacks required fields: "), F.array_join(MISSING, ", "))
-    checked = out.filter(F.assert_true(F.size(MISSING) == 0, message).isNull())
-    return checked.select(*keep, *[F.col(f"_parsed.{name}").alias(name) for name in names],
-                          F.lit(None).cast("string").alias(CORRUPT),
+        unread = F.when(blank_to_null(F.col("_text")).isNull(), F.coalesce("_text", F.lit("")))
+        corrupt = F.coalesce(F.col(CORRUPT), unread)
+        return parsed.select(*keep, *names, corrupt.alias(CORRUPT),
+                             F.when(corrupt.isNull(), missing).alias(MISSING))
+    message = F.concat(F.lit("record lacks required fields: "), F.array_join(missing, ", "))
+    checked = parsed.filter(F.assert_true(missing.isNull(), message).isNull())
+    return checked.select(*keep, *names, F.lit(None).cast("string").alias(CORRUPT),
                           F.lit(None).cast("array<string>").alias(MISSING))
 
 

@@ -19,6 +19,7 @@ def run_grain(targets: DataFrame) -> DataFrame:
         F.bool_and(F.coalesce("overall_passed", F.lit(False))).alias("run_clean"),
         F.bool_or(F.col("status") == SKIPPED).alias("run_skipped"),
         F.count(F.lit(1)).alias("targets_checked"),
+        F.count_if(F.col("status") == SKIPPED).alias("targets_skipped"),
     )
 
 
@@ -40,14 +41,7 @@ def readiness(targets: DataFrame) -> DataFrame:
     )
 
 
-def clean_streak(targets: DataFrame) -> DataFrame:
-    """Clean runs in a row up to the latest one; 0 when the latest is not clean.
-
-    Counted as the clean runs after the last unclean one: two plain aggregates
-    instead of a sorted window, so a use case with most of the runs is counted in
-    parts on every task.
-    """
-    runs = run_grain(targets)
+def _streaks(runs: DataFrame, *extra: Column) -> DataFrame:
     position = F.struct("started_at", "recon_run_id")
     broken = (
         runs.groupBy(*GROUP)
@@ -57,10 +51,20 @@ def clean_streak(targets: DataFrame) -> DataFrame:
     return (
         runs.join(broken, list(GROUP))
         .groupBy(*GROUP)
-        .agg(F.count_if(F.col("run_clean") & after).alias("clean_streak"))
+        .agg(F.count_if(F.col("run_clean") & after).alias("clean_streak"), *extra)
     )
 
 
+def clean_streak(targets: DataFrame) -> DataFrame:
+    """Clean runs in a row up to the latest one; 0 when the latest is not clean.
+
+    Counted as the clean runs after the last unclean one: two plain aggregates
+    instead of a sorted window, so a use case with most of the runs is counted in
+    parts on every task.
+    """
+    return _streaks(run_grain(targets))
+
+
 def coverage(targets: DataFrame, as_of: str | datetime, days: int = 30) -> DataFrame:
     """Run rows and skips per use case in the window; absent means not checked at all."""
     return (
@@ -95,11 +99,7 @@ def cutover_gate(targets: DataFrame, quality: DataFrame, needed: int, as_of: str
     skipped, and no ``error`` expectation of the use case was breached in it.
     """
     start = before(as_of, days=days)
-    window_skips = (
-        targets.groupBy(*GROUP)
-        .agg(F.count_if((F.col("status") == SKIPPED) & (F.col("started_at") >= start))
-             .alias("skipped_in_window"))
-    )
+    skips = F.sum(F.when(F.col("started_at") >= start, F.col("targets_skipped")).otherwise(0))
     breaches = (
         quality.filter(~F.col("passed") & (F.col("severity") == "error")
                        & (F.col("evaluated_at") >= start))
@@ -108,8 +108,7 @@ def cutover_gate(targets: DataFrame, quality: DataFrame, needed: int, as_of: str
     cleared = ((F.col("clean_streak") >= needed) & (F.col("skipped_in_window") == 0)
                & (F.col("breaches_in_window") == 0))
     return (
-        clean_streak(targets)
-        .join(window_skips, list(GROUP))
+        _streaks(run_grain(targets), skips.alias("skipped_in_window"))
         .join(breaches, list(GROUP), "left")
         .fillna(0, ["breaches_in_window"])
         .withColumn("cleared", cleared)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import before
+from tidemark.functions.times import before, date_key
 from tidemark.operators import readiness, reports
 from tidemark.queries.catalogue import AS_OF, query, table
 
@@ -15,7 +15,7 @@ def audit_log(spark: SparkSession, sf: str) -> DataFrame:
     failed = F.col("value") < 5
     seconds = F.round("value", 2).cast("decimal(18,6)")
     return table(spark, sf, "events").select(
-        F.date_format("ts", "yyyyMMdd").alias("run_id"), F.col("event_type").alias("task_key"),
+        date_key(F.col("ts")).cast("string").alias("run_id"), F.col("event_type").alias("task_key"),
         F.concat(F.lit("us"), F.col("user_id").cast("string")).alias("use_case"),
         F.lit("prod").alias("env"),
         F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"),
@@ -90,7 +90,7 @@ def load_log(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.get_json_object("props", "$.k"))
     metrics = F.create_map(F.lit("numOutputRows"), reported)
     return table(spark, sf, "events").select(
-        F.date_format("ts", "yyyyMMdd").alias("run_id"), F.col("event_type").alias("source_id"),
+        date_key(F.col("ts")).cast("string").alias("run_id"), F.col("event_type").alias("source_id"),
         F.when(F.col("value") < 50, "us1").otherwise("us2").alias("use_case"),
         F.concat(F.lit("landing.t"), F.col("user_id").cast("string")).alias("target_table"),
         reports.reported_rows(metrics).alias("rows_written"),

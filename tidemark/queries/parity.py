@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.digests import md5_word
-from tidemark.functions.times import ntz
+from tidemark.functions.times import date_key, ntz
 from tidemark.operators import readiness as ready
 from tidemark.operators import recon
 from tidemark.queries.catalogue import AS_OF, query, table
@@ -297,11 +297,11 @@ def parity_runs(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "error", "FAILED").when(kind == "signup", "SKIPPED") \
         .otherwise("PASSED")
-    day = F.date_trunc("DAY", "ts").cast("timestamp_ntz")
+    day = F.col("ts").cast("date").cast("timestamp_ntz")
     return table(spark, sf, "events").select(
         F.concat(F.lit("us"), F.col("user_id").cast("string")).alias("use_case"),
         F.lit("preprod").alias("env"),
-        F.date_format(day, "yyyyMMdd").alias("recon_run_id"), day.alias("started_at"),
+        date_key(day).cast("string").alias("recon_run_id"), day.alias("started_at"),
         F.col("event_id").cast("string").alias("target_name"), status.alias("status"),
         (status == "PASSED").alias("overall_passed"), F.col("props").alias("notes"))
 
