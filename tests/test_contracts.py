@@ -1,0 +1,140 @@
+from datetime import datetime
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tidemark.functions.maps import comparable, text_map
+from tidemark.functions.text import join_keys, split_keys
+from tidemark.functions.times import span_seconds
+from tidemark.operators import contracts, reports
+
+
+@pytest.fixture(scope="module")
+def shape(spark):
+    return contracts.contract("id STRING NOT NULL, n INT, amount DECIMAL(18,2)")
+
+
+def test_contract_orders_columns_by_name(spark, shape):
+    df = spark.createDataFrame([(1, "a")], "n INT, id STRING") \
+        .withColumn("amount", F.lit(1).cast("decimal(18,2)"))
+    assert contracts.enforce(df, shape).columns == ["id", "n", "amount"]
+
+
+def test_contract_lists_every_problem(spark, shape):
+    df = spark.createDataFrame([("a", 1, 2)], "id STRING, n BIGINT, extra INT")
+    with pytest.raises(contracts.ContractError) as caught:
+        contracts.enforce(df, shape)
+    for text in ("missing column amount", "unexpected column extra", "n is bigint, declared int"):
+        assert text in str(caught.value)
+
+
+def test_contract_stops_null_in_required_column(spark, shape):
+    df = spark.createDataFrame([(None, 1)], "id STRING, n INT") \
+        .withColumn("amount", F.lit(None).cast("decimal(18,2)"))
+    with pytest.raises(PySparkException, match="NOT NULL"):
+        contracts.enforce(df, shape).collect()
+
+
+def test_add_column_is_repeatable(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "id STRING")
+    once = contracts.add_column(df, "currency", "string", F.lit("GBP"))
+    edited = once.withColumn("currency", F.when(F.col("id") == "a", "USD"))
+    twice = contracts.add_column(edited, "currency", "string", F.lit("GBP"))
+    assert {r.id: r.currency for r in twice.collect()} == {"a": "USD", "b": "GBP"}
+    assert contracts.add_column(df, "x", "int").first().x is None
+
+
+def test_retype_counts_what_it_loses(spark):
+    df = spark.createDataFrame([("1",), ("x",), ("1.5",), (None,)], "v STRING")
+    row = contracts.lossy_casts(df, "v", "int").first()
+    assert (row.n_values, row.n_lost, row.n_altered) == (3, 2, 0)
+    assert [r.v for r in contracts.retype_column(df, "v", "int").collect()] == \
+        [1, None, None, None]
+    assert contracts.lossy_casts(spark.createDataFrame([(1.25,)], "v DOUBLE"), "v",
+                                 "decimal(4,1)").first().n_altered == 1
+
+
+def test_rename_and_drop(spark):
+    df = spark.createDataFrame([(1, 2)], "a INT, b INT")
+    assert contracts.rename_column(df, "a", "c").columns == ["c", "b"]
+    done = contracts.rename_column(df, "a", "c")
+    assert contracts.rename_column(done, "a", "c").columns == ["c", "b"]
+    with pytest.raises(contracts.ContractError):
+        contracts.rename_column(df, "a", "b")
+    assert contracts.drop_column(df, "a").columns == ["b"]
+
+
+def test_widened(spark):
+    stored = contracts.contract("a INT")
+    assert [f.name for f in contracts.widened(stored, contracts.contract("b INT, a INT"))] == ["b"]
+    with pytest.raises(contracts.ContractError):
+        contracts.widened(stored, contracts.contract("a BIGINT"))
+
+
+def test_option_maps_compare_by_meaning(spark):
+    df = spark.createDataFrame([({"b": 2, "a": 1},), ({},), (None,)], "m MAP<STRING,INT>")
+    out = df.select(text_map(F.col("m")).alias("t"),
+                    comparable(F.col("m"), df.schema["m"].dataType).alias("c")).collect()
+    assert out[0].t == {"a": "1", "b": "2"}
+    assert [(e.key, e.value) for e in out[0].c] == [("a", "1"), ("b", "2")]
+    assert out[1].t is None and out[1].c is None and out[2].c is None
+
+
+def test_key_text(spark):
+    df = spark.createDataFrame([(" a, b,,c ",), (" , ",), (None,)], "csv STRING")
+    out = df.select(split_keys(F.col("csv")).alias("k"),
+                    join_keys(split_keys(F.col("csv"))).alias("t")).collect()
+    assert [(r.k, r.t) for r in out] == [(["a", "b", "c"], "a,b,c"), ([], None), (None, None)]
+
+
+def test_span_is_exact_across_days(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 3, 1, 1, 2, 3, 4))],
+                               "a TIMESTAMP_NTZ, b TIMESTAMP_NTZ")
+    seconds = df.select(span_seconds(F.col("a"), F.col("b"))).first()[0]
+    assert float(seconds) == 60 * 86400 + 3723.000004
+
+
+AUDIT = ("run_id STRING, task_key STRING, use_case STRING, env STRING, status STRING, "
+         "started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ, error_message STRING")
+
+
+def test_freshness_is_scoped_and_windowed(spark):
+    def at(hour):
+        return datetime(2024, 1, 2, hour)
+
+    rows = [("1", "publish", "us1", "prod", "SUCCESS", at(1), at(2), None),
+            ("2", "publish", "us3", "prod", "SUCCESS", at(1), at(9), None),
+            ("3", "publish", "us1", "dev", "SUCCESS", at(1), at(9), None),
+            ("4", "publish", "us1", "prod", "FAILED", at(1), at(9), None),
+            ("5", "other", "us1", "prod", "SUCCESS", at(1), at(9), None)]
+    audit = spark.createDataFrame(rows, AUDIT)
+    ok = reports.freshness(audit, "us1", "prod", ["publish"], 24, "2024-01-02 12:00:00").first()
+    assert (ok.proceed, ok.decision, ok.last_success) == (True, "PROCEED", at(2))
+    late = reports.freshness(audit, "us1", "prod", ["publish"], 5, "2024-01-02 12:00:00").first()
+    assert (late.proceed, late.decision, late.last_success) == (False, "SKIP", None)
+
+
+def test_latest_attempt_has_duration(spark):
+    rows = [("1", "t", "us1", "prod", "FAILED", datetime(2024, 1, 1), datetime(2024, 1, 1, 1),
+             "x" * 3000),
+            ("1", "t", "us1", "prod", "SUCCESS", datetime(2024, 1, 2),
+             datetime(2024, 1, 2, 0, 0, 1, 234567), None)]
+    out = reports.latest_attempt(spark.createDataFrame(rows, AUDIT)).collect()
+    assert [(r.status, r.duration_seconds) for r in out] == [("SUCCESS", 1.235)]
+    first = reports.latest_attempt(spark.createDataFrame(rows[:1], AUDIT)).first()
+    assert len(first.error_message) == 1000
+
+
+def test_inventory_names(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("lake_nonprod", "ann_us1", at), ("lake_nonprod", "ann_us1", at),
+            ("lake_nonprod", "us1", at), ("lake_nonprod", "bob_b_audit", at),
+            ("lakenonprod", "eve_us1", at), ("lake_nonprod", "eve_other", at)]
+    tables = spark.createDataFrame(rows, "table_catalog STRING, table_schema STRING, "
+                                         "last_altered TIMESTAMP_NTZ")
+    out = reports.schema_inventory(tables, "2024-02-15")
+    assert {(r.owner_prefix, r.scope, r.table_count, r.days_idle) for r in out.collect()} == {
+        ("ann", "us1", 2, 45), ("bob_b", "audit", 1, 45)}
+    assert reports.stale_schemas(out, 46).count() == 0
+    assert reports.footprint(out).first().owner_prefix == "ann"

@@ -1,0 +1,208 @@
+import zlib
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import readiness as ready
+from tidemark.operators import recon
+
+DDL = "id BIGINT, name STRING, amount DECIMAL(18,2), ts TIMESTAMP_NTZ"
+
+
+def side(spark, rows):
+    return spark.createDataFrame(rows, DDL)
+
+
+ROWS = [(1, "a", Decimal("1.50"), datetime(2024, 1, 1)),
+        (2, None, Decimal("2.25"), datetime(2024, 1, 2, 0, 0, 0, 500000)),
+        (9007199254740993, "c", None, None)]
+
+CHECKS = [recon.Check("rows", "row_count"), recon.Check("ids", "column_sum", "id"),
+          recon.Check("amounts", "column_sum", "amount"),
+          recon.Check("names", "column_hash", "name"),
+          recon.Check("distinct_names", "distinct_count", "name"),
+          recon.Check("id_span", "min_max", "id"), recon.Check("ts_span", "min_max", "ts"),
+          recon.Check("name_span", "min_max", "name"),
+          recon.Check("some", "row_count", filter_expr="id < 3")]
+
+
+def metrics(df, checks=CHECKS):
+    return {r.check_name: r.metric for r in recon.measure(df, checks).collect()}
+
+
+def test_measure(spark):
+    out = metrics(side(spark, ROWS))
+    assert out["rows"] == 3 and out["some"] == 2 and out["distinct_names"] == 2
+    assert out["ids"] == 9007199254740996
+    assert out["id_span"] == 9007199254740992
+    assert out["amounts"] == Decimal("3.75")
+    assert out["ts_span"] == Decimal("86400.5")
+    assert out["names"] == sum(zlib.crc32(t) for t in (b"a", b"<null>", b"c"))
+
+
+def test_empty_tables_measure_zero(spark):
+    assert set(metrics(side(spark, [])).values()) == {Decimal(0)} or \
+        metrics(side(spark, []))["name_span"] is not None
+    out = metrics(side(spark, []), CHECKS[:7])
+    assert set(out.values()) == {Decimal(0)}
+
+
+def test_a_table_agrees_with_itself_in_any_order(spark):
+    df = side(spark, ROWS)
+    out = recon.compare(recon.measure(df, CHECKS),
+                        recon.measure(df.repartition(3).orderBy(F.desc("id")), CHECKS), CHECKS)
+    assert all(r.passed and r.difference == 0 for r in out.collect())
+
+
+def test_hash_agrees_across_number_types_but_not_values(spark):
+    check = [recon.Check("h", "column_hash", "v")]
+    as_double = spark.createDataFrame([(1.5,), (2.0,)], "v DOUBLE")
+    as_decimal = spark.createDataFrame([(Decimal("2.0"),), (Decimal("1.5"),)], "v DECIMAL(18,2)")
+    other = spark.createDataFrame([(1.5,), (2.1,)], "v DOUBLE")
+    assert metrics(as_double, check) == metrics(as_decimal, check) != metrics(other, check)
+
+
+def test_hash_sum_does_not_overflow(spark):
+    from tidemark.operators.recon import Check, measure
+    total = measure(spark.range(200000).selectExpr("'x' as v"), [Check("h", "column_hash", "v")])
+    assert total.first().metric == 200000 * zlib.crc32(b"x")
+
+
+@pytest.mark.parametrize("legacy, target, tolerance, passed", [
+    (5, 5, 0, True), (5, 6, 0, False), (100, 101, 0.01, True), (100, 99, 0.01, True),
+    (100, 102, 0.01, False), (0, 0, 0.5, True), (0, 1, 0.5, False), (1, 0, 0.5, False),
+    (2**60, 2**60 + 1, 0, False)])
+def test_verdict(spark, legacy, target, tolerance, passed):
+    check = [recon.Check("c", "row_count", tolerance=tolerance,
+                         justification="because" if tolerance else None)]
+    one = [spark.createDataFrame([("c", Decimal(v))], "check_name STRING, metric DECIMAL(38,6)")
+           for v in (legacy, target)]
+    row = recon.compare(*one, check).first()
+    assert row.passed is passed
+    assert row.difference == legacy - target
+    assert (row.relative_diff is None) == (legacy == 0)
+
+
+@pytest.mark.parametrize("settings", [
+    {"check_type": "median"}, {"check_type": "column_sum"},
+    {"check_type": "row_count", "tolerance": 1.0},
+    {"check_type": "row_count", "tolerance": -0.1},
+    {"check_type": "row_count", "tolerance": 0.1}])
+def test_bad_checks_are_refused(settings):
+    with pytest.raises(recon.ReconConfigError):
+        recon.Check("c", **settings)
+
+
+def config(**changes):
+    target = {"name": "t", "target_table": "curated.t", "source_ref": "legacy.t",
+              "key_columns": ["id"],
+              "checks": [{"name": "n", "check_type": "row_count"}], **changes}
+    return {"use_case": "us1", "targets": [target]}
+
+
+def test_config_loads_and_refuses_nonsense():
+    loaded = recon.load_config(config())
+    assert loaded.targets[0].key_columns == ("id",)
+    twice = [{"name": "n", "check_type": "row_count"}] * 2
+    for bad in ({}, {"use_case": "us1", "targets": []}, config(name=""), config(source_ref=""),
+                config(checks=[]), config(checks=twice), config(source_ref="curated.t"),
+                {"use_case": "us1", "targets": config()["targets"] * 2}):
+        with pytest.raises(recon.ReconConfigError):
+            recon.load_config(bad)
+
+
+def test_differences_find_every_kind(spark):
+    ddl = "k STRING, j INT, v INT, w STRING"
+    legacy = spark.createDataFrame([("same", 1, 1, "x"), ("v", 1, 1, "x"), ("gone", 1, 1, "x"),
+                                    (None, 1, 1, "x"), ("dup", 1, 1, "x"), ("dup", 1, 2, "x"),
+                                    ("both", 1, 1, None)], ddl)
+    target = spark.createDataFrame([("same", 1, 1, "x"), ("v", 1, None, "x"), ("new", 1, 1, "x"),
+                                    (None, 1, 1, "x"), ("dup", 1, 1, "x"),
+                                    ("both", 1, 3, "y")], ddl)
+    found = recon.differences(legacy, target, ["k", "j"], ["v", "w"]).collect()
+    assert {(r.k, r.check_name, r.legacy_value, r.target_value) for r in found} == {
+        ("v", "v", "1", None), ("gone", "missing_in_target", "present", None),
+        ("new", "missing_in_legacy", None, "present"), ("dup", "duplicate_key", "2", "1"),
+        ("both", "v", "1", "3"), ("both", "w", None, "y")}
+    assert recon.differences(legacy, legacy, ["k", "j"], ["v"]).count() == 1
+
+
+def test_exceptions_cap_is_optional_and_per_check(spark):
+    legacy = spark.range(50).selectExpr("id", "id as v")
+    target = spark.range(10, 60).selectExpr("id", "id + 1 as v")
+    every = recon.exceptions(legacy, target, ["id"], ["v"], limit=None)
+    assert every.count() == 10 + 10 + 40
+    some = recon.exceptions(legacy, target, ["id"], ["v"], limit=3)
+    assert {(r.check_name, r["count"]) for r in some.groupBy("check_name").count().collect()} \
+        == {("v", 3), ("missing_in_target", 3), ("missing_in_legacy", 3)}
+    assert some.first().key_values == {"id": str(some.first().id)}
+
+
+def test_a_key_repeated_on_both_sides_does_not_multiply(spark):
+    hot = spark.range(30000).selectExpr("if(id % 3 = 0, -1, id) as k", "id as v")
+    found = recon.differences(hot, hot, ["k"], ["v"]).collect()
+    assert [(r.k, r.check_name, r.legacy_value, r.target_value) for r in found] == [
+        (-1, "duplicate_key", "10000", "10000")]
+
+
+RUNS = ("use_case STRING, env STRING, recon_run_id STRING, started_at TIMESTAMP_NTZ, "
+        "target_name STRING, status STRING, overall_passed BOOLEAN, notes STRING")
+
+
+def runs(spark, history):
+    """``{"us1": "PFPP"}``: one run per letter, oldest first; ``p`` adds a failing target."""
+    rows = []
+    for case, letters in history.items():
+        for day, letter in enumerate(letters, 1):
+            status = {"P": "PASSED", "F": "FAILED", "S": "SKIPPED", "p": "PASSED"}[letter]
+            at = datetime(2024, 1, day)
+            rows.append((case, "prod", f"r{day}", at, "a", status, status == "PASSED", None))
+            if letter == "p":
+                rows.append((case, "prod", f"r{day}", at, "b", "FAILED", False, None))
+    return spark.createDataFrame(rows, RUNS)
+
+
+def test_streak_breaks_and_rebuilds(spark):
+    log = runs(spark, {"clean": "PPP", "broken": "PPFPP", "last_bad": "PPF", "skipped": "PPSP",
+                       "one_target": "PPp", "never": "FFF"})
+    out = {r.use_case: r.clean_streak for r in ready.clean_streak(log).collect()}
+    assert out == {"clean": 3, "broken": 2, "last_bad": 0, "skipped": 1, "one_target": 0,
+                   "never": 0}
+    assert ready.clean_streak(log.limit(0)).count() == 0
+
+
+def test_readiness_shows_totals_and_last_run(spark):
+    row = ready.readiness(runs(spark, {"us1": "PSp"})).first()
+    assert (row.total_runs, row.clean_runs, row.skipped_runs) == (3, 1, 1)
+    assert (row.last_run_clean, row.last_run_skipped, row.targets_in_last_run) == (False, False, 2)
+    assert row.last_run_at == datetime(2024, 1, 3)
+
+
+def test_cutover_gate(spark):
+    log = runs(spark, {"ok": "FPPP", "short": "PPFP", "skip": "SPPP", "dirty": "PPPP"})
+    results = spark.createDataFrame(
+        [("dirty", "prod", False, "error", datetime(2024, 1, 3)),
+         ("ok", "prod", False, "warn", datetime(2024, 1, 3)),
+         ("ok", "prod", False, "error", datetime(2023, 1, 3))],
+        "use_case STRING, env STRING, passed BOOLEAN, severity STRING, "
+        "evaluated_at TIMESTAMP_NTZ")
+    out = {r.use_case: r.cleared
+           for r in ready.cutover_gate(log, results, 3, "2024-01-05", 30).collect()}
+    assert out == {"ok": True, "short": False, "skip": False, "dirty": False}
+    recent = {r.use_case: r.cleared
+              for r in ready.cutover_gate(log, results, 3, "2024-01-05", 3).collect()}
+    assert recent["skip"] is True
+
+
+def test_rollup_and_skipped(spark):
+    results = spark.createDataFrame([("t", True), ("t", False), ("u", True)],
+                                    "target_name STRING, passed BOOLEAN")
+    out = {r.target_name: r for r in recon.rollup(results, ["target_name"]).collect()}
+    assert (out["t"].status, out["t"].checks_passed, out["t"].overall_passed) == \
+        ("FAILED", 1, False)
+    assert out["u"].status == "PASSED"
+    skipped = recon.skipped(results, ["target_name"]).collect()
+    assert {(r.status, r.overall_passed, r.checks_passed) for r in skipped} == \
+        {("SKIPPED", False, 0)}

@@ -26,7 +26,7 @@ def parse_payload(df: DataFrame, ddl: str, payload: str = "payload", mode: str =
     upstream field would otherwise read as NULL without a trace. ``mode`` may be
     FAILFAST to stop on the first bad record, missing fields included.
     """
-    fields = T._parse_datatype_string(ddl).fields
+    fields = T.StructType.fromDDL(ddl).fields
     names = [field.name for field in fields]
     expected = list(names if required is None else required)
     lenient = mode.upper() == "PERMISSIVE"

@@ -13,7 +13,7 @@ class ContractError(ValueError):
 
 def contract(ddl: str) -> T.StructType:
     """``"id STRING NOT NULL, amount DECIMAL(18,2)"`` as a schema."""
-    return T._parse_datatype_string(ddl)
+    return T.StructType.fromDDL(ddl)
 
 
 def problems(df: DataFrame, schema: T.StructType) -> list[str]:

@@ -24,14 +24,14 @@ def _options(fmt: str, schema: T.StructType, options: dict[str, str]) -> tuple:
 def read_files(spark: SparkSession, path: str | list[str], fmt: str, ddl: str,
                **options: str) -> DataFrame:
     """Files with a declared schema; nothing is inferred, so nothing is read twice."""
-    schema, options = _options(fmt, T._parse_datatype_string(ddl), options)
+    schema, options = _options(fmt, T.StructType.fromDDL(ddl), options)
     return spark.read.format(fmt).schema(schema).options(**options).load(path)
 
 
 def stream_files(spark: SparkSession, path: str, fmt: str, ddl: str,
                  max_files: int = 1000, **options: str) -> DataFrame:
     """New files in a folder as a stream, a bounded number per micro-batch."""
-    schema, options = _options(fmt, T._parse_datatype_string(ddl), options)
+    schema, options = _options(fmt, T.StructType.fromDDL(ddl), options)
     return (spark.readStream.format(fmt).schema(schema)
             .option("maxFilesPerTrigger", max_files).options(**options).load(path))
 
