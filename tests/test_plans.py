@@ -5,10 +5,14 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality, recon
-from tidemark.plans import audit, landing, reconcile, tables, usecase
+from tidemark.functions.times import ntz
+from tidemark.operators import dims, quality, recon
+from tidemark.operators.contracts import add_column
+from tidemark.plans import audit, evolve, landing, reconcile, tables, usecase
+from tidemark.plans import registry as seeding
 from tidemark.plans.context import RunContext
-from tidemark.sources.registry import SourceSpec
+from tidemark.sources.registry import RegistryError, SourceSpec, declared, read_specs
+from tidemark.streaming.landing import Drained
 
 T0 = datetime(2024, 1, 10, 4)
 
@@ -100,19 +104,35 @@ def test_incremental_curation_equals_a_rebuild(spark, ctx):
     assert grown == rebuilt == {("a", "NEW"), ("b", "SETTLED"), ("c", "NEW")}
 
 
-def test_incremental_curation_reads_the_bucketed_table_in_place(spark, ctx):
-    case = case_for(ctx, buckets=4)
-    put(spark, case, [message("a")])
-    usecase.curate(spark, ctx, case)
-    from tidemark.operators.dims import upsert_latest
-    changes = spark.table(case.curated).repartition(3)
+@pytest.fixture
+def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = upsert_latest(spark.table(case.curated), changes, ["orders_id"], "event_ts") \
-            ._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 1
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def moves(df):
+    """Exchanges of the plan, as text."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_bucketed_tables_are_joined_in_place(spark, ctx, no_broadcast):
+    case = case_for(ctx, buckets=8)
+    put(spark, case, [message(str(i)) for i in range(50)])
+    usecase.curate(spark, ctx, case)
+    usecase.build_marts(spark, ctx, case)
+    curated, dim = spark.table(case.curated), spark.table(case.dim)
+    as_of = ntz(T0)
+
+    changes = usecase.curated_rows(usecase.parsed(spark.table(case.landing), case), case)
+    assert len(moves(dims.upsert_latest(curated, changes, [case.id], "event_ts"))) == 1
+    assert moves(usecase.fact_rows(case, curated, dim, as_of)) == []
+    # Keys of new rows and the counts that number them; neither large side.
+    assert len(moves(usecase.dim_rows(spark, case, curated, as_of))) == 2
+
+    files = spark.table(f"{case.curated}__v1").inputFiles()
+    assert len(files) <= 8
 
 
 def test_dates_of_landing_are_pruned(spark, ctx):
@@ -238,6 +258,13 @@ def test_one_failing_source_does_not_stop_the_others(spark, ctx):
         ("a", 1, None), ("bad", 0, "RuntimeError: no route"), ("b", 1, None)]
     logged = {r.source_id: r.status for r in spark.table(ctx.ops_table("table_load")).collect()}
     assert logged == {"a": "SUCCESS", "bad": "FAILED", "b": "SUCCESS"}
+    with pytest.raises(landing.LandingIncomplete, match=r"2 rows landed: \['bad'\]"):
+        landing.summarise(spark, ctx)
+    other = replace(ctx, run_id="run2")
+    landing.land_all(spark, other, [spec(source_id="a")], lambda s: f"{db}.{s.source_id}",
+                     source(spark, [(9, datetime(2025, 1, 1))]))
+    landing.record_drained(spark, other, [Drained("k", 7, {"rows": 7, "dropped": 2})], str)
+    assert landing.summarise(spark, other) == 6
 
 
 def test_appends_grow_the_schema_and_refuse_a_changed_type(spark, ctx):
@@ -312,3 +339,62 @@ def test_reconcile_skips_when_the_load_did_not_run(spark, ctx):
     assert all(not r.overall_passed and r.checks_passed == 0 and r.notes == gate.reason
                for r in logged)
     assert not spark.catalog.tableExists(ctx.ops_table("parity_check_result"))
+
+
+def declaration(*ids, use_case="us2", **more):
+    return {"use_case": use_case, "sources": [
+        {"source_id": i, "source_system": "oracle", "source_object": "CRM.T",
+         "target_table": i, "load_strategy": "full", **more} for i in ids]}
+
+
+def test_registry_follows_its_declaration(spark, ctx):
+    first = declared(declaration("a", "b", primary_keys="id, no", options={"x": 1}))
+    assert seeding.seed(spark, ctx, first, dry_run=True) == {"insert": 2}
+    assert seeding.stored(spark, ctx).count() == 0
+    assert seeding.seed(spark, ctx, first) == {"insert": 2}
+    assert seeding.seed(spark, ctx, first) == {"unchanged": 2}
+    other = declared(declaration("z", use_case="us9"))
+    assert seeding.seed(spark, ctx, other, use_case="us9") == {"insert": 1, "out_of_scope": 2}
+    assert seeding.seed(spark, ctx, declared(declaration("b", primary_keys="id")),
+                        use_case="us2") == {"update": 1, "deactivate": 1, "out_of_scope": 1}
+    specs = read_specs(seeding.stored(spark, ctx))
+    assert [(s.source_id, s.primary_keys, s.options) for s in specs] == [
+        ("b", ("id",), {}), ("z", (), {})]
+    assert statuses(spark, ctx) == ["SUCCESS"] * 3
+
+
+@pytest.mark.parametrize("raw", [
+    {}, {"use_case": "us2", "sources": []}, declaration("a", "a"), declaration(""),
+    declaration("a", colour="red"), declaration("a", load_strategy="incremental"),
+    declaration("a", options={"partition_column": "id"}), declaration("a", use_case="us1")])
+def test_bad_declarations_are_refused(raw):
+    with pytest.raises((RegistryError, ValueError)):
+        declared(raw, "us2")
+
+
+def test_changes_apply_once_in_order_and_refuse_edits(spark, ctx):
+    table = ctx.ops.replace("ops_", "db_") + ".t"
+    tables.publish(spark.range(3), table)
+    add = evolve.Change("V002__add_x", "a", lambda df: add_column(df, "x", "int", F.lit(5)))
+    double = evolve.Change("V010__double_x", "b", lambda df: df.withColumn("x", F.col("x") * 2))
+    assert evolve.migrate(spark, ctx, table, [double, add]) == ["V002__add_x", "V010__double_x"]
+    assert {r.x for r in spark.table(table).collect()} == {10}
+    assert tables.version_of(spark, table) == 2
+    assert evolve.migrate(spark, ctx, table, [add, double]) == []
+    assert {r.x for r in spark.table(table).collect()} == {10}
+    with pytest.raises(evolve.ChangeError, match="edited"):
+        evolve.migrate(spark, ctx, table, [replace(add, checksum="z"), double])
+    with pytest.raises(evolve.ChangeError, match="share a version"):
+        evolve.migrate(spark, ctx, table, [add, replace(add, filename="V2__other")])
+    with pytest.raises(evolve.ChangeError, match="expected V"):
+        evolve.migrate(spark, ctx, table, [replace(add, filename="add_x")])
+
+
+def test_a_failed_change_is_not_recorded(spark, ctx):
+    table = ctx.ops.replace("ops_", "db_") + ".t"
+    tables.publish(spark.range(3), table)
+    bad = evolve.Change("V001__bad", "a", lambda df: df.withColumn("x", F.raise_error(F.lit("no"))))
+    with pytest.raises(Exception, match="no"):
+        evolve.migrate(spark, ctx, table, [bad])
+    assert spark.table(table).columns == ["id"]
+    assert evolve.migrate(spark, ctx, table, [replace(bad, step=lambda df: df)]) == ["V001__bad"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import ntz
 from tidemark.operators.lineage import stamp
 from tidemark.sources import files, jdbc, kafka, refs, registry
-from tidemark.sources.jdbc import Connection, Split
+from tidemark.sources.jdbc import Connection
+from tidemark.sources.splits import SourceError, Split, split_of
 
 CONN = Connection("jdbc:oracle:thin:@db:1521/x", "u", "p")
 ROWS = [
@@ -77,8 +78,8 @@ def test_jdbc_options_use_a_partitionable_form():
     {"partition_column": "id", "lower_bound": "a", "upper_bound": "9", "num_partitions": "2"},
     {"partition_column": "id", "split_points": "5,3"}])
 def test_incomplete_splits_are_refused(options):
-    with pytest.raises(jdbc.SourceError):
-        jdbc.split_of(options)
+    with pytest.raises(SourceError):
+        split_of(options)
 
 
 @pytest.mark.parametrize("split", [Split("id", 0, 100, 8), Split("id", 5, 7, 8),
@@ -95,14 +96,14 @@ def test_split_predicates_cover_every_row_once(spark, split):
 
 @pytest.mark.parametrize("name", ["T", "a.b.c", "a.b;drop", "a. b", ".b"])
 def test_only_plain_names_reach_the_database(name):
-    with pytest.raises(jdbc.SourceError):
+    with pytest.raises(SourceError):
         jdbc.checked_name(name)
     assert jdbc.checked_name("CRM.CUSTOMER_$1") == "CRM.CUSTOMER_$1"
 
 
 def test_database_reads_refuse_streams(spark):
     spec = registry.spec_of(dict(zip(DDL_NAMES, ROWS[2])))
-    with pytest.raises(jdbc.SourceError):
+    with pytest.raises(SourceError):
         jdbc.read_source(spark, CONN, spec, None)
 
 

@@ -48,18 +48,20 @@ def assign_keys(existing: DataFrame, incoming: DataFrame, natural: str, key: str
     the highest key so far, in natural-key order. Only the natural-key column of
     new rows is sorted and checkpointed.
     """
-    known = existing.select(natural, key)
+    known = existing.select(natural, F.col(key).cast("bigint").alias("_known"))
+    # Copies collapse before the rows move, so a natural key that fills a third of the
+    # batch reaches the anti join once.
     new = (
-        incoming.select(natural)
-        .filter(F.col(natural).isNotNull())
+        incoming.select(natural).filter(F.col(natural).isNotNull()).distinct()
         .join(known, natural, "left_anti")
-        .distinct()
     )
     # One value: the highest key handed out so far.
-    highest = known.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).first()[0]
-    minted = number_rows(new, natural, highest).select(natural, F.col("_number").alias(key))
-    mapping = known.select(natural, F.col(key).cast("bigint").alias(key)).unionByName(minted)
-    return incoming.join(mapping, natural, "left")
+    highest = known.agg(F.coalesce(F.max("_known"), F.lit(0))).first()[0]
+    minted = number_rows(new, natural, highest).select(natural, F.col("_number").alias("_new"))
+    return (
+        incoming.join(known, natural, "left").join(minted, natural, "left")
+        .withColumn(key, F.coalesce("_known", "_new")).drop("_known", "_new")
+    )
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequence[str],

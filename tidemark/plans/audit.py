@@ -34,6 +34,9 @@ SCHEMAS = {
         "run_id STRING, use_case STRING, layer STRING, task_key STRING, level STRING, "
         "logger STRING, message STRING, context MAP<STRING, STRING>, "
         "logged_at TIMESTAMP_NTZ, log_date STRING, env STRING"),
+    "schema_migration": (
+        "use_case STRING, target_table STRING, version INT, name STRING, filename STRING, "
+        "checksum STRING, applied_at TIMESTAMP_NTZ, run_id STRING, env STRING"),
     "parity_run": (
         "recon_run_id STRING, use_case STRING, target_name STRING, layer STRING, "
         "target_table STRING, source_ref STRING, status STRING, checks_total INT, "

@@ -16,6 +16,7 @@ from tidemark.operators.lineage import stamp
 from tidemark.plans import audit, tables
 from tidemark.plans.context import RunContext
 from tidemark.sources.registry import SourceSpec
+from tidemark.streaming.landing import Drained
 
 Reader = Callable[[SourceSpec, "datetime | int | None"], DataFrame]
 
@@ -124,3 +125,33 @@ def copy_layer(spark: SparkSession, ctx: RunContext, source: str, target: str) -
     done = tables.publish(spark.table(source), target)
     audit.record_load(spark, ctx, source, target, done.rows, "full")
     return done.rows
+
+
+class LandingIncomplete(RuntimeError):
+    """Some sources of a run did not land."""
+
+
+def summarise(spark: SparkSession, ctx: RunContext) -> int:
+    """Rows landed by this run; an error that names the sources that failed.
+
+    Runs after the loads whatever became of them: a partial failure is when the
+    summary matters.
+    """
+    loads = spark.table(ctx.ops_table("table_load")).filter(
+        (F.col("env") == ctx.env) & (F.col("run_id") == ctx.run_id)
+        & (F.col("use_case") == ctx.use_case))
+    total = loads.agg(F.coalesce(F.sum("rows_written"), F.lit(0))).first()[0]
+    # One row per failed source of one run.
+    failed = [row.source_id for row in loads.filter(F.col("status") == audit.RUN_FAILED)
+              .select("source_id").orderBy("source_id").collect()]
+    if failed:
+        raise LandingIncomplete(f"{len(failed)} source(s) failed, {total} rows landed: {failed}")
+    return int(total)
+
+
+def record_drained(spark: SparkSession, ctx: RunContext, drained: Sequence[Drained],
+                   table_of: Callable[[str], str]) -> None:
+    """Copy what the streams counted to the load log, so that one query answers what landed."""
+    for done in drained:
+        audit.record_load(spark, ctx, done.source_id, table_of(done.source_id), done.rows_kept,
+                          "cdc_stream")

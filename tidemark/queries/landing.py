@@ -16,8 +16,9 @@ from tidemark.operators.dedupe import dedupe_latest as latest
 from tidemark.operators.lineage import stamp
 from tidemark.queries.catalogue import AS_OF, query, table
 from tidemark.sources import files, registry
-from tidemark.sources.jdbc import Split, newer_than
+from tidemark.sources.jdbc import newer_than
 from tidemark.sources.kafka import decode_envelope as decode
+from tidemark.sources.splits import Split
 
 # The statuses a curated table understands.
 STATUSES = ("NEW", "ACTIVE", "SETTLED", "CANCELLED")
