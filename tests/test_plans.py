@@ -284,9 +284,9 @@ def test_old_log_days_are_dropped_whole(spark, ctx):
         at = replace(ctx, clock=Clock(datetime(2024, 1, day)))
         audit.log(spark, at, "landing", [("INFO", "here", f"day {day}", {"a": "b"})])
     name = ctx.ops_table("application_log")
-    assert tables.drop_expired_partitions(spark, name, "log_date", "2024-01-03") == 2
+    assert tables.drop_expired_days(spark, name, "log_date", "2024-01-03") == 2
     assert [r.message for r in spark.table(name).collect()] == ["day 3"]
-    assert tables.drop_expired_partitions(spark, name, "log_date", "2024-01-03") == 0
+    assert tables.drop_expired_days(spark, name, "log_date", "2024-01-03") == 0
 
 
 def test_publish_keeps_earlier_versions_for_running_readers(spark, ctx):

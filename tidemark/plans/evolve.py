@@ -39,11 +39,12 @@ class Change:
 
 
 def migrate(spark: SparkSession, ctx: RunContext, table: str,
-            changes: Sequence[Change]) -> list[str]:
+            changes: Sequence[Change], **layout) -> list[str]:
     """Apply what is pending, in order of version, and return its names.
 
     All pending steps are one rewrite of the table, not one each. They are recorded
-    once the new table shows; a change edited after it was applied is refused.
+    once the new table shows; a change edited after it was applied is refused. ``layout``
+    is the table's bucketing, which the rewrite has to keep.
     """
     ordered = sorted(changes, key=lambda change: change.version)
     versions = [change.version for change in ordered]
@@ -66,7 +67,8 @@ def migrate(spark: SparkSession, ctx: RunContext, table: str,
     pending = [change for change in ordered if states[change.filename] == "pending"]
     if pending:
         with audit.audited(spark, ctx, "curated"):
-            tables.publish(reduce(lambda df, c: c.step(df), pending, spark.table(table)), table)
+            tables.publish(reduce(lambda df, c: c.step(df), pending, spark.table(table)), table,
+                           **layout)
             now = ctx.clock()
             audit.record(spark, ctx, "schema_migration", [
                 {"target_table": table, "version": c.version, "name": NAME.match(c.filename)[2],

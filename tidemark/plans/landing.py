@@ -29,8 +29,14 @@ class Landed:
     error: str | None = None
 
 
+def _marks_table(ctx: RunContext) -> str:
+    # One table per use case: its landing job runs once at a time, jobs of several use
+    # cases run side by side and must not replace each other's marks.
+    return ctx.ops_table(f"landing_watermark_{ctx.use_case}")
+
+
 def _marks(spark: SparkSession, ctx: RunContext) -> DataFrame:
-    name = ctx.ops_table("landing_watermark")
+    name = _marks_table(ctx)
     if spark.catalog.tableExists(name):
         return spark.table(name)
     return spark.createDataFrame([], sync.MARKS_DDL)
@@ -46,14 +52,14 @@ def _store_mark(spark: SparkSession, ctx: RunContext, source_id: str,
     row = (source_id, mark if dated else None, None if dated else int(mark), None)
     batch = spark.createDataFrame([row], sync.MARKS_DDL)
     moved = sync.advance(_marks(spark, ctx), batch, ntz(ctx.clock()))
-    tables.publish(moved.coalesce(1), ctx.ops_table("landing_watermark"))
+    tables.publish(moved.coalesce(1), _marks_table(ctx))
 
 
 def reset_mark(spark: SparkSession, ctx: RunContext, source_id: str,
                mark: datetime | int) -> None:
     """Set a mark back, so that the next run reloads from there."""
     moved = sync.reset(_marks(spark, ctx), source_id, mark, ntz(ctx.clock()))
-    tables.publish(moved.coalesce(1), ctx.ops_table("landing_watermark"))
+    tables.publish(moved.coalesce(1), _marks_table(ctx))
 
 
 def _write(ctx: RunContext, df: DataFrame, spec: SourceSpec, table: str) -> tuple:

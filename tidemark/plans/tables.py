@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -136,15 +136,23 @@ def append(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
     writer.mode("append").format("parquet").saveAsTable(name)
 
 
-def drop_expired_partitions(spark: SparkSession, name: str, column: str, keep_from: str) -> int:
-    """Drop whole partitions below ``keep_from``: a catalog change, no data is rewritten."""
-    listed = [row[0] for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
-    expired = []
-    for partition in listed:
-        values = dict(part.split("=", 1) for part in partition.split("/"))
-        if values[column] < keep_from:
-            expired.append(", ".join(f"{k} = '{v}'" for k, v in values.items()))
-    if expired:
-        specs = ", ".join(f"PARTITION ({spec})" for spec in expired)
+def drop_partitions(spark: SparkSession, name: str,
+                    expired: Callable[[dict[str, str]], bool]) -> int:
+    """Drop whole partitions: a catalog change, no data is rewritten.
+
+    What is listed is one row per partition, never the rows in it.
+    """
+    dropped = []
+    for row in spark.sql(f"SHOW PARTITIONS {name}").collect():
+        values = dict(part.split("=", 1) for part in row[0].split("/"))
+        if expired(values):
+            dropped.append(", ".join(f"{k} = '{v}'" for k, v in values.items()))
+    if dropped:
+        specs = ", ".join(f"PARTITION ({spec})" for spec in dropped)
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {specs}")
-    return len(expired)
+    return len(dropped)
+
+
+def drop_expired_days(spark: SparkSession, name: str, column: str, keep_from: str) -> int:
+    """Retention of a log partitioned by day: drop the days before ``keep_from``."""
+    return drop_partitions(spark, name, lambda values: values[column] < keep_from)

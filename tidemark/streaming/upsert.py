@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,37 +15,51 @@ from tidemark.plans import tables
 BATCH = "_batch"
 
 
+def _create(spark: SparkSession, changes: str, rows: DataFrame) -> None:
+    tables.ensure_database(spark, changes)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {changes} ({columns}, {BATCH} BIGINT) USING parquet "
+              f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({BATCH})")
+
+
 def collect_changes(stream: DataFrame, keys: Sequence[str], order_by: str, changes: str,
                     checkpoint: str, name: str = "changes") -> int:
-    """Drain a stream into ``changes``, one partition per micro-batch, one row per key.
+    """Drain a stream into the table ``changes``: one partition per micro-batch, one row
+    per key and batch.
 
     A replayed batch overwrites its own partition, so it counts once. Returns the
     number of micro-batches that ran.
     """
+    _create(stream.sparkSession, changes, stream)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         latest = dedupe_latest(batch, keys, order_by)
-        (latest.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(changes))
+        (latest.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").insertInto(changes))
 
     query = (stream.writeStream.foreachBatch(keep).queryName(name)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
+    # The batches were written by the stream's own session; drop this one's file list.
+    stream.sparkSession.catalog.refreshTable(changes)
     return len({p["batchId"] for p in query.recentProgress if p["numInputRows"]})
 
 
 def fold(spark: SparkSession, changes: str, table: str, keys: Sequence[str], order_by: str,
-         **layout) -> tables.Published | None:
+         **layout: Any) -> tables.Published | None:
     """Merge the batches not folded yet into ``table``; None when there are none.
 
     The table is rewritten once per drain, not once per micro-batch, and records the last
-    batch it contains: running it again after a crash changes nothing.
+    batch it contains. Folded batches are dropped; one that is left behind by a crash,
+    or replayed later, is recognised by its number and not folded again.
     """
-    pending = spark.read.parquet(changes).filter(F.col(BATCH) > tables.folded_up_to(spark, table))
+    pending = spark.table(changes).filter(F.col(BATCH) > tables.folded_up_to(spark, table))
     last = pending.agg(F.max(BATCH)).first()[0]
     if last is None:
         return None
     latest = dedupe_latest(pending.filter(F.col(BATCH) <= last).drop(BATCH), keys, order_by)
     if spark.catalog.tableExists(table):
         latest = upsert_latest(spark.table(table), latest, keys, order_by)
-    return tables.publish(latest, table, up_to=last, **layout)
+    done = tables.publish(latest, table, up_to=last, **layout)
+    tables.drop_partitions(spark, changes, lambda values: int(values[BATCH]) <= last)
+    return done
