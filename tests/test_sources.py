@@ -118,6 +118,13 @@ def test_newer_is_strict_and_first_load_reads_all(spark):
     assert [r.id for r in jdbc.newer_than(df, "id", 2).collect()] == [3]
 
 
+def test_overlap_sets_the_mark_back():
+    at = datetime(2024, 1, 1)
+    assert jdbc.looked_back(at, 3600) == datetime(2023, 12, 31, 23)
+    assert (jdbc.looked_back(100, 10), jdbc.looked_back(None, 10), jdbc.looked_back(at, 0)) \
+        == (90, None, at)
+
+
 def test_mark_reaches_the_scan(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = jdbc.newer_than(orders, "o_orderdate", datetime(2000, 1, 1)) \
