@@ -19,6 +19,7 @@ from tidemark.operators.contracts import contract, enforce
 from tidemark.operators.dedupe import dedupe_latest
 from tidemark.plans import audit, tables
 from tidemark.plans.context import RunContext
+from tidemark.sources.refs import open_ref
 
 # The statuses the marts understand, and the currency when none is given.
 STATUSES = ("NEW", "ACTIVE", "SETTLED", "CANCELLED")
@@ -27,7 +28,10 @@ DEFAULT_CURRENCY = "USD"
 
 @dataclass(frozen=True)
 class UseCase:
-    """The nouns of a use case: its entity, and the tables it reads and owns."""
+    """The nouns of a use case: its entity, and the tables it reads and owns.
+
+    ``landing`` is a table, or the folder a stream lands in (``parquet:/path``).
+    """
 
     entity: str
     landing: str
@@ -146,7 +150,7 @@ def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error:
     previous curated table in place and the task FAILED.
     """
     with audit.audited(spark, ctx, "curated"):
-        landed = spark.table(case.landing)
+        landed = open_ref(spark, case.landing)
         if since:
             landed = landed.filter(F.col("_load_date") >= since)
         if sample_rows:

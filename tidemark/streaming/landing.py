@@ -17,6 +17,11 @@ DROP = (not_null("kafka_offset"),)
 WARN = (Expectation("payload_not_empty", "payload IS NOT NULL AND length(payload) > 0", "warn"),)
 
 
+LOAD_DATE = "_load_date"
+# Progress reports kept per query: one for each micro-batch of a drain.
+PROGRESS, MAX_BATCHES = "spark.sql.streaming.numRecentProgressUpdates", 100_000
+
+
 @dataclass(frozen=True)
 class Drained:
     """What one drain of a source did."""
@@ -59,6 +64,11 @@ def drop_replays(stream: DataFrame, keys: Sequence[str], event_time: str,
     return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark(list(keys))
 
 
+def dated(stream: DataFrame) -> DataFrame:
+    """Add the load date, by which landing is partitioned and curation prunes."""
+    return stream.withColumn(LOAD_DATE, F.date_format("_ingested_at", "yyyy-MM-dd"))
+
+
 def start(stream: DataFrame, path: str, checkpoint: str, name: str,
           partition_by: Sequence[str] = ()) -> StreamingQuery:
     """Append everything available now to a folder of Parquet files, then stop.
@@ -71,16 +81,22 @@ def start(stream: DataFrame, path: str, checkpoint: str, name: str,
               .trigger(availableNow=True))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return writer.start()
+    # A query takes the setting over when it starts; the session gets its own back.
+    conf = stream.sparkSession.conf
+    before = conf.get(PROGRESS)
+    conf.set(PROGRESS, str(max(int(before), MAX_BATCHES)))
+    try:
+        return writer.start()
+    finally:
+        conf.set(PROGRESS, before)
 
 
 def totals(query: StreamingQuery, source_id: str, name: str = "expectations") -> Drained:
     """Sum what every micro-batch of a finished query reported."""
     progress = query.recentProgress
-    batches = [p["batchId"] for p in progress]
-    if batches and batches[-1] - batches[0] + 1 > len(set(batches)):
-        raise RuntimeError(f"{source_id}: progress of some batches is no longer held; raise "
-                           "spark.sql.streaming.numRecentProgressUpdates")
+    if len(progress) >= MAX_BATCHES:
+        raise RuntimeError(f"{source_id}: landed, but with more batches than progress is kept "
+                           "for, so the counts are incomplete")
     counts: dict[str, int] = {}
     for p in progress:
         observed = p["observedMetrics"].get(name)
