@@ -81,6 +81,12 @@ def test_surrogate_keys_from_nothing(spark):
     assert out.select("k").distinct().count() == 5000
 
 
+def test_surrogate_keys_when_nothing_is_new(spark):
+    known = spark.createDataFrame([("a", 4)], "id STRING, k BIGINT")
+    out = dims.assign_keys(known, spark.createDataFrame([("a",)], "id STRING"), "id", "k")
+    assert [(r.id, r.k) for r in out.collect()] == [("a", 4)]
+
+
 def test_surrogate_keys_survive_repeated_input(spark):
     incoming = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "id STRING, v INT")
     empty = spark.createDataFrame([], "id STRING, k BIGINT")

@@ -197,6 +197,19 @@ def test_audit_writes_one_row_and_lets_the_error_go_on(spark, ctx):
     assert (row.duration_seconds, row.env) == (1.0, "prod")
 
 
+def test_bootstrap_is_repeatable_and_takes_every_row(spark, ctx):
+    for _ in range(2):
+        audit.bootstrap(spark, ctx.ops)
+    with audit.audited(spark, ctx, "landing"):
+        audit.log(spark, ctx, "landing", [("WARN", "here", "text", {"k": "v"})])
+        audit.record_load(spark, ctx, "s", "t", 3, "full")
+    for name, rows in (("job_run", 1), ("application_log", 1), ("table_load", 1),
+                       ("parity_run", 0)):
+        assert spark.table(ctx.ops_table(name)).count() == rows
+    row = spark.table(ctx.ops_table("application_log")).first()
+    assert (row.message, row.context, row.log_date) == ("text", {"k": "v"}, "2024-01-10")
+
+
 def test_context_needs_ids():
     with pytest.raises(ValueError):
         RunContext("", "t", "us1", "prod")

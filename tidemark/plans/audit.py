@@ -56,6 +56,15 @@ SCHEMAS = {
 _PARTITIONS = {"application_log": ("env", "log_date")}
 
 
+def bootstrap(spark: SparkSession, ops: str = "ops") -> None:
+    """Create the evidence tables that do not exist yet, before jobs run side by side."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {ops}")
+    for table, ddl in SCHEMAS.items():
+        keys = ", ".join(_PARTITIONS.get(table, ("env",)))
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {ops}.{table} ({ddl}) USING parquet "
+                  f"PARTITIONED BY ({keys})")
+
+
 def record(spark: SparkSession, ctx: RunContext, table: str,
            rows: Sequence[Mapping[str, Any]]) -> None:
     """Append rows with bound values to an evidence table, partitioned by environment."""

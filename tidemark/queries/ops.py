@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import before, date_key
-from tidemark.operators import readiness, reports
+from tidemark.operators import readiness, recon, reports
 from tidemark.queries.catalogue import AS_OF, query, table
 
 
@@ -62,6 +62,24 @@ def freshness_one(spark: SparkSession, sf: str) -> DataFrame:
                              AS_OF)
 
 
+@query(f"""{_AUDIT_SQL},
+late AS (SELECT use_case, env FROM audit GROUP BY use_case, env
+         HAVING count(*) FILTER (WHERE status = 'SUCCESS' AND task_key IN ('purchase', 'view')
+                  AND ended_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS) = 0)
+SELECT use_case, env, task_key AS target_name, CAST(count(*) AS INTEGER) AS checks_total,
+       0 AS checks_passed, 0 AS checks_failed, FALSE AS overall_passed, 'SKIPPED' AS status
+FROM audit JOIN late USING (use_case, env) GROUP BY use_case, env, task_key
+""")
+def recon_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Run rows of the use cases whose load is late: every target skipped, none clean."""
+    log = audit_log(spark, sf)
+    decisions = reports.freshness_by_use_case(log, ["purchase", "view"], 24, AS_OF)
+    late = decisions.filter(~F.col("proceed")).select("use_case", "env")
+    planned = log.withColumnRenamed("task_key", "target_name")
+    return recon.skipped(planned.join(late, ["use_case", "env"], "left_semi"),
+                         ["use_case", "env", "target_name"])
+
+
 @query(f"""{_AUDIT_SQL}
 SELECT started_at, use_case, task_key, status, left(error_message, 40) AS error_message
 FROM audit WHERE status = 'FAILED' AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS

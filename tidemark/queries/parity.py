@@ -191,16 +191,6 @@ def recon_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return recon.rollup(_compared(spark, sf), ["target_name"])
 
 
-@query(f"""{_COMPARED_SQL}
-SELECT target_name, CAST(count(*) AS INTEGER) AS checks_total, 0 AS checks_passed,
-       0 AS checks_failed, FALSE AS overall_passed, 'SKIPPED' AS status
-FROM v GROUP BY target_name
-""")
-def recon_skipped(spark: SparkSession, sf: str) -> DataFrame:
-    """What is recorded when the load had not run: every target skipped, none clean."""
-    return recon.skipped(_compared(spark, sf), ["target_name"])
-
-
 @query(f"""{_COMPARED_SQL}
 SELECT target_name, check_name, legacy_metric, target_metric, difference,
        round(relative_diff, 9) AS relative_diff, TIMESTAMP '{AS_OF}' AS evaluated_at
