@@ -68,8 +68,9 @@ def test_unknown_values_ignores_blank_and_known(spark):
 
 
 def test_snake_case(spark):
-    assert [snake_case(n) for n in ("OrderID", "order-Id", " ORDER ID ", "HTTPCode2X", "a__b")] \
-        == ["order_id", "order_id", "order_id", "http_code2_x", "a_b"]
+    assert [snake_case(n) for n in ("OrderID", "order-Id", " ORDER ID ", "HTTPCode2X", "a__b",
+                                         "_ingested_at")] \
+        == ["order_id", "order_id", "order_id", "http_code2_x", "a_b", "_ingested_at"]
     with pytest.raises(ValueError):
         snake_case_columns(spark.createDataFrame([(1, 2)], "OrderId INT, order_id INT"))
 

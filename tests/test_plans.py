@@ -77,6 +77,34 @@ def test_curate_keeps_latest_and_quarantines_the_unreadable(spark, ctx):
     assert statuses(spark, ctx) == ["SUCCESS"]
 
 
+def test_quarantine_follows_what_was_read(spark, ctx):
+    case = case_for(ctx)
+
+    def reasons():
+        return sorted((r._load_date, r.reason) for r in spark.table(case.quarantine).collect())
+
+    put(spark, case, [message("a"), "{"])
+    usecase.curate(spark, ctx, case)
+    usecase.curate(spark, ctx, case)
+    assert reasons() == [("2024-01-10", "corrupt")]
+    put(spark, case, [message(None)], at=T0 + timedelta(days=1), load_date="2024-01-11")
+    for _ in range(2):
+        usecase.curate(spark, ctx, case, since="2024-01-11")
+        assert reasons() == [("2024-01-10", "corrupt"), ("2024-01-11", "no id")]
+
+
+def test_a_database_table_is_curated_from_its_columns(spark, ctx):
+    case = case_for(ctx, "customers")
+    rows = spark.createDataFrame(
+        [("c1", "2024-01-01 00:00:00", "active ", 3.0, None), (None, None, None, None, None)],
+        "CUSTOMERS_ID STRING, `Event-TS` STRING, STATUS STRING, AMOUNT DOUBLE, CURRENCY STRING")
+    landing.land(spark, ctx, spec("full"), case.landing, lambda *_: rows)
+    usecase.curate(spark, ctx, case)
+    row = spark.table(case.curated).first()
+    assert (row.customers_id, row.status, row.currency) == ("c1", "ACTIVE", "USD")
+    assert [r.reason for r in spark.table(case.quarantine).collect()] == ["no id"]
+
+
 def test_a_breach_keeps_the_old_table_and_fails_the_task(spark, ctx):
     case = case_for(ctx)
     put(spark, case, [message("a")])

@@ -142,6 +142,14 @@ def test_differences_find_every_kind(spark):
     assert recon.differences(legacy, legacy, ["k", "j"], ["v"]).count() == 1
 
 
+def test_maps_are_compared_by_their_entries(spark):
+    rows = [(1, {"a": "1", "b": "2"}), (2, {"a": "1"})]
+    legacy = spark.createDataFrame(rows, "id INT, m MAP<STRING,STRING>")
+    target = spark.createDataFrame([(1, {"b": "2", "a": "1"}), (2, {"a": "2"})],
+                                   "id INT, m MAP<STRING,STRING>")
+    assert [r.id for r in recon.differences(legacy, target, ["id"], ["m"]).collect()] == [2]
+
+
 def test_exceptions_cap_is_optional_and_per_check(spark):
     legacy = spark.range(50).selectExpr("id", "id as v")
     target = spark.range(10, 60).selectExpr("id", "id + 1 as v")

@@ -39,9 +39,12 @@ def join_keys(keys: Column) -> Column:
 
 
 def snake_case(name: str) -> str:
-    """``OrderID`` / ``Order-Id`` / ``ORDER ID`` -> ``order_id``."""
+    """``OrderID`` / ``Order-Id`` / ``ORDER ID`` -> ``order_id``.
+
+    The leading underscore of a framework column stays.
+    """
     words = _SEPARATORS.sub("_", _WORD_EDGE.sub("_", name.strip()))
-    return words.strip("_").lower()
+    return ("_" if name.startswith("_") else "") + words.strip("_").lower()
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:

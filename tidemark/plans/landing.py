@@ -138,7 +138,8 @@ class LandingIncomplete(RuntimeError):
 
 
 def summarise(spark: SparkSession, ctx: RunContext) -> int:
-    """Rows landed by this run; an error that names the sources that failed.
+    """Rows landed by this run; an error that names the sources that failed and did not
+    land in a later attempt.
 
     Runs after the loads whatever became of them: a partial failure is when the
     summary matters.
@@ -146,13 +147,15 @@ def summarise(spark: SparkSession, ctx: RunContext) -> int:
     loads = spark.table(ctx.ops_table("table_load")).filter(
         (F.col("env") == ctx.env) & (F.col("run_id") == ctx.run_id)
         & (F.col("use_case") == ctx.use_case))
-    total = loads.agg(F.coalesce(F.sum("rows_written"), F.lit(0))).first()[0]
-    # One row per failed source of one run.
-    failed = [row.source_id for row in loads.filter(F.col("status") == audit.RUN_FAILED)
-              .select("source_id").orderBy("source_id").collect()]
+    # One row per source of one run.
+    last = loads.groupBy("source_id").agg(
+        F.max_by("status", "loaded_at").alias("status"),
+        F.sum("rows_written").alias("n_rows")).orderBy("source_id").collect()
+    total = sum(row.n_rows or 0 for row in last)
+    failed = [row.source_id for row in last if row.status == audit.RUN_FAILED]
     if failed:
         raise LandingIncomplete(f"{len(failed)} source(s) failed, {total} rows landed: {failed}")
-    return int(total)
+    return total
 
 
 def record_drained(spark: SparkSession, ctx: RunContext, drained: Sequence[Drained],

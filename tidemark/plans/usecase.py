@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import snake_case_columns
 from tidemark.functions.times import ntz
 from tidemark.operators import dims, quality
 from tidemark.operators.conform import CORRUPT, MISSING, Field, conform, parse_payload
@@ -97,7 +98,15 @@ class UseCase:
 
 
 def parsed(landed: DataFrame, case: UseCase) -> DataFrame:
-    return parse_payload(landed, case.payload, keep=["_ingested_at", "payload"])
+    """The record of each landed row: read from its payload, or, where a database table was
+    landed column by column, its columns under conventional names."""
+    if "payload" in landed.columns:
+        return parse_payload(landed, case.payload, keep=["_ingested_at", "payload"])
+    named = snake_case_columns(landed)
+    names = contract(case.payload).names
+    return named.select(
+        "_ingested_at", F.to_json(F.struct(*names)).alias("payload"), *names,
+        F.lit(None).cast("string").alias(CORRUPT), F.lit(None).cast("array<string>").alias(MISSING))
 
 
 def usable(case: UseCase) -> Column:
@@ -118,8 +127,19 @@ def rejected_rows(records: DataFrame, case: UseCase) -> DataFrame:
               .when(F.col(MISSING).isNotNull(),
                     F.concat(F.lit("missing: "), F.array_join(MISSING, ",")))
               .otherwise("no id"))
-    return records.filter(~usable(case)).select("payload", "_ingested_at",
-                                                reason.alias("reason"))
+    return records.filter(~usable(case)).select(
+        "payload", "_ingested_at", reason.alias("reason"),
+        F.date_format("_ingested_at", "yyyy-MM-dd").alias("_load_date"))
+
+
+def _quarantine(spark: SparkSession, case: UseCase, rejects: DataFrame | None,
+                since: str | None) -> None:
+    """Replace the quarantined rows of the load dates that were read."""
+    if spark.catalog.tableExists(case.quarantine):
+        tables.drop_partitions(spark, case.quarantine,
+                               lambda values: not since or values["_load_date"] >= since)
+    if rejects is not None:
+        tables.replace_partitions(rejects, case.quarantine, "_load_date")
 
 
 def _gate(spark: SparkSession, ctx: RunContext, staged: tables.Staged,
@@ -163,10 +183,9 @@ def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error:
             rows = dims.upsert_latest(spark.table(case.curated), rows, [case.id], "event_ts")
         staged = tables.stage(rows, case.curated, quality.violation_counts(case.curated_checks),
                               **case.layout())
-        if seen.get["n_rejected"]:
-            # Landing is read a second time only when there is something to quarantine.
-            rejects = rejected_rows(records, case).withColumn("_run_id", F.lit(ctx.run_id))
-            tables.append(rejects, case.quarantine)
+        # Landing is read a second time only when there is something to quarantine.
+        rejects = rejected_rows(records, case) if seen.get["n_rejected"] else None
+        _quarantine(spark, case, rejects, since)
         _gate(spark, ctx, staged, case.curated_checks, raise_on_error)
         done = tables.swap(spark, staged)
         audit.record_load(spark, ctx, f"{case.entity}_curated", case.curated, done.rows,

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.dedupe import dedupe_latest
 from tidemark.operators.dims import upsert_latest
@@ -15,13 +16,6 @@ from tidemark.plans import tables
 BATCH = "_batch"
 
 
-def _create(spark: SparkSession, changes: str, rows: DataFrame) -> None:
-    tables.ensure_database(spark, changes)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {changes} ({columns}, {BATCH} BIGINT) USING parquet "
-              f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({BATCH})")
-
-
 def collect_changes(stream: DataFrame, keys: Sequence[str], order_by: str, changes: str,
                     checkpoint: str, name: str = "changes") -> int:
     """Drain a stream into the table ``changes``: one partition per micro-batch, one row
@@ -30,12 +24,13 @@ def collect_changes(stream: DataFrame, keys: Sequence[str], order_by: str, chang
     A replayed batch overwrites its own partition, so it counts once. Returns the
     number of micro-batches that ran.
     """
-    _create(stream.sparkSession, changes, stream)
+    numbered = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])
+    tables.create_partitioned(stream.sparkSession, changes, numbered, BATCH)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         latest = dedupe_latest(batch, keys, order_by)
-        (latest.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").insertInto(changes))
+        tables.replace_partitions(
+            latest.withColumn(BATCH, F.lit(batch_id).cast("bigint")), changes, BATCH)
 
     query = (stream.writeStream.foreachBatch(keep).queryName(name)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
