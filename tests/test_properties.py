@@ -113,6 +113,29 @@ def test_differences(spark):
     assert Counter(map(tuple, found.collect())) == expected
 
 
+def test_differences_of_fixed_width_values(spark):
+    rng = random.Random(8)
+
+    def side():
+        return {(case, k): (rng.choice([None, 1, 2]), rng.choice([None, True, False]),
+                            rng.choice([None, T0, T0 + timedelta(days=1)]))
+                for case in range(CASES) for k in "abc" if rng.random() < 0.8}
+
+    legacy, target = side(), side()
+    expected = {(*key, name) for key in legacy.keys() & target.keys()
+                for name, a, b in zip("vwt", legacy[key], target[key]) if a != b}
+    expected |= {(*key, "missing_in_target") for key in legacy.keys() - target.keys()}
+    expected |= {(*key, "missing_in_legacy") for key in target.keys() - legacy.keys()}
+    ddl = "case INT, k STRING, v INT, w BOOLEAN, t TIMESTAMP_NTZ"
+    found = recon.differences(
+        *[spark.createDataFrame([(*k, *v) for k, v in rows.items()], ddl)
+          for rows in (legacy, target)], ["case", "k"], ["v", "w", "t"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    out = [(r.case, r.k, r.check_name) for r in found.collect()]
+    assert len(out) == len(set(out)) and set(out) == expected
+
+
 def test_streaks_and_readiness(spark):
     rng = random.Random(5)
     rows, streaks, totals = [], {}, {}
