@@ -227,7 +227,7 @@ def test_audit_writes_one_row_and_lets_the_error_go_on(spark, ctx):
 
 def test_bootstrap_is_repeatable_and_takes_every_row(spark, ctx):
     for _ in range(2):
-        audit.bootstrap(spark, ctx.ops)
+        audit.bootstrap(spark, ctx)
     with audit.audited(spark, ctx, "landing"):
         audit.log(spark, ctx, "landing", [("WARN", "here", "text", {"k": "v"})])
         audit.record_load(spark, ctx, "s", "t", 3, "full")
@@ -236,6 +236,10 @@ def test_bootstrap_is_repeatable_and_takes_every_row(spark, ctx):
         assert spark.table(ctx.ops_table(name)).count() == rows
     row = spark.table(ctx.ops_table("application_log")).first()
     assert (row.message, row.context, row.log_date) == ("text", {"k": "v"}, "2024-01-10")
+    with audit.audited(spark, replace(ctx, use_case="us2"), "landing"):
+        pass
+    together = audit.evidence(spark, ctx, "job_run", ["us1", "us2", "us3"])
+    assert sorted(r.use_case for r in together.collect()) == ["us1", "us2"]
 
 
 def test_context_needs_ids():

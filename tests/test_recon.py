@@ -142,6 +142,12 @@ def test_differences_find_every_kind(spark):
     assert recon.differences(legacy, legacy, ["k", "j"], ["v"]).count() == 1
 
 
+def test_keys_alone_can_be_compared(spark):
+    found = recon.differences(spark.range(3), spark.range(1, 4), ["id"], []).collect()
+    assert sorted((r.id, r.check_name) for r in found) == [(0, "missing_in_target"),
+                                                           (3, "missing_in_legacy")]
+
+
 def test_maps_are_compared_by_their_entries(spark):
     rows = [(1, {"a": "1", "b": "2"}), (2, {"a": "1"})]
     legacy = spark.createDataFrame(rows, "id INT, m MAP<STRING,STRING>")

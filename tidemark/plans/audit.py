@@ -5,15 +5,17 @@ from __future__ import annotations
 import traceback
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.operators.reports import DETAIL_LENGTH, MESSAGE_LENGTH, RUN_FAILED, SUCCESS
 from tidemark.plans.context import RunContext
-from tidemark.plans.tables import append
+from tidemark.plans.tables import append, ensure_database
 
 # Every table is declared: a row whose error columns are all NULL has no types to infer.
 SCHEMAS = {
@@ -56,15 +58,25 @@ SCHEMAS = {
 _PARTITIONS = {"application_log": ("env", "log_date")}
 
 
-def bootstrap(spark: SparkSession, ops: str = "ops") -> None:
-    """Create the evidence tables that do not exist yet, before jobs run side by side."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {ops}")
+def bootstrap(spark: SparkSession, ctx: RunContext) -> None:
+    """Create the logs of a use case that do not exist yet."""
     for table, ddl in SCHEMAS.items():
+        name = ctx.ops_table(table)
+        ensure_database(spark, name)
         keys = ", ".join(_PARTITIONS.get(table, ("env",)))
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {ops}.{table} ({ddl}) USING parquet "
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet "
                   f"PARTITIONED BY ({keys})")
 
 
+def evidence(spark: SparkSession, ctx: RunContext, table: str,
+             use_cases: Sequence[str]) -> DataFrame:
+    """One log of several use cases as one DataFrame; a use case without it adds no rows."""
+    names = [replace(ctx, use_case=use_case).ops_table(table) for use_case in use_cases]
+    logs = [spark.table(name) for name in names if spark.catalog.tableExists(name)]
+    none = spark.createDataFrame([], T.StructType.fromDDL(SCHEMAS[table]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs, none)
+
+
 def record(spark: SparkSession, ctx: RunContext, table: str,
            rows: Sequence[Mapping[str, Any]]) -> None:
     """Append rows with bound values to an evidence table, partitioned by environment."""

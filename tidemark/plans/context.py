@@ -31,4 +31,14 @@ class RunContext:
                 raise ValueError(f"a run context needs {name}")
 
     def ops_table(self, name: str) -> str:
+        """A log of this use case.
+
+        Plain Parquet appends to one folder must not overlap, and jobs of several use
+        cases run side by side, so each use case writes a database of its own;
+        ``audit.evidence`` reads them together.
+        """
+        return f"{self.ops}_{self.use_case}.{name}"
+
+    def shared_table(self, name: str) -> str:
+        """A control table of all use cases, written by one job."""
         return f"{self.ops}.{name}"

@@ -30,9 +30,7 @@ class Landed:
 
 
 def _marks_table(ctx: RunContext) -> str:
-    # One table per use case: its landing job runs once at a time, jobs of several use
-    # cases run side by side and must not replace each other's marks.
-    return ctx.ops_table(f"landing_watermark_{ctx.use_case}")
+    return ctx.ops_table("landing_watermark")
 
 
 def _marks(spark: SparkSession, ctx: RunContext) -> DataFrame:
@@ -73,12 +71,14 @@ def _write(ctx: RunContext, df: DataFrame, spec: SourceSpec, table: str) -> tupl
     if spec.load_strategy == "full":
         return tables.publish(rows, table).rows, None
     high = F.max(spec.watermark_column or F.lit(0))
-    if spec.watermark_column and "timestamp" in dict(df.dtypes)[spec.watermark_column]:
+    if spec.watermark_column and "timestamp" in df.select(spec.watermark_column).dtypes[0][1]:
         high = high.cast("timestamp_ntz")
     seen = Observation()
     counted = rows.observe(seen, F.count(F.lit(1)).alias("n_written"), high.alias("mark"))
     tables.append(counted, table, partition_by=["_load_date"])
     mark = seen.get["mark"] if spec.load_strategy == "incremental" else None
+    if mark is not None and not isinstance(mark, datetime):
+        mark = int(mark)
     return int(seen.get["n_written"]), mark
 
 

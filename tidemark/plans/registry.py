@@ -19,7 +19,7 @@ _OWNED = [name for name in DECLARABLE if name != "source_id"]
 
 
 def stored(spark: SparkSession, ctx: RunContext) -> DataFrame:
-    name = ctx.ops_table(TABLE)
+    name = ctx.shared_table(TABLE)
     if spark.catalog.tableExists(name):
         return spark.table(name)
     return spark.createDataFrame([], contract(REGISTRY_DDL))
@@ -47,5 +47,5 @@ def seed(spark: SparkSession, ctx: RunContext, rows: Sequence[dict[str, Any]],
         with audit.audited(spark, ctx, "landing"):
             after = sync.apply(desired, existing, "source_id", _OWNED, ntz(ctx.clock()),
                                scope=scope)
-            tables.publish(enforce(after, schema).coalesce(1), ctx.ops_table(TABLE))
+            tables.publish(enforce(after, schema).coalesce(1), ctx.shared_table(TABLE))
     return counts
