@@ -240,6 +240,12 @@ def test_bootstrap_is_repeatable_and_takes_every_row(spark, ctx):
         pass
     together = audit.evidence(spark, ctx, "job_run", ["us1", "us2", "us3"])
     assert sorted(r.use_case for r in together.collect()) == ["us1", "us2"]
+    for day, rows in ((10, 2), (11, 0)):
+        since = datetime(2024, 1, day)
+        recent = audit.evidence(spark, ctx, "job_run", ["us1", "us2", "us3"], since)
+        assert recent.count() == rows
+    assert "PartitionFilters: [isnotnull(env" in \
+        recent._jdf.queryExecution().executedPlan().toString()
 
 
 def test_context_needs_ids():

@@ -11,6 +11,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.reports import DETAIL_LENGTH, MESSAGE_LENGTH, RUN_FAILED, SUCCESS
@@ -23,71 +24,89 @@ SCHEMAS = {
         "run_id STRING, job_id STRING, task_key STRING, use_case STRING, layer STRING, "
         "status STRING, started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ, "
         "duration_seconds DOUBLE, error_message STRING, error_detail STRING, "
-        "context_tags MAP<STRING, STRING>, env STRING"),
+        "context_tags MAP<STRING, STRING>"),
     "table_load": (
         "run_id STRING, use_case STRING, source_id STRING, target_table STRING, "
         "load_strategy STRING, rows_written BIGINT, watermark_from STRING, "
-        "watermark_to STRING, status STRING, loaded_at TIMESTAMP_NTZ, env STRING"),
+        "watermark_to STRING, status STRING, loaded_at TIMESTAMP_NTZ"),
     "data_quality_result": (
         "run_id STRING, use_case STRING, table_name STRING, expectation_name STRING, "
         "expectation_predicate STRING, severity STRING, rows_evaluated BIGINT, "
-        "rows_failed BIGINT, passed BOOLEAN, evaluated_at TIMESTAMP_NTZ, env STRING"),
+        "rows_failed BIGINT, passed BOOLEAN, evaluated_at TIMESTAMP_NTZ"),
     "application_log": (
         "run_id STRING, use_case STRING, layer STRING, task_key STRING, level STRING, "
         "logger STRING, message STRING, context MAP<STRING, STRING>, "
-        "logged_at TIMESTAMP_NTZ, log_date STRING, env STRING"),
+        "logged_at TIMESTAMP_NTZ"),
     "schema_migration": (
         "use_case STRING, target_table STRING, version INT, name STRING, filename STRING, "
-        "checksum STRING, applied_at TIMESTAMP_NTZ, run_id STRING, env STRING"),
+        "checksum STRING, applied_at TIMESTAMP_NTZ, run_id STRING"),
     "parity_run": (
         "recon_run_id STRING, use_case STRING, target_name STRING, layer STRING, "
         "target_table STRING, source_ref STRING, status STRING, checks_total INT, "
         "checks_passed INT, checks_failed INT, overall_passed BOOLEAN, "
-        "started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ, notes STRING, env STRING"),
+        "started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ, notes STRING"),
     "parity_check_result": (
         "recon_run_id STRING, use_case STRING, target_name STRING, check_name STRING, "
         "check_type STRING, column_name STRING, legacy_metric DECIMAL(38,6), "
         "target_metric DECIMAL(38,6), difference DECIMAL(38,6), relative_diff DOUBLE, "
         "tolerance DOUBLE, justification STRING, passed BOOLEAN, "
-        "evaluated_at TIMESTAMP_NTZ, env STRING"),
+        "evaluated_at TIMESTAMP_NTZ"),
     "parity_exception": (
         "recon_run_id STRING, use_case STRING, target_name STRING, check_name STRING, "
         "key_values MAP<STRING, STRING>, legacy_value STRING, target_value STRING, "
-        "captured_at TIMESTAMP_NTZ, env STRING"),
+        "captured_at TIMESTAMP_NTZ"),
 }
-_PARTITIONS = {"application_log": ("env", "log_date")}
+# Logs are partitioned by environment and day: windows prune, and old days drop whole.
+# The ledger of shape changes is read in full, always.
+_BY_DAY, _BY_ENV = ("env", "log_date"), ("env",)
+
+
+def partitions_of(table: str) -> tuple[str, ...]:
+    return _BY_ENV if table == "schema_migration" else _BY_DAY
+
+
+def schema_of(table: str) -> T.StructType:
+    keys = ", ".join(f"{key} STRING" for key in partitions_of(table))
+    return T.StructType.fromDDL(f"{SCHEMAS[table]}, {keys}")
 
 
 def bootstrap(spark: SparkSession, ctx: RunContext) -> None:
     """Create the logs of a use case that do not exist yet."""
-    for table, ddl in SCHEMAS.items():
+    for table in SCHEMAS:
         name = ctx.ops_table(table)
         ensure_database(spark, name)
-        keys = ", ".join(_PARTITIONS.get(table, ("env",)))
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet "
-                  f"PARTITIONED BY ({keys})")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}"
+                            for f in schema_of(table).fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+                  f"PARTITIONED BY ({', '.join(partitions_of(table))})")
 
 
 def evidence(spark: SparkSession, ctx: RunContext, table: str,
-             use_cases: Sequence[str]) -> DataFrame:
-    """One log of several use cases as one DataFrame; a use case without it adds no rows."""
+             use_cases: Sequence[str], since: datetime | None = None) -> DataFrame:
+    """One log of several use cases as one DataFrame; a use case without it adds no rows.
+
+    ``since`` skips the days before it, in this environment's partitions only.
+    """
     names = [replace(ctx, use_case=use_case).ops_table(table) for use_case in use_cases]
     logs = [spark.table(name) for name in names if spark.catalog.tableExists(name)]
-    none = spark.createDataFrame([], T.StructType.fromDDL(SCHEMAS[table]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs, none)
+    none = spark.createDataFrame([], schema_of(table))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs, none)
+    if since is not None:
+        rows = rows.filter((F.col("env") == ctx.env) & (F.col("log_date") >= f"{since:%Y-%m-%d}"))
+    return rows
 
 
 def record(spark: SparkSession, ctx: RunContext, table: str,
            rows: Sequence[Mapping[str, Any]]) -> None:
-    """Append rows with bound values to an evidence table, partitioned by environment."""
+    """Append rows with bound values to an evidence table."""
     if not rows:
         return
-    schema = T.StructType.fromDDL(SCHEMAS[table])
+    schema = schema_of(table)
     shared = {"run_id": ctx.run_id, "recon_run_id": ctx.run_id, "use_case": ctx.use_case,
-              "env": ctx.env}
+              "env": ctx.env, "log_date": f"{ctx.clock():%Y-%m-%d}"}
     values = [tuple({**shared, **row}.get(name) for name in schema.names) for row in rows]
     df = spark.createDataFrame(values, schema).coalesce(1)
-    append(df, ctx.ops_table(table), _PARTITIONS.get(table, ("env",)))
+    append(df, ctx.ops_table(table), partitions_of(table))
 
 
 def record_load(spark: SparkSession, ctx: RunContext, source_id: str, target_table: str,
@@ -116,8 +135,7 @@ def log(spark: SparkSession, ctx: RunContext, layer: str,
     now = ctx.clock()
     record(spark, ctx, "application_log", [
         {"layer": layer, "task_key": ctx.task_key, "level": level, "logger": logger,
-         "message": message, "context": context, "logged_at": now,
-         "log_date": f"{now:%Y-%m-%d}"}
+         "message": message, "context": context, "logged_at": now}
         for level, logger, message, context in entries])
 
 

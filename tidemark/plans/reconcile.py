@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ class Gate:
 def etl_gate(spark: SparkSession, ctx: RunContext, tasks: Sequence[str] = LAST_TASKS,
              hours: int = 24) -> Gate:
     """Whether the load being checked has run; comparing stale output proves nothing."""
-    audit_log = spark.table(ctx.ops_table("job_run"))
-    row = reports.freshness(audit_log, ctx.use_case, ctx.env, tasks, hours, ctx.clock()).first()
+    now = ctx.clock()
+    # A row lies in the day its task ended, so the day the window opens on is early enough.
+    log = audit.evidence(spark, ctx, "job_run", [ctx.use_case], now - timedelta(hours=hours))
+    row = reports.freshness(log, ctx.use_case, ctx.env, tasks, hours, now).first()
     if row.proceed:
         return Gate(True, f"load of {ctx.use_case} last succeeded at {row.last_success}")
     return Gate(False, f"no success of {', '.join(tasks)} for {ctx.use_case} in {ctx.env} "
@@ -76,10 +79,12 @@ def reconcile(spark: SparkSession, ctx: RunContext, config: recon.ReconConfig, g
 
 def _record_exceptions(ctx: RunContext, target: recon.Target, legacy: DataFrame,
                        actual: DataFrame, limit: int) -> None:
+    now = ctx.clock()
     shared = [c for c in legacy.columns if c in actual.columns and c not in target.key_columns]
     found = recon.exceptions(legacy, actual, target.key_columns, shared, limit)
     rows = found.select(
         F.lit(ctx.run_id).alias("recon_run_id"), F.lit(ctx.use_case).alias("use_case"),
         F.lit(target.name).alias("target_name"), "check_name", "key_values", "legacy_value",
-        "target_value", ntz(ctx.clock()).alias("captured_at"), F.lit(ctx.env).alias("env"))
-    append(rows, ctx.ops_table("parity_exception"), ["env"])
+        "target_value", ntz(now).alias("captured_at"), F.lit(ctx.env).alias("env"),
+        F.lit(f"{now:%Y-%m-%d}").alias("log_date"))
+    append(rows, ctx.ops_table("parity_exception"), audit.partitions_of("parity_exception"))

@@ -205,20 +205,22 @@ def add_column_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, TRY_CAST(p_retailprice AS DECIMAL(5,2)) AS p_retailprice FROM part
+SELECT c_custkey, TRY_CAST(c_acctbal AS DECIMAL(5,2)) AS c_acctbal FROM customer
 """)
 def retype_column(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    return contracts.retype_column(parts, "p_retailprice", "decimal(5,2)")
+    """To a type that is too narrow for the larger balances."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return contracts.retype_column(customers, "c_acctbal", "decimal(5,2)")
 
 
 @query("""
-SELECT count(p_retailprice) AS n_values,
-       count(*) FILTER (WHERE p_retailprice IS NOT NULL
-                          AND TRY_CAST(p_retailprice AS DECIMAL(4,1)) IS NULL) AS n_lost,
-       count(*) FILTER (WHERE CAST(TRY_CAST(p_retailprice AS DECIMAL(4,1)) AS DOUBLE)
-                          <> p_retailprice) AS n_altered
-FROM part
+SELECT count(c_acctbal) AS n_values,
+       count(*) FILTER (WHERE c_acctbal IS NOT NULL
+                          AND TRY_CAST(c_acctbal AS DECIMAL(4,1)) IS NULL) AS n_lost,
+       count(*) FILTER (WHERE CAST(TRY_CAST(c_acctbal AS DECIMAL(4,1)) AS DOUBLE)
+                          <> c_acctbal) AS n_altered
+FROM customer
 """)
 def lossy_casts(spark: SparkSession, sf: str) -> DataFrame:
-    return contracts.lossy_casts(table(spark, sf, "part"), "p_retailprice", "decimal(4,1)")
+    """What such a change would lose, and what it would round."""
+    return contracts.lossy_casts(table(spark, sf, "customer"), "c_acctbal", "decimal(4,1)")
