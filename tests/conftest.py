@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
     session = local_session(
         "tests", shuffle_partitions=8,
         **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
-           "spark.driver.memory": "4g"})
+           "spark.default.parallelism": "2", "spark.driver.memory": "4g",
+           "spark.ui.showConsoleProgress": "false"})
     yield session
     session.stop()

@@ -230,7 +230,7 @@ def test_bootstrap_is_repeatable_and_takes_every_row(spark, ctx):
         audit.bootstrap(spark, ctx)
     with audit.audited(spark, ctx, "landing"):
         audit.log(spark, ctx, "landing", [("WARN", "here", "text", {"k": "v"})])
-        audit.record_load(spark, ctx, "s", "t", 3, "full")
+        audit.record_loads(spark, ctx, [audit.load_row(ctx, "s", "t", 3, "full")])
     for name, rows in (("job_run", 1), ("application_log", 1), ("table_load", 1),
                        ("parity_run", 0)):
         assert spark.table(ctx.ops_table(name)).count() == rows

@@ -109,17 +109,23 @@ def record(spark: SparkSession, ctx: RunContext, table: str,
     append(df, ctx.ops_table(table), partitions_of(table))
 
 
-def record_load(spark: SparkSession, ctx: RunContext, source_id: str, target_table: str,
-                rows_written: int, load_strategy: str, watermark_from: Any = None,
-                watermark_to: Any = None, status: str = SUCCESS) -> None:
+def load_row(ctx: RunContext, source_id: str, target_table: str, rows_written: int,
+             load_strategy: str, watermark_from: Any = None, watermark_to: Any = None,
+             status: str = SUCCESS) -> dict[str, Any]:
     def text(mark: Any) -> str | None:
-        return mark.isoformat() if isinstance(mark, datetime) else None if mark is None \
-            else str(mark)
+        if mark is None:
+            return None
+        return mark.isoformat() if isinstance(mark, datetime) else str(mark)
 
-    record(spark, ctx, "table_load", [{
-        "source_id": source_id, "target_table": target_table, "load_strategy": load_strategy,
-        "rows_written": rows_written, "watermark_from": text(watermark_from),
-        "watermark_to": text(watermark_to), "status": status, "loaded_at": ctx.clock()}])
+    return {"source_id": source_id, "target_table": target_table,
+            "load_strategy": load_strategy, "rows_written": rows_written,
+            "watermark_from": text(watermark_from), "watermark_to": text(watermark_to),
+            "status": status, "loaded_at": ctx.clock()}
+
+
+def record_loads(spark: SparkSession, ctx: RunContext, rows: Sequence[dict[str, Any]]) -> None:
+    """Append the loads of one step in one write."""
+    record(spark, ctx, "table_load", rows)
 
 
 def record_quality(spark: SparkSession, ctx: RunContext, table_name: str,

@@ -82,18 +82,20 @@ def _write(ctx: RunContext, df: DataFrame, spec: SourceSpec, table: str) -> tupl
     return int(seen.get["n_written"]), mark
 
 
-def _close(spark: SparkSession, ctx: RunContext, spec: SourceSpec, table: str,
-           known: datetime | int | None, rows: int, high: datetime | int | None,
-           error: str | None = None) -> Landed:
-    """Move the mark, then write the evidence: a crash in between loads a batch twice,
+def _close(spark: SparkSession, ctx: RunContext, written: Sequence[tuple]) -> list[Landed]:
+    """Move the marks, then write the evidence: a crash in between loads a batch twice,
     which curation removes, and never skips one."""
-    if high is not None:
-        _store_mark(spark, ctx, spec.source_id, high)
-    mark = known if high is None else high
-    status = audit.RUN_FAILED if error else audit.SUCCESS
-    audit.record_load(spark, ctx, spec.source_id, table, rows, spec.load_strategy, known, mark,
-                      status)
-    return Landed(spec.source_id, rows, mark, error)
+    landed, rows_of_log = [], []
+    for spec, table, known, rows, high, error in written:
+        if high is not None:
+            _store_mark(spark, ctx, spec.source_id, high)
+        mark = known if high is None else high
+        landed.append(Landed(spec.source_id, rows, mark, error))
+        rows_of_log.append(audit.load_row(
+            ctx, spec.source_id, table, rows, spec.load_strategy, known, mark,
+            audit.RUN_FAILED if error else audit.SUCCESS))
+    audit.record_loads(spark, ctx, rows_of_log)
+    return landed
 
 
 def land(spark: SparkSession, ctx: RunContext, spec: SourceSpec, table: str,
@@ -101,7 +103,7 @@ def land(spark: SparkSession, ctx: RunContext, spec: SourceSpec, table: str,
     """One batch source end to end: data, mark, evidence."""
     known = current_mark(spark, ctx, spec)
     rows, high = _write(ctx, read(spec, known), spec, table)
-    return _close(spark, ctx, spec, table, known, rows, high)
+    return _close(spark, ctx, [(spec, table, known, rows, high, None)])[0]
 
 
 def land_all(spark: SparkSession, ctx: RunContext, specs: Sequence[SourceSpec],
@@ -115,21 +117,21 @@ def land_all(spark: SparkSession, ctx: RunContext, specs: Sequence[SourceSpec],
     known = {spec.source_id: current_mark(spark, ctx, spec) for spec in specs}
 
     def write(spec: SourceSpec) -> tuple:
+        start, table = known[spec.source_id], table_of(spec)
         try:
-            return *_write(ctx, read(spec, known[spec.source_id]), spec, table_of(spec)), None
+            return spec, table, start, *_write(ctx, read(spec, start), spec, table), None
         except Exception as error:
-            return 0, None, f"{type(error).__name__}: {error}"
+            return spec, table, start, 0, None, f"{type(error).__name__}: {error}"
 
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        outcomes = list(pool.map(write, specs))
-    return [_close(spark, ctx, spec, table_of(spec), known[spec.source_id], *outcome)
-            for spec, outcome in zip(specs, outcomes)]
+        written = list(pool.map(write, specs))
+    return _close(spark, ctx, written)
 
 
 def copy_layer(spark: SparkSession, ctx: RunContext, source: str, target: str) -> int:
     """A straight full copy of one table to the next layer; returns its rows."""
     done = tables.publish(spark.table(source), target)
-    audit.record_load(spark, ctx, source, target, done.rows, "full")
+    audit.record_loads(spark, ctx, [audit.load_row(ctx, source, target, done.rows, "full")])
     return done.rows
 
 
@@ -161,6 +163,6 @@ def summarise(spark: SparkSession, ctx: RunContext) -> int:
 def record_drained(spark: SparkSession, ctx: RunContext, drained: Sequence[Drained],
                    table_of: Callable[[str], str]) -> None:
     """Copy what the streams counted to the load log, so that one query answers what landed."""
-    for done in drained:
-        audit.record_load(spark, ctx, done.source_id, table_of(done.source_id), done.rows_kept,
-                          "cdc_stream")
+    audit.record_loads(spark, ctx, [
+        audit.load_row(ctx, done.source_id, table_of(done.source_id), done.rows_kept,
+                       "cdc_stream") for done in drained])

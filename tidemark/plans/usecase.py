@@ -188,8 +188,9 @@ def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error:
         _quarantine(spark, case, rejects, since)
         _gate(spark, ctx, staged, case.curated_checks, raise_on_error)
         done = tables.swap(spark, staged)
-        audit.record_load(spark, ctx, f"{case.entity}_curated", case.curated, done.rows,
-                          "incremental" if since else "full")
+        audit.record_loads(spark, ctx, [audit.load_row(
+            ctx, f"{case.entity}_curated", case.curated, done.rows,
+            "incremental" if since else "full")])
     return done
 
 
@@ -234,10 +235,8 @@ def build_marts(spark: SparkSession, ctx: RunContext, case: UseCase,
         fact = tables.stage(fact_rows(case, curated, spark.table(dim.table), as_of), case.fact,
                             quality.violation_counts(case.mart_checks))
         _gate(spark, ctx, fact, case.mart_checks, raise_on_error)
-        counts = {}
-        for staged in (dim, fact):
-            done = tables.swap(spark, staged)
-            audit.record_load(spark, ctx, f"{ctx.use_case}.{done.name}", done.name, done.rows,
-                              "full")
-            counts[done.name] = done.rows
-    return counts
+        shown = [tables.swap(spark, staged) for staged in (dim, fact)]
+        audit.record_loads(spark, ctx, [
+            audit.load_row(ctx, f"{ctx.use_case}.{done.name}", done.name, done.rows, "full")
+            for done in shown])
+    return {done.name: done.rows for done in shown}
