@@ -93,6 +93,22 @@ def test_quarantine_follows_what_was_read(spark, ctx):
         assert reasons() == [("2024-01-10", "corrupt"), ("2024-01-11", "no id")]
 
 
+@pytest.mark.parametrize("use_case", sorted(usecase.ENTITIES))
+def test_standard_use_cases_share_one_program(spark, use_case):
+    case = usecase.UseCase.standard(use_case, key_field="ref")
+    entity = usecase.ENTITIES[use_case][0]
+    payload = json.dumps({"ref": "a", "event_ts": "2024-01-02", "status": "Active",
+                          "amount": 1.5, "currency": "usd"})
+    landed = spark.createDataFrame([(payload, T0)], "payload STRING, _ingested_at TIMESTAMP_NTZ")
+    curated = usecase.curated_rows(usecase.parsed(landed, case), case)
+    assert curated.columns[0] == f"{entity}_id" == case.id
+    assert (curated.first()[0], curated.first().status) == ("a", "ACTIVE")
+    dim = usecase.dim_rows(spark, case, curated, ntz(T0))
+    fact = usecase.fact_rows(case, curated, dim, ntz(T0)).first()
+    assert (fact[case.key], fact.date_key) == (1, 20240102)
+    assert case.fact == f"datamart_{use_case}.fct_{entity}"
+
+
 def test_a_database_table_is_curated_from_its_columns(spark, ctx):
     case = case_for(ctx, "customers")
     rows = spark.createDataFrame(

@@ -44,12 +44,13 @@ def current_mark(spark: SparkSession, ctx: RunContext, spec: SourceSpec) -> date
     return sync.read_mark(_marks(spark, ctx), spec.source_id)
 
 
-def _store_mark(spark: SparkSession, ctx: RunContext, source_id: str,
-                mark: datetime | int) -> None:
-    dated = isinstance(mark, datetime)
-    row = (source_id, mark if dated else None, None if dated else int(mark), None)
-    batch = spark.createDataFrame([row], sync.MARKS_DDL)
-    moved = sync.advance(_marks(spark, ctx), batch, ntz(ctx.clock()))
+def _store_marks(spark: SparkSession, ctx: RunContext,
+                 reached: dict[str, datetime | int]) -> None:
+    """Move the marks of the sources that landed rows, in one write."""
+    rows = [(source_id, mark, None, None) if isinstance(mark, datetime)
+            else (source_id, None, mark, None) for source_id, mark in reached.items()]
+    moved = sync.advance(_marks(spark, ctx), spark.createDataFrame(rows, sync.MARKS_DDL),
+                         ntz(ctx.clock()))
     tables.publish(moved.coalesce(1), _marks_table(ctx))
 
 
@@ -85,10 +86,11 @@ def _write(ctx: RunContext, df: DataFrame, spec: SourceSpec, table: str) -> tupl
 def _close(spark: SparkSession, ctx: RunContext, written: Sequence[tuple]) -> list[Landed]:
     """Move the marks, then write the evidence: a crash in between loads a batch twice,
     which curation removes, and never skips one."""
+    reached = {spec.source_id: high for spec, _, _, _, high, _ in written if high is not None}
+    if reached:
+        _store_marks(spark, ctx, reached)
     landed, rows_of_log = [], []
     for spec, table, known, rows, high, error in written:
-        if high is not None:
-            _store_mark(spark, ctx, spec.source_id, high)
         mark = known if high is None else high
         landed.append(Landed(spec.source_id, rows, mark, error))
         rows_of_log.append(audit.load_row(

@@ -27,11 +27,18 @@ STATUSES = ("NEW", "ACTIVE", "SETTLED", "CANCELLED")
 DEFAULT_CURRENCY = "USD"
 
 
+# The use cases, their entity and the landed table it is curated from.
+ENTITIES = {"us1": ("orders", "kfk_orders"), "us2": ("customers", "ora_customers"),
+            "us3": ("events", "kfk_events"), "us4": ("inventory", "kfk_orders"),
+            "us5": ("settlement", "kfk_orders")}
+
+
 @dataclass(frozen=True)
 class UseCase:
     """The nouns of a use case: its entity, and the tables it reads and owns.
 
     ``landing`` is a table, or the folder a stream lands in (``parquet:/path``).
+    ``key_field`` names the landed field that holds the id, where that differs.
     """
 
     entity: str
@@ -41,6 +48,16 @@ class UseCase:
     fact: str
     quarantine: str
     buckets: int = 0
+    key_field: str = ""
+
+    @classmethod
+    def standard(cls, use_case: str, buckets: int = 0, key_field: str = "") -> UseCase:
+        """One of the standard use cases, in databases named after layer and use case."""
+        entity, landed = ENTITIES[use_case]
+        curated, mart = f"curated_{use_case}", f"datamart_{use_case}"
+        return cls(entity, f"landing_{use_case}.{landed}", f"{curated}.{entity}",
+                   f"{mart}.dim_{entity}", f"{mart}.fct_{entity}",
+                   f"{curated}.quarantine_{entity}", buckets, key_field)
 
     def layout(self) -> dict:
         """Bucketed by id when the configuration gives a number of buckets."""
@@ -50,19 +67,23 @@ class UseCase:
     def id(self) -> str:
         return f"{self.entity}_id"
 
+    @property
+    def landed_id(self) -> str:
+        return self.key_field or self.id
+
     @property
     def key(self) -> str:
         return f"{self.entity}_key"
 
     @property
     def payload(self) -> str:
-        return (f"{self.id} STRING, event_ts STRING, status STRING, amount DOUBLE, "
+        return (f"{self.landed_id} STRING, event_ts STRING, status STRING, amount DOUBLE, "
                 "currency STRING")
 
     @property
     def fields(self) -> tuple[Field, ...]:
         return (
-            Field(self.id),
+            Field(self.id, self.landed_id),
             Field("event_ts", type="timestamp_ntz"),
             Field("status", allowed=STATUSES),
             Field("amount", type="decimal(18,2)"),
@@ -111,7 +132,7 @@ def parsed(landed: DataFrame, case: UseCase) -> DataFrame:
 
 def usable(case: UseCase) -> Column:
     """A record that was read, has its fields and names its entity."""
-    return F.col(CORRUPT).isNull() & F.col(MISSING).isNull() & F.col(case.id).isNotNull()
+    return F.col(CORRUPT).isNull() & F.col(MISSING).isNull() & F.col(case.landed_id).isNotNull()
 
 
 def curated_rows(records: DataFrame, case: UseCase) -> DataFrame:
