@@ -369,6 +369,15 @@ def test_publish_keeps_earlier_versions_for_running_readers(spark, ctx):
     assert spark.table(name).count() == 2 and tables.folded_up_to(spark, name) == 9
 
 
+def test_a_bucket_is_one_file_wherever_the_rows_come_from(spark, ctx):
+    name = ctx.ops.replace("ops_", "db_") + ".b"
+    rows = spark.range(0, 1000, 1, 6).selectExpr("cast(id as string) id")
+    for buckets in (8, 4):
+        tables.publish(rows, name, bucket_by=["id"], buckets=buckets)
+        files = spark.table(f"{name}__v{tables.version_of(spark, name)}").inputFiles()
+        assert len(files) == buckets and spark.table(name).count() == 1000
+
+
 CONFIG = {"use_case": "us1", "targets": [
     {"name": "orders", "target_table": "now_orders", "source_ref": "was_orders",
      "key_columns": ["id"], "checks": [{"name": "n", "check_type": "row_count"},

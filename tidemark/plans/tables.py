@@ -56,15 +56,15 @@ def folded_up_to(spark: SparkSession, name: str) -> int:
 
 
 def stage(df: DataFrame, name: str, metrics: Sequence[Column] = (),
-          bucket_by: Sequence[str] = (), buckets: int = 0,
+          bucket_by: Sequence[str] = (), buckets: int = 0, placed: bool = False,
           partition_by: Sequence[str] = ()) -> Staged:
     """Write the next version beside the current one.
 
     Rows, and any further ``metrics``, are counted while the rows are written, not by a
     pass afterwards. Bucketing by the key lets the next upsert or fact join read this
-    side in place. Rows that come out of a dedupe or upsert already lie in
-    ``spark.sql.shuffle.partitions`` hash partitions of the key; with as many buckets
-    each is written as it is, otherwise they move once more, so that a bucket is one
+    side in place. ``placed`` says the rows come out of a dedupe or upsert by that key and
+    so lie in ``spark.sql.shuffle.partitions`` hash partitions of it: with as many buckets
+    they are written as they lie. Otherwise they move once, so that a bucket is one
     file and not one per task.
     """
     spark = df.sparkSession
@@ -73,7 +73,8 @@ def stage(df: DataFrame, name: str, metrics: Sequence[Column] = (),
     table = f"{name}__v{version}"
     # Left behind by a run that failed between writing and publishing.
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    if bucket_by and int(spark.conf.get("spark.sql.shuffle.partitions")) != buckets:
+    lie = placed and int(spark.conf.get("spark.sql.shuffle.partitions")) == buckets
+    if bucket_by and not lie:
         df = df.repartition(buckets, *bucket_by)
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("n_written"), *metrics)

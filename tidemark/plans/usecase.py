@@ -61,7 +61,9 @@ class UseCase:
 
     def layout(self) -> dict:
         """Bucketed by id when the configuration gives a number of buckets."""
-        return {"bucket_by": [self.id], "buckets": self.buckets} if self.buckets else {}
+        if not self.buckets:
+            return {}
+        return {"bucket_by": [self.id], "buckets": self.buckets, "placed": True}
 
     @property
     def id(self) -> str:
