@@ -95,6 +95,22 @@ def test_surrogate_keys_survive_repeated_input(spark):
                                                               ("b", 3, 2)]
 
 
+def test_refresh_inserts_with_keys_and_is_repeatable(spark):
+    target = dim(spark, [(3, "b", "NEW", "USD"), (9, "z", "NEW", "USD")])
+    changes = source(spark, [("b", "ACTIVE", "USD"), ("c", "NEW", "EUR"), ("a", None, None)])
+
+    def refreshed(current):
+        return dims.refresh(current, changes, "id", "k", ["status", "currency"], ntz(NOW))
+
+    once = refreshed(target)
+    assert {r.id: (r.k, r.status) for r in once.collect()} == {
+        "b": (3, "ACTIVE"), "z": (9, "NEW"), "a": (10, None), "c": (11, "NEW")}
+    twice = refreshed(once)
+    assert twice.exceptAll(once).isEmpty() and once.exceptAll(twice).isEmpty()
+    with pytest.raises(PySparkException, match="NULL or repeated"):
+        dims.refresh(target, changes.unionAll(changes), "id", "k", ["status"], ntz(NOW)).collect()
+
+
 def test_fact_keeps_orphans_and_drops_unnamed(spark):
     curated = spark.createDataFrame(
         [("a", datetime(2024, 3, 9)), ("x", None), (None, datetime(2024, 1, 1))],

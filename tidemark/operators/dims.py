@@ -41,26 +41,31 @@ def number_rows(df: DataFrame, order: str, start: Column | int = 0) -> DataFrame
     )
 
 
-def assign_keys(existing: DataFrame, incoming: DataFrame, natural: str, key: str) -> DataFrame:
-    """Attach the surrogate key to ``incoming``.
+def mint_keys(existing: DataFrame, incoming: DataFrame, natural: str, key: str) -> DataFrame:
+    """Surrogate keys for the natural keys that ``existing`` does not have yet.
 
-    Known natural keys keep theirs for ever; new ones are numbered densely above
-    the highest key so far, in natural-key order. Only the natural-key column of
-    new rows is sorted and checkpointed.
+    Dense above the highest key so far, in natural-key order. Only the natural-key
+    columns are read, and only those of new rows sorted and checkpointed.
     """
-    known = existing.select(natural, F.col(key).cast("bigint").alias("_known"))
     # Copies collapse before the rows move, so a natural key that fills a third of the
     # batch reaches the anti join once.
     new = (
         incoming.select(natural).filter(F.col(natural).isNotNull()).distinct()
-        .join(known, natural, "left_anti")
+        .join(existing.select(natural), natural, "left_anti")
     )
     # One value: the highest key handed out so far.
-    highest = known.agg(F.coalesce(F.max("_known"), F.lit(0))).first()[0]
-    minted = number_rows(new, natural, highest).select(natural, F.col("_number").alias("_new"))
+    highest = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).first()[0]
+    return number_rows(new, natural, highest).select(natural, F.col("_number").alias(key))
+
+
+def assign_keys(existing: DataFrame, incoming: DataFrame, natural: str, key: str) -> DataFrame:
+    """Attach the surrogate key to ``incoming``: known natural keys keep theirs for ever,
+    new ones are minted."""
+    known = existing.select(natural, F.col(key).cast("bigint").alias("_known"))
+    minted = mint_keys(existing, incoming, natural, key).withColumnRenamed(key, "_minted")
     return (
         incoming.join(known, natural, "left").join(minted, natural, "left")
-        .withColumn(key, F.coalesce("_known", "_new")).drop("_known", "_new")
+        .withColumn(key, F.coalesce("_known", "_minted")).drop("_known", "_minted")
     )
 
 
@@ -101,6 +106,18 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], compare: S
     return joined.select(*[next_value(f.name, f.dataType) for f in target.schema.fields])
 
 
+def refresh(target: DataFrame, source: DataFrame, natural: str, key: str,
+            compare: Sequence[str], as_of: Column, checked: bool = False) -> DataFrame:
+    """Next snapshot of a dimension with surrogate keys.
+
+    Only inserted rows need a key, and known rows bring theirs along in the upsert, so
+    the stored keys are never joined in: what is added to the upsert is the few new ones.
+    """
+    source = source if checked else require_unique(source, [natural])
+    keyed = source.join(mint_keys(target, source, natural, key), natural, "left")
+    return upsert(target, keyed, [natural], compare, as_of, insert_only=[key], checked=True)
+
+
 def upsert_latest(target: DataFrame, changes: DataFrame, keys: Sequence[str],
                   order_by: str) -> DataFrame:
     """Next snapshot of a latest-wins table. ``changes`` holds one row per key.

@@ -237,9 +237,8 @@ def dim_rows(spark: SparkSession, case: UseCase, curated: DataFrame, as_of: Colu
         current = spark.createDataFrame([], contract(case.dim_contract))
     source = curated.select(case.id, "status", "currency",
                             F.col("event_ts").alias("source_updated_at"))
-    keyed = dims.assign_keys(current, source, case.id, case.key)
-    rows = dims.upsert(current, keyed, [case.id], ["status", "currency"], as_of,
-                       insert_only=[case.key], checked=True)
+    rows = dims.refresh(current, source, case.id, case.key, ["status", "currency"], as_of,
+                        checked=True)
     return enforce(rows, contract(case.dim_contract))
 
 

@@ -114,9 +114,8 @@ def dim_refresh(spark: SparkSession, sf: str) -> DataFrame:
     built = dims.number_rows(known, "customer_id", 500).select(
         F.col("_number").cast("bigint").alias("customer_key"), *known.columns,
         ntz(EARLY).alias("dw_updated_at"))
-    keyed = dims.assign_keys(built, arriving, "customer_id", "customer_key")
-    return dims.upsert(built, keyed, ["customer_id"], ["status", "priority"], ntz(AS_OF),
-                       insert_only=["customer_key"])
+    return dims.refresh(built, arriving, "customer_id", "customer_key", ["status", "priority"],
+                        ntz(AS_OF))
 
 
 @query(f"""
