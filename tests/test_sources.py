@@ -201,3 +201,74 @@ def test_merged_schemas(spark, tmp_path):
     spark.range(2).selectExpr("id", "'x' as extra").write.mode("append").parquet(path)
     merged = files.read_merged(spark, path)
     assert set(merged.columns) == {"id", "extra"} and merged.filter("extra is null").count() == 2
+
+
+class RecordingSession:
+    """Stands in for a session whose database is not here: keeps what it was asked for."""
+
+    def __init__(self, table):
+        self.table, self.asked = table, {}
+
+    @property
+    def read(self):
+        return self
+
+    def format(self, name):
+        self.asked["format"] = name
+        return self
+
+    def options(self, **options):
+        self.asked["options"] = options
+        return self
+
+    def load(self):
+        return self.table
+
+    def jdbc(self, url, table, predicates, properties):
+        self.asked.update(url=url, table=table, predicates=predicates, properties=properties)
+        return self.table
+
+
+@pytest.fixture
+def database(spark):
+    return RecordingSession(spark.createDataFrame(
+        [(1, "a", datetime(2024, 1, 1)), (2, "b", datetime(2024, 1, 2)), (3, "c", None)],
+        "ID INT, NAME STRING, LAST_UPDATE_DT TIMESTAMP_NTZ"))
+
+
+def spec_with(**changes):
+    return registry.spec_of({**dict(zip(DDL_NAMES, ROWS[0])), **changes})
+
+
+def test_incremental_reads_filter_and_prune(database):
+    spec = spec_with(options={"columns": "ID, LAST_UPDATE_DT"})
+    out = jdbc.read_source(database, CONN, spec, datetime(2024, 1, 1))
+    assert out.columns == ["ID", "LAST_UPDATE_DT"] and [r.ID for r in out.collect()] == [2]
+    assert database.asked["format"] == "jdbc"
+    assert database.asked["options"]["dbtable"] == "CRM.CUSTOMERS"
+    assert jdbc.read_source(database, CONN, spec, None).count() == 3
+    late = spec_with(options={"overlap": "1"})
+    assert jdbc.read_source(database, CONN, late, datetime(2024, 1, 2)).count() == 1
+
+
+def test_full_reads_ignore_the_mark(database):
+    spec = spec_with(load_strategy="full", watermark_column=None)
+    assert jdbc.read_source(database, CONN, spec, datetime(2024, 1, 2)).count() == 3
+
+
+def test_uneven_tables_are_cut_at_points(database):
+    jdbc.read_source(database, CONN, spec_with(options={"partition_column": "ID",
+                                                        "split_points": "10,20"}), None)
+    assert database.asked["predicates"] == ["ID < 10 OR ID IS NULL", "ID >= 10 AND ID < 20",
+                                            "ID >= 20"]
+    assert database.asked["properties"]["fetchsize"] == "10000"
+    assert "url" not in database.asked["properties"]
+
+
+def test_even_tables_are_cut_by_the_database_reader(database):
+    jdbc.read_source(database, CONN, spec_with(options={
+        "partition_column": "ID", "lower_bound": "1", "upper_bound": "100",
+        "num_partitions": "4"}), None)
+    options = database.asked["options"]
+    assert (options["partitionColumn"], options["lowerBound"], options["upperBound"],
+            options["numPartitions"]) == ("ID", "1", "100", "4")
