@@ -23,9 +23,11 @@ def test_conform_tidies_and_keeps_every_row(spark):
     rows = [("1", "2024-01-01 10:00:00", " new ", 10.0, "eur", now),
             ("2", "not a time", "RETURNED", 1e20, None, now),
             ("3", None, None, None, "  ", now),
-            ("4", "2024-01-01T10:00:00.5", "", -1.005, " usd ", now)]
+            ("4", "2024-01-01T10:00:00.5", "", -1.005, " usd ", now),
+            ("5", "2024-01-01T10:00:00+02:00", "new", 0.0, "usd", now),
+            ("6", "2024-01-01T10:00:00Z", "new", 0.0, "usd", now)]
     out = {r.orders_id: r for r in conform(raw(spark, rows), CASE.fields).collect()}
-    assert len(out) == 4
+    assert len(out) == 6
     assert (out["1"].status, out["1"].currency) == ("NEW", "EUR")
     assert out["1"].amount == Decimal("10.00")
     assert out["1"].event_ts == datetime(2024, 1, 1, 10)
@@ -33,6 +35,8 @@ def test_conform_tidies_and_keeps_every_row(spark):
     assert out["2"].currency == out["3"].currency == "USD"
     assert out["4"].status is None and out["4"].currency == "USD"
     assert out["4"].event_ts == datetime(2024, 1, 1, 10, 0, 0, 500000)
+    assert out["5"].event_ts == datetime(2024, 1, 1, 8)
+    assert out["6"].event_ts == datetime(2024, 1, 1, 10)
 
 
 def test_parse_tells_corrupt_from_missing(spark):

@@ -71,7 +71,8 @@ class Field:
 
     ``allowed`` makes it a code column: values outside the set become NULL and
     the row is kept. ``code`` normalises case and padding only. ``default``
-    replaces an absent value.
+    replaces an absent value. Text that names a zone or offset is read as that
+    instant, whether the column keeps a zone or not.
     """
 
     name: str
@@ -81,13 +82,16 @@ class Field:
     allowed: tuple[str, ...] = ()
     default: Any = None
 
-    def column(self) -> Column:
+    def column(self, stored: T.DataType) -> Column:
         value = F.col(self.source or self.name)
         if self.allowed:
             value = known_code(value.cast("string"), self.allowed)
         elif self.code:
             value = normalise_code(value.cast("string"))
-        if self.type != "string":
+        if self.type == "timestamp_ntz" and isinstance(stored, T.StringType):
+            # A direct cast would drop the offset and keep the digits.
+            value = value.try_cast("timestamp").cast("timestamp_ntz")
+        elif self.type != "string":
             value = value.try_cast(self.type)
         elif not (self.allowed or self.code):
             value = value.cast("string")
@@ -98,7 +102,8 @@ class Field:
 
 def conform(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """Project landed rows onto the contract. Narrow; never drops a row."""
-    return df.select(*[field.column() for field in fields])
+    stored = df.select(*[F.col(field.source or field.name) for field in fields]).schema.fields
+    return df.select(*[field.column(column.dataType) for field, column in zip(fields, stored)])
 
 
 def unknown_values(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
