@@ -64,16 +64,23 @@ def test_curate_keeps_latest_and_quarantines_the_unreadable(spark, ctx):
     case = case_for(ctx)
     put(spark, case, [message("a"), message("a", ts="2024-01-02 00:00:00", status="active"),
                       message("b", amount=2.5, currency=" eur"), "{broken",
-                      '{"orders_id": "c", "state": "NEW"}', message(None)])
-    done = usecase.curate(spark, ctx, case)
+                      '{"orders_id": "c", "state": "NEW"}', message(None),
+                      '{"orders_id": "d", "event_ts": null, "status": "new", "amount": 0}'])
+    done = usecase.curate(spark, ctx, case, raise_on_error=False)
     out = {r.orders_id: r for r in spark.table(case.curated).collect()}
-    assert done.rows == 2 and set(out) == {"a", "b"}
+    assert done.rows == 3 and set(out) == {"a", "b", "d"}
     assert out["a"].status == "ACTIVE" and out["b"].currency == "EUR"
+    assert out["d"].currency == "USD" and out["d"].event_ts is None
     reasons = sorted(r.reason for r in spark.table(case.quarantine).collect())
-    assert reasons == ["corrupt", "missing: event_ts,status,amount,currency", "no id"]
-    assert quality_rows(spark, ctx).count() == 4
+    assert reasons == ["corrupt", "missing: event_ts,status,amount", "no id"]
+    checks = {r.expectation_name: (r.rows_evaluated, r.rows_failed)
+              for r in quality_rows(spark, ctx).collect()}
+    assert checks == {
+        "payload_readable": (7, 1), "payload_fields_present": (7, 1), "orders_id_present": (7, 1),
+        "orders_id_not_null": (3, 0), "orders_id_unique": (3, 0), "status_not_null": (3, 0),
+        "amount_non_negative": (3, 0)}
     load = spark.table(ctx.ops_table("table_load")).first()
-    assert (load.rows_written, load.load_strategy, load.status) == (2, "full", "SUCCESS")
+    assert (load.rows_written, load.load_strategy, load.status) == (3, "full", "SUCCESS")
     assert statuses(spark, ctx) == ["SUCCESS"]
 
 
@@ -89,7 +96,7 @@ def test_quarantine_follows_what_was_read(spark, ctx):
     assert reasons() == [("2024-01-10", "corrupt")]
     put(spark, case, [message(None)], at=T0 + timedelta(days=1), load_date="2024-01-11")
     for _ in range(2):
-        usecase.curate(spark, ctx, case, since="2024-01-11")
+        usecase.curate(spark, ctx, case, since="2024-01-11", raise_on_error=False)
         assert reasons() == [("2024-01-10", "corrupt"), ("2024-01-11", "no id")]
 
 
@@ -115,12 +122,24 @@ def test_a_database_table_is_curated_from_its_columns(spark, ctx):
         [("c1", "2024-01-01 00:00:00", "active ", 3.0, None), (None, None, None, None, None)],
         "CUSTOMERS_ID STRING, `Event-TS` STRING, STATUS STRING, AMOUNT DOUBLE, CURRENCY STRING")
     landing.land(spark, ctx, spec("full"), case.landing, lambda *_: rows)
-    usecase.curate(spark, ctx, case)
+    usecase.curate(spark, ctx, case, raise_on_error=False)
     row = spark.table(case.curated).first()
     assert (row.customers_id, row.status, row.currency) == ("c1", "ACTIVE", "USD")
     assert [r.reason for r in spark.table(case.quarantine).collect()] == ["no id"]
 
 
+def test_a_field_renamed_upstream_stops_the_step(spark, ctx):
+    case = case_for(ctx)
+    put(spark, case, [message("a")])
+    usecase.curate(spark, ctx, case)
+    renamed = message("b").replace('"status"', '"state"')
+    put(spark, case, [renamed], load_date="2024-01-11")
+    with pytest.raises(quality.DataQualityError, match="payload_fields_present"):
+        usecase.curate(spark, ctx, case)
+    assert [r.orders_id for r in spark.table(case.curated).collect()] == ["a"]
+    assert [r.reason for r in spark.table(case.quarantine).collect()] == ["missing: status"]
+
+
 def test_a_breach_keeps_the_old_table_and_fails_the_task(spark, ctx):
     case = case_for(ctx)
     put(spark, case, [message("a")])
@@ -130,7 +149,7 @@ def test_a_breach_keeps_the_old_table_and_fails_the_task(spark, ctx):
         usecase.curate(spark, ctx, case)
     assert [r.orders_id for r in spark.table(case.curated).collect()] == ["a"]
     assert statuses(spark, ctx) == ["SUCCESS", "FAILED"]
-    breached = quality_rows(spark, ctx).filter("not passed").first()
+    breached = quality_rows(spark, ctx).filter("not passed").collect()[0]
     assert (breached.expectation_name, breached.rows_failed) == ("status_not_null", 1)
     usecase.curate(spark, ctx, case, raise_on_error=False)
     assert spark.table(case.curated).count() == 2

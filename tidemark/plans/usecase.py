@@ -124,7 +124,12 @@ def parsed(landed: DataFrame, case: UseCase) -> DataFrame:
     """The record of each landed row: read from its payload, or, where a database table was
     landed column by column, its columns under conventional names."""
     if "payload" in landed.columns:
-        return parse_payload(landed, case.payload, keep=["_ingested_at", "payload"])
+        # A field with a default may be left out; any other has to be there, or a field
+        # renamed upstream would quietly read as NULL.
+        required = [f.source or f.name for f in case.fields if f.default is None]
+        required = [name for name in required if name in contract(case.payload).names]
+        return parse_payload(landed, case.payload, required=required,
+                             keep=["_ingested_at", "payload"])
     named = snake_case_columns(landed)
     names = contract(case.payload).names
     return named.select(
@@ -132,6 +137,20 @@ def parsed(landed: DataFrame, case: UseCase) -> DataFrame:
         F.lit(None).cast("string").alias(CORRUPT), F.lit(None).cast("array<string>").alias(MISSING))
 
 
+def intake_checks(case: UseCase) -> tuple[quality.Expectation, ...]:
+    """What every record must be before it can become a curated row.
+
+    A broken message is set aside and reported. A record without its fields or its id
+    means that the source has changed: it stops the step, as a table that lost most of
+    its rows would otherwise pass every other check.
+    """
+    return (quality.Expectation("payload_readable", f"{CORRUPT} IS NULL", "warn"),
+            quality.Expectation("payload_fields_present", f"{MISSING} IS NULL"),
+            quality.Expectation(f"{case.landed_id}_present",
+                                f"{CORRUPT} IS NOT NULL OR {MISSING} IS NOT NULL "
+                                f"OR {case.landed_id} IS NOT NULL"))
+
+
 def usable(case: UseCase) -> Column:
     """A record that was read, has its fields and names its entity."""
     return F.col(CORRUPT).isNull() & F.col(MISSING).isNull() & F.col(case.landed_id).isNotNull()
@@ -166,13 +185,14 @@ def _quarantine(spark: SparkSession, case: UseCase, rejects: DataFrame | None,
 
 
 def _gate(spark: SparkSession, ctx: RunContext, staged: tables.Staged,
-          checks: Sequence[quality.Expectation], raise_on_error: bool) -> None:
+          checks: Sequence[quality.Expectation], raise_on_error: bool,
+          intake: Sequence[dict] = ()) -> None:
     """Save one result per expectation, then stop if an error one is breached.
 
     Row predicates were counted by the write; only uniqueness reads the staged
     table again, and of that only the key column.
     """
-    results = quality.results_of(staged.metrics, checks)
+    results = [*intake, *quality.results_of(staged.metrics, checks)]
     keyed = [e for e in checks if e.unique_columns]
     if keyed:
         found = quality.evaluate(spark.table(staged.table), keyed).collect()
@@ -199,17 +219,18 @@ def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error:
         if sample_rows:
             landed = landed.limit(sample_rows)
         records = parsed(landed, case)
+        arriving = intake_checks(case)
         seen = Observation()
-        rows = curated_rows(
-            records.observe(seen, F.count_if(~usable(case)).alias("n_rejected")), case)
+        rows = curated_rows(records.observe(seen, *quality.violation_counts(arriving)), case)
         if since and spark.catalog.tableExists(case.curated):
             rows = dims.upsert_latest(spark.table(case.curated), rows, [case.id], "event_ts")
         staged = tables.stage(rows, case.curated, quality.violation_counts(case.curated_checks),
                               **case.layout())
         # Landing is read a second time only when there is something to quarantine.
-        rejects = rejected_rows(records, case) if seen.get["n_rejected"] else None
-        _quarantine(spark, case, rejects, since)
-        _gate(spark, ctx, staged, case.curated_checks, raise_on_error)
+        intake = quality.results_of(seen.get, arriving)
+        rejected = any(result["rows_failed"] for result in intake)
+        _quarantine(spark, case, rejected_rows(records, case) if rejected else None, since)
+        _gate(spark, ctx, staged, case.curated_checks, raise_on_error, intake)
         done = tables.swap(spark, staged)
         audit.record_loads(spark, ctx, [audit.load_row(
             ctx, f"{case.entity}_curated", case.curated, done.rows,
