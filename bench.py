@@ -38,9 +38,10 @@ def main() -> None:
             seconds(spark, QUERIES[name], sf_dir) for _ in range(runs)), 3)
         print(f"{name:28s} {timings[name]:8.3f}", file=sys.stderr)
     spark.stop()
+    scale = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     print(json.dumps({"metric": "total_query_time", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings,
-                      "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")}))
+                      "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale}))
 
 
 if __name__ == "__main__":
