@@ -1,9 +1,11 @@
 """The subpackage's queries over the test tables, and the SQL of those that SQL can express."""
 
-from tidemark.llm import line_dedup, mixing
+from tidemark.llm import line_dedup, mixing, simhash, warc
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_warc": warc.op4_warc,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op3_line_dedup": line_dedup.SQL}
+ORACLES = {"op3_line_dedup": line_dedup.SQL, "op4_warc": warc.SQL}
