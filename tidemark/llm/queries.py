@@ -1,11 +1,19 @@
 """The subpackage's queries over the test tables, and the SQL of those that SQL can express."""
 
-from tidemark.llm import line_dedup, mixing, simhash, warc
+from tidemark.llm import embedding_dedup, line_dedup, mixing, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_warc": warc.op4_warc,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_topk": topk.op8_topk,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op3_line_dedup": line_dedup.SQL, "op4_warc": warc.SQL}
+ORACLES = {
+    "op3_line_dedup": line_dedup.SQL,
+    "op4_warc": warc.SQL,
+    "op7_embedding_dedup": embedding_dedup.SQL,
+    "op8_topk": topk.SQL,
+}
