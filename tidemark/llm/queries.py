@@ -1,11 +1,13 @@
 """The subpackage's queries over the test tables, and the SQL of those that SQL can express."""
 
-from tidemark.llm import embedding_dedup, line_dedup, mixing, simhash, topk, toxicity, warc
+from tidemark.llm import embedding_dedup, licenses, line_dedup, mixing, sentencepiece, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_sentencepiece": sentencepiece.op2_sentencepiece,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_warc": warc.op4_warc,
+    "op5_licenses": licenses.op5_licenses,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_topk": topk.op8_topk,
