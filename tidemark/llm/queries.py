@@ -1,6 +1,6 @@
 """The subpackage's queries over the test tables, and the SQL of those that SQL can express."""
 
-from tidemark.llm import embedding_dedup, licenses, line_dedup, mixing, sentencepiece, simhash, topk, toxicity, warc
+from tidemark.llm import embedding_dedup, licenses, line_dedup, mixing, sentencepiece, simhash, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_topk": topk.op8_topk,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
