@@ -1,0 +1,112 @@
+import itertools
+import random
+
+import pytest
+
+from tests.llm.cases import TEXTS, awkward, nothing
+from tidemark.llm import sentencepiece as sp
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return sp.load()
+
+
+def ids_of(encoder, text):
+    packed = encoder.encode(text)
+    return [int.from_bytes(packed[i:i + 4], "little") for i in range(0, len(packed), 4)]
+
+
+def slow_score(vocabulary, text):
+    """Best sum of scores by trying every end of every piece, without a trie."""
+    scores = {p: s for p, s, k in zip(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, strict=True)
+              if k in (sp.NORMAL, sp.USER_DEFINED)}
+    text = sp.MARK + text.replace(" ", sp.MARK)
+    best = [0.0] + [float("-inf")] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - 20), end):
+            piece = text[start:end]
+            if piece in scores:
+                best[end] = max(best[end], best[start] + scores[piece])
+        if text[end - 1] not in scores:
+            best[end] = max(best[end], best[end - 1] + vocabulary.unknown)
+    return best[-1]
+
+
+def score_of(vocabulary, ids):
+    """Sum of scores; a character in bytes costs once."""
+    total = 0.0
+    for i in ids:
+        if vocabulary.kinds[i] != sp.BYTE:
+            total += vocabulary.scores[i]
+        elif not 0x80 <= int(vocabulary.pieces[i][3:5], 16) < 0xC0:
+            total += vocabulary.unknown
+    return total
+
+
+def test_segmentation_has_the_best_score(vocabulary):
+    rng = random.Random(3)
+    letters = "abcdehinorst ABCé\n😀ﬁ .,"
+    encoder = sp.Encoder(vocabulary)
+    for text in ["the with", "  two  spaces ", "\n", "tab\tthen"] + [
+            "".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(300)]:
+        ids = ids_of(encoder, text)
+        assert score_of(vocabulary, ids) == pytest.approx(slow_score(vocabulary, text), abs=1e-3)
+        assert sp.decode(vocabulary, ids) == text
+
+
+def test_never_worse_than_the_library(vocabulary):
+    """The library's own encoder over the same pieces, marked as unigram; it may stop short of the best."""
+    library = pytest.importorskip("sentencepiece")
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    with open(sp.MODEL, "rb") as file:
+        raw = file.read()
+    model = b"".join(
+        varint(number << 3 | 2) + varint(len(body)) + body
+        for number, value in sp._fields(raw)
+        for body in [value + varint(3 << 3) + varint(1) if number == 2 else value])
+    other = library.SentencePieceProcessor(model_proto=model)
+    encoder = sp.Encoder(vocabulary)
+    for text in ["the quick brown fox", "Licensed under the Apache License", "être où ça", "Schöne neue Welt"]:
+        assert score_of(vocabulary, ids_of(encoder, text)) >= score_of(vocabulary, other.encode(text))
+        assert sp.decode(vocabulary, other.encode(text)) == other.decode(other.encode(text)) == text
+
+
+def test_double_array_holds_its_words_and_no_others():
+    words = {bytes(w): i for i, w in enumerate(itertools.product(b"ab\xff", repeat=3))} | {b"a": 90, b"ab": 91}
+    base, check, value = sp.double_array(words)
+
+    def find(word):
+        state = 0
+        for byte in word:
+            following = base[state] + byte
+            if not base[state] or following >= len(check) or check[following] != state:
+                return -1
+            state = following
+        return value[state]
+
+    assert all(find(w) == i for w, i in words.items())
+    assert find(b"b") == find(b"abc") == find(b"zz") == find(b"") == -1
+
+
+def test_a_small_memory_changes_nothing(vocabulary):
+    text = "one two three one two three four " * 5
+    assert sp.Encoder(vocabulary, remembered=2).encode(text) == sp.Encoder(vocabulary).encode(text)
+
+
+def test_awkward_rows_round_trip(spark, vocabulary):
+    rows = sp.encode(awkward(spark))
+    got = rows.collect()
+    assert len(got) == len(TEXTS)
+    for row in got:
+        assert (row.ids is None) == (row.round_trip is None)
+        assert row.round_trip in (None, True) and row.n_tokens == len(row.ids or [])
+    texts = sorted((t is not None, t or "") for _, t in TEXTS)
+    assert sorted((r.text is not None, r.text or "") for r in sp.decode_ids(rows).collect()) == texts
+
+
+def test_no_documents(spark):
+    assert sp.encode(nothing(spark)).count() == 0

@@ -8,7 +8,7 @@ stretch a little longer than itself, which every alignment of the wanted coverag
 is missed and text without notices costs a set intersection.
 
 Defined results. NULL and empty texts hold nothing. Texts of any length are read whole, one document at a time. Every
-occurrence is a row; of overlapping ones that with the best coverage, then the longest, then the first by name. Rows repeating an id are read each. An empty
+occurrence is a row; of overlapping ones that with most words aligned, then the best covered, then the first by name. Rows repeating an id are read each. An empty
 table gives an empty result. Other columns are never read.
 """
 
@@ -137,7 +137,8 @@ class Scanner:
         found = [hit for name, template, counts in candidates
                  for hit in self._occurrences(name, words, template, counts, places)]
         kept: list[tuple[str, float, int, int]] = []
-        for hit in sorted(found, key=lambda h: (-h[1], h[2] - h[3], h[0])):  # of overlapping ones the best covered
+        sizes = {name: len(template) for name, template, _ in candidates}
+        for hit in sorted(found, key=lambda h: (-round(h[1] * sizes[h[0]]), -h[1], h[0])):  # most words aligned first
             if all(hit[3] < other[2] or hit[2] > other[3] for other in kept):
                 kept.append(hit)
         yield from sorted(kept, key=lambda h: h[2:])

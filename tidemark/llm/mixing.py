@@ -79,13 +79,14 @@ def _evaluated(histogram: DataFrame, state: DataFrame, tries: list[Column], most
         state.select(F.col("source").alias("of"), "mean", F.array(*tries).alias("tries")),
         F.col("source").eqNullSafe(F.col("of")))
     length, mass = F.col("size") / F.col("mean"), F.col("size") * F.col("docs")
+    exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")  # the same in any order
     sums = []
     for i in range(len(tries)):
         at = F.col("tries")[i]
         capped = at * length >= F.log(F.lit(float(most)))
         rate = F.when(capped, F.lit(float(most))).otherwise(F.exp(at * length))
-        sums += [F.sum(mass * rate).alias(f"f{i}"),
-                 F.sum(F.when(capped, 0.0).otherwise(mass * length * rate)).alias(f"d{i}"),
+        sums += [exact(mass * rate).alias(f"f{i}"),
+                 exact(F.when(capped, 0.0).otherwise(mass * length * rate)).alias(f"d{i}"),
                  F.first(at).alias(f"x{i}")]
     seen = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"f{i}").alias("f"), F.col(f"d{i}").alias("d"))
                      for i in range(len(tries))])

@@ -7,7 +7,7 @@ within the radius agrees on a whole mask of some table, and none can be missed.
 radius 3, each with about 34 of 64 bits kept.
 
 Only distinct fingerprints are compared. A bucket too large for one task is covered again on the places its
-mask left free (about 15), and again (about 7), so the last one cannot exceed a few hundred members. Buckets
+mask left free (about 15), and again (about 7), so the last one cannot exceed 1024 members. Buckets
 return a spanning star per group of linked members, never pairs.
 
 Defined results. NULL text has no words. Without words the fingerprint is zero, linked like any other; fewer words
@@ -33,6 +33,7 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 BUCKET = 1024
+FEW = 10  # free places that are not covered again: at most 1024 members agree on all others
 BLOCK = 1 << 15
 
 
@@ -127,7 +128,7 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
         masks = {path: covering_masks(places, radius) for path, places in free.items()}
         rest = {path * tables + t + 1: [p for p in places if not masks[path][t] >> p & 1]
                 for path, places in free.items() for t in range(tables)}
-        last = all(1 << len(places) <= bucket for places in rest.values())
+        last = all(len(places) <= FEW for places in rest.values())
         by_path = F.create_map(*[x for path, own in masks.items() for x in (
             F.lit(path).cast("long"), F.array(*[F.lit(_signed(m)) for m in own]))])
         rows = (

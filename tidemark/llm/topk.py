@@ -46,14 +46,19 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1])
     if bound < EXACT:
         return queries @ rows.T
-    exact = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-    return exact(queries) @ exact(rows).T
+    exact = lambda m: np.array([int(x) for x in m.ravel()], object).reshape(m.shape)
+    return np.dot(exact(queries), exact(rows).T)
 
 
 def _partials(queries: np.ndarray, rows: np.ndarray, slices: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Partial scores by slice and their totals; totals beyond 64 bits are one list, held at the limit."""
     edges = np.linspace(0, queries.shape[1], slices + 1).astype(int)
     parts = [_products(queries[:, a:b], rows[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return parts, sum(parts[1:], parts[0])
+    total = sum(parts[1:], parts[0])
+    if total.dtype == object:
+        total = np.clip(total, -LONGEST - 1, LONGEST)
+        parts = [total]
+    return parts, total
 
 
 def _best(q: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -74,10 +79,8 @@ RESULT = pa.schema([("q", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.i
 
 def _rows(ids: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     q, score, vec = found
-    held = np.array([max(-LONGEST - 1, min(LONGEST, int(s))) for s in score], np.int64) \
-        if score.dtype == object else score.astype(np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(q.astype(np.int32)), pa.array(ids[q]), pa.array(vec), pa.array(held)], schema=RESULT)
+        [pa.array(q.astype(np.int32)), pa.array(ids[q]), pa.array(vec), pa.array(score.astype(np.int64))], schema=RESULT)
 
 
 def _phase(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray,
@@ -85,8 +88,9 @@ def _phase(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarr
     """Without cutoffs the local lists of phase one, with them phases two and three."""
     dims = queries.shape[1]
     best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-    limit = None if cutoffs is None else np.array(cutoffs, float)[:, None]
-    lists = [best] * slices
+    limit = None if cutoffs is None else np.array(cutoffs, object)[:, None]
+    rounded = None if cutoffs is None else limit.astype(float)
+    lists = [best] * slices  # by slice
     for batch in blocks(batches, ROWS):
         vec = batch.column(0).to_numpy()
         parts, total = _partials(queries, _integers(batch.column(1), dims), slices)
@@ -105,9 +109,10 @@ def _phase(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarr
                 found.append((q, total[q, at], vec[at]))
         else:
             collected = np.zeros(total.shape, bool)
+            cutoff = limit if total.dtype == object else rounded  # doubles hold every cutoff a double total can reach
             for part in parts:
-                collected |= (part * slices >= limit)
-            q, at = np.nonzero(collected & (total >= limit) & other)
+                collected |= part * len(parts) >= cutoff
+            q, at = np.nonzero(collected & (total >= cutoff) & other)
             found = [(q, total[q, at], vec[at])]
         for one in found:
             best = _best(*[np.r_[a, b] for a, b in zip(best, one, strict=True)], k)

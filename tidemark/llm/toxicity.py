@@ -58,7 +58,7 @@ class Neighbourhood:
     """Levenshtein automata of all terms over their trie, determinised as words ask for it."""
 
     def __init__(self, terms: list[str]):
-        self.children, self.ends = [{}], [None]
+        self.children, self.ends, self.sinks = [{}], [None], {}
         for term in terms:
             node = 0
             for letter in term.rstrip("*"):
@@ -66,8 +66,13 @@ class Neighbourhood:
                 if node == len(self.ends):
                     self.children.append({})
                     self.ends.append(None)
-            if self.ends[node] is None or term.endswith("*"):
+            if term.endswith("*"):  # behind a stem anything may follow, which leads nowhere else
+                self.sinks[node] = len(self.children)
+                self.children.append({})
+                self.ends.append(term)
+            else:
                 self.ends[node] = term
+        self.absorbing = frozenset(self.sinks.values())
         self.most = max((edits_allowed(t) for t in terms), default=0)
         self.alphabet = frozenset("".join(terms))
         self.names, self.sets, self.moves, self.found = {}, [], [], []
@@ -77,6 +82,9 @@ class Neighbourhood:
         todo = list(reached)
         while todo:  # leaving out letters of the term costs an edit each
             node = todo.pop()
+            if node in self.sinks:
+                sink = self.sinks[node]
+                reached[sink] = min(reached[node], reached.get(sink, self.most + 1))
             edits = reached[node] + 1
             if edits <= self.most:
                 for child in self.children[node].values():
@@ -96,8 +104,7 @@ class Neighbourhood:
     def _move(self, state: int, letter: str) -> int:
         reached: dict[int, int] = {}
         for node, edits in self.sets[state].items():
-            stem = (self.ends[node] or "").endswith("*")
-            stays = edits if stem else edits + 1  # anything may follow a stem; else it is a letter too many
+            stays = edits if node in self.absorbing else edits + 1  # elsewhere it is a letter too many
             if stays <= self.most:
                 reached[node] = min(stays, reached.get(node, self.most + 1))
             for own, child in self.children[node].items():
@@ -224,14 +231,15 @@ def _contexts(batches: Iterator[pa.RecordBatch], wanted: frozenset) -> Iterator[
 
 
 def _chosen(found: dict[str, tuple[int, int, int]], terms: int) -> list[str]:
-    """Terms out of (documents, neighbourhoods, words) by pattern: stems before the words they cover."""
+    """Terms out of (documents, neighbourhoods, words) by pattern: stems, and words that are no minor form of one."""
     least = max(LEAST_SUPPORT, max((n for _, n, _ in found.values()), default=0) // 20)
     steady = {p: v for p, v in found.items() if v[1] >= least and 3 * v[1] >= v[0]}
     stems = {p[:-1]: v for p, v in steady.items() if p.endswith("*") and v[2] >= STEM_WORDS}
     longest = {s for s, v in stems.items()
                if not any(o != s and o.startswith(s) and stems[o][0] >= 0.9 * v[0] for o in stems)}
     shortest = {s for s in longest if not any(o != s and s.startswith(o) for o in longest)}
-    words = [p for p in steady if not p.endswith("*") and not any(p.startswith(s) for s in shortest)]
+    covered = lambda w: max((stems[s][0] for s in shortest if w.startswith(s)), default=0)
+    words = [p for p, v in steady.items() if not p.endswith("*") and 2 * v[0] >= covered(p)]
     ranked = sorted([*(f"{s}*" for s in shortest), *words], key=lambda p: (-found[p][1], p))
     return sorted(ranked[:terms])
 
