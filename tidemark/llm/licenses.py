@@ -164,6 +164,10 @@ class Scanner:
                 continue
             begin, end = hits[first][0], min(len(words), place + len(template))
             pairs = _densest(align(words[begin:end], template), reach)
+            if pairs:  # once more without the strays, with room for the words that they took
+                (a, i), (b, j) = pairs[0], pairs[-1]
+                begin, end = max(begin, begin + a - i), begin + b + len(template) - j
+                pairs = _densest(align(words[begin:end], template), reach)
             if len(pairs) >= need:
                 behind = begin + pairs[-1][0]
                 yield name, len(pairs) / len(template), begin + pairs[0][0], behind
