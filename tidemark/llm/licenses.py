@@ -175,12 +175,12 @@ class Scanner:
 
 def _densest(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     """The most pairs that lie in a stretch of ``reach`` words of text; strays at the ends fall off."""
-    best, first = (0, 0), 0
+    best, first = (0, 0, 0), 0  # pairs, length of the stretch (negative), index of the first
     for last, (place, _) in enumerate(pairs):
         while pairs[first][0] <= place - reach:
             first += 1
-        best = max(best, (last + 1 - first, -first))
-    return pairs[-best[1]:best[0] - best[1]]
+        best = max(best, (last + 1 - first, pairs[first][0] - place, first))
+    return pairs[best[2]:best[2] + best[0]]
 
 
 FOUND = "license string, coverage double, first_word bigint, last_word bigint"
