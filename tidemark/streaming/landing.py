@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
+from threading import Event
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.operators.quality import Expectation, not_null
+from tidemark.plans import tables
 from tidemark.sources.registry import SourceSpec
 
 # A landed row must be traceable to its offset; an empty payload is only worth a warning.
@@ -18,17 +23,16 @@ WARN = (Expectation("payload_not_empty", "payload IS NOT NULL AND length(payload
 
 
 LOAD_DATE = "_load_date"
-# Progress reports kept per query: one for each micro-batch of a drain.
-PROGRESS, MAX_BATCHES = "spark.sql.streaming.numRecentProgressUpdates", 100_000
 
 
 @dataclass(frozen=True)
 class Drained:
-    """What one drain of a source did."""
+    """What one drain of a source did, or why it failed."""
 
     source_id: str
     rows_read: int
     counts: dict[str, int]
+    error: str | None = None
 
     @property
     def rows_kept(self) -> int:
@@ -55,79 +59,116 @@ def expect(stream: DataFrame, drop: Sequence[Expectation] = DROP,
     return counted.filter(~broken) if drop else counted
 
 
-def drop_replays(stream: DataFrame, keys: Sequence[str], event_time: str,
-                 within: str) -> DataFrame:
-    """Drop repeats that arrive within a bounded time; state older than that is released.
-
-    Repeats further apart stay for curation, which keeps the latest of any age.
-    """
-    return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark(list(keys))
-
-
 def dated(stream: DataFrame) -> DataFrame:
     """Add the load date, by which landing is partitioned and curation prunes."""
     return stream.withColumn(LOAD_DATE, F.date_format("_ingested_at", "yyyy-MM-dd"))
 
 
-def start(stream: DataFrame, path: str, checkpoint: str, name: str,
-          partition_by: Sequence[str] = ()) -> StreamingQuery:
-    """Append everything available now to a folder of Parquet files, then stop.
+def start(stream: DataFrame, target: str, checkpoint: str, name: str) -> StreamingQuery:
+    """Append everything available now to a table, partitioned by load date, then stop.
 
-    The checkpoint and the sink's own log make a restart continue where the last
-    run ended, without loss or repeats.
+    ``target`` may also be a folder (``parquet:/path``). The checkpoint and the sink's own
+    log make a restart continue where the last run ended, without loss or repeats. Nothing is
+    dropped for coming late or twice: curation keeps the latest of any age.
     """
-    writer = (stream.writeStream.format("parquet").outputMode("append").queryName(name)
-              .option("checkpointLocation", checkpoint).option("path", path)
+    writer = (dated(stream).writeStream.format("parquet").outputMode("append").queryName(name)
+              .partitionBy(LOAD_DATE).option("checkpointLocation", checkpoint)
               .trigger(availableNow=True))
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    # A query takes the setting over when it starts; the session gets its own back.
-    conf = stream.sparkSession.conf
-    before = conf.get(PROGRESS)
-    conf.set(PROGRESS, str(max(int(before), MAX_BATCHES)))
+    scheme, _, path = target.partition(":")
+    if scheme == "parquet" and path:
+        return writer.start(path)
+    tables.ensure_database(stream.sparkSession, target)
+    return writer.toTable(target)
+
+
+class Tally(StreamingQueryListener):
+    """Sums what every micro-batch reports as it reports it; holds sums, never the reports."""
+
+    def __init__(self, name: str = "expectations"):
+        self.name = name
+        self.rows: Counter = Counter()
+        self.counts: dict[str, Counter] = defaultdict(Counter)
+        self.ended: dict[str, Event] = defaultdict(Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        run = str(progress.runId)
+        self.rows[run] += progress.numInputRows
+        observed = progress.observedMetrics.get(self.name)
+        if observed is not None:
+            self.counts[run].update({k: int(v) for k, v in observed.asDict().items()})
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def of(self, query: StreamingQuery, source_id: str, wait: float = 60) -> Drained:
+        """The sums of a finished query; its end is reported after all of its batches."""
+        run = str(query.runId)
+        if not self.ended[run].wait(wait):
+            raise RuntimeError(f"{source_id}: landed, but its counts did not arrive")
+        return Drained(source_id, self.rows[run], dict(self.counts[run]))
+
+
+@contextmanager
+def tally(spark: SparkSession) -> Iterator[Tally]:
+    listener = Tally()
+    spark.streams.addListener(listener)
     try:
-        return writer.start()
+        yield listener
     finally:
-        conf.set(PROGRESS, before)
-
-
-def totals(query: StreamingQuery, source_id: str, name: str = "expectations") -> Drained:
-    """Sum what every micro-batch of a finished query reported."""
-    progress = query.recentProgress
-    if len(progress) >= MAX_BATCHES:
-        raise RuntimeError(f"{source_id}: landed, but with more batches than progress is kept "
-                           "for, so the counts are incomplete")
-    counts: dict[str, int] = {}
-    for p in progress:
-        observed = p["observedMetrics"].get(name)
-        for key, value in (observed.asDict().items() if observed else ()):
-            counts[key] = counts.get(key, 0) + int(value)
-    return Drained(source_id, sum(int(p["numInputRows"]) for p in progress), counts)
-
-
-def land(stream: DataFrame, source_id: str, root: str, path: str,
-         drop: Sequence[Expectation] = DROP, warn: Sequence[Expectation] = WARN,
-         partition_by: Sequence[str] = ()) -> Drained:
-    """Check, append and drain one source."""
-    query = start(expect(stream, drop, warn), path, checkpoint_of(root, source_id),
-                  f"landing_{source_id}", partition_by)
+        spark.streams.removeListener(listener)
+
+
+def _drain(sums: Tally, stream: DataFrame, source_id: str, root: str, target: str,
+           drop: Sequence[Expectation], warn: Sequence[Expectation]) -> Drained:
+    query = start(expect(stream, drop, warn), target, checkpoint_of(root, source_id),
+                  f"landing_{source_id}")
     query.awaitTermination()
-    return totals(query, source_id)
+    return sums.of(query, source_id)
 
 
-def land_topics(specs: Sequence[SourceSpec], open_stream: Callable[[SourceSpec], DataFrame],
-                root: str, path_of: Callable[[SourceSpec], str],
+def land(stream: DataFrame, source_id: str, root: str, target: str,
+         drop: Sequence[Expectation] = DROP, warn: Sequence[Expectation] = WARN) -> Drained:
+    """Check, append and drain one source."""
+    spark = stream.sparkSession
+    with tally(spark) as sums:
+        done = _drain(sums, stream, source_id, root, target, drop, warn)
+    _refresh(spark, target)
+    return done
+
+
+def _refresh(spark: SparkSession, target: str) -> None:
+    """Let this session see the files that its stream has added to a table."""
+    if ":" not in target:
+        spark.catalog.refreshTable(target)
+
+
+def land_topics(spark: SparkSession, specs: Sequence[SourceSpec],
+                open_stream: Callable[[SourceSpec], DataFrame], root: str,
+                target_of: Callable[[SourceSpec], str],
                 drop: Sequence[Expectation] = DROP,
                 warn: Sequence[Expectation] = WARN, at_once: int = 4) -> list[Drained]:
-    """One query and one checkpoint per registered topic, a bounded number running at once."""
-    done: list[Drained] = []
-    for first in range(0, len(specs), at_once):
-        running = [
-            (spec, start(expect(open_stream(spec), drop, warn), path_of(spec),
-                         checkpoint_of(root, spec.source_id), f"landing_{spec.source_id}"))
-            for spec in specs[first:first + at_once]
-        ]
-        for spec, query in running:
-            query.awaitTermination()
-            done.append(totals(query, spec.source_id))
+    """One query and one checkpoint per registered topic, a bounded number running at once.
+
+    The next topic starts when any has finished. A failing one is reported with its error;
+    the others land and keep their counts.
+    """
+    with tally(spark) as sums:
+        def one(spec: SourceSpec) -> Drained:
+            try:
+                return _drain(sums, open_stream(spec), spec.source_id, root, target_of(spec), drop, warn)
+            except Exception as error:
+                return Drained(spec.source_id, 0, {}, f"{type(error).__name__}: {error}")
+
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            done = list(pool.map(one, specs))
+    for spec, drained in zip(specs, done):
+        if not drained.error:
+            _refresh(spark, target_of(spec))
     return done

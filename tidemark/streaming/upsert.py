@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from threading import Event
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,40 +22,47 @@ def collect_changes(stream: DataFrame, keys: Sequence[str], order_by: str, chang
     """Drain a stream into the table ``changes``: one partition per micro-batch, one row
     per key and batch.
 
-    A replayed batch overwrites its own partition, so it counts once. Returns the
-    number of micro-batches that ran.
+    A partition is named after the query and the batch. A query that starts over with a new
+    checkpoint is another query, so its first batch takes nobody's place; a batch that is
+    run again overwrites its own partition. Returns the number of micro-batches that ran.
     """
-    numbered = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])
+    numbered = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.StringType())])
     tables.create_partitioned(stream.sparkSession, changes, numbered, BATCH)
+    started, ran, identity = Event(), set(), []
 
     def keep(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
         latest = dedupe_latest(batch, keys, order_by)
         tables.replace_partitions(
-            latest.withColumn(BATCH, F.lit(batch_id).cast("bigint")), changes, BATCH)
+            latest.withColumn(BATCH, F.lit(f"{identity[0]}_{batch_id}")), changes, BATCH)
+        ran.add(batch_id)
 
     query = (stream.writeStream.foreachBatch(keep).queryName(name)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    identity.append(str(query.id))
+    started.set()
     query.awaitTermination()
     # The batches were written by the stream's own session; drop this one's file list.
     stream.sparkSession.catalog.refreshTable(changes)
-    return len({p["batchId"] for p in query.recentProgress if p["numInputRows"]})
+    return len(ran)
 
 
 def fold(spark: SparkSession, changes: str, table: str, keys: Sequence[str], order_by: str,
          **layout: Any) -> tables.Published | None:
-    """Merge the batches not folded yet into ``table``; None when there are none.
+    """Merge all pending batches into ``table``; None when there are none.
 
-    The table is rewritten once per drain, not once per micro-batch, and records the last
-    batch it contains. Folded batches are dropped; one that is left behind by a crash,
-    or replayed later, is recognised by its number and not folded again.
+    The table is rewritten once per drain, not once per micro-batch. Folding is latest-wins in one
+    total order, so a batch that is folded a second time, because a crash kept it pending or
+    because it was replayed, changes nothing. What was read is dropped once the table shows it.
     """
-    pending = spark.table(changes).filter(F.col(BATCH) > tables.folded_up_to(spark, table))
-    last = pending.agg(F.max(BATCH)).first()[0]
-    if last is None:
+    # One row per micro-batch, never the rows in it.
+    names = [row[0].partition("=")[2] for row in spark.sql(f"SHOW PARTITIONS {changes}").collect()]
+    if not names:
         return None
-    latest = dedupe_latest(pending.filter(F.col(BATCH) <= last).drop(BATCH), keys, order_by)
+    pending = spark.table(changes).filter(F.col(BATCH).isin(names)).drop(BATCH)
+    latest = dedupe_latest(pending, keys, order_by)
     if spark.catalog.tableExists(table):
-        latest = upsert_latest(spark.table(table), latest, keys, order_by)
-    done = tables.publish(latest, table, up_to=last, **layout)
-    tables.drop_partitions(spark, changes, lambda values: int(values[BATCH]) <= last)
+        latest = upsert_latest(spark.table(table), latest, keys, order_by, then_latest=())
+    done = tables.publish(latest, table, **layout)
+    tables.drop_partitions(spark, changes, lambda values: values[BATCH] in names)
     return done
