@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _UNORDERED = (T.MapType, T.VariantType)
 
 
-def _orderable(dtype: T.DataType) -> bool:
+def orderable(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.ArrayType):
-        return _orderable(dtype.elementType)
+        return orderable(dtype.elementType)
     if isinstance(dtype, T.StructType):
-        return all(_orderable(field.dataType) for field in dtype.fields)
+        return all(orderable(field.dataType) for field in dtype.fields)
     return not isinstance(dtype, _UNORDERED)
 
 
 def dedupe_latest(df: DataFrame, keys: Sequence[str], order_by: str,
-                  tie_break: Sequence[str] | None = None, ascending: bool = False) -> DataFrame:
+                  tie_break: Sequence[str] | None = None, ascending: bool = False,
+                  then_latest: Sequence[str] = ()) -> DataFrame:
     """Keep the latest (or earliest) row per key.
 
-    NULLs sort last either way. ``tie_break`` columns, ascending, decide between
-    equal order values; by default every other orderable column does, so two rows
-    that still tie are the same row and the result never depends on partitioning.
+    NULLs sort last either way. Equal order values are decided by ``then_latest``, the
+    latest first, and then by ``tie_break`` columns, ascending; by default every other
+    orderable column is one, so two rows that still tie are the same row and the result
+    never depends on partitioning.
 
     ``row_number() == 1`` is pruned per map task before the exchange, so a key
     that holds a third of the table ships one row per task, not its whole group.
@@ -35,14 +37,30 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_by: str,
         raise ValueError("dedupe_latest needs at least one key column")
     if tie_break is None:
         tie_break = [f.name for f in df.schema.fields
-                     if f.name not in keys and f.name != order_by and _orderable(f.dataType)]
+                     if f.name not in (*keys, order_by, *then_latest) and orderable(f.dataType)]
     first = F.col(order_by).asc_nulls_last() if ascending else F.col(order_by).desc_nulls_last()
-    window = Window.partitionBy(*keys).orderBy(first, *[F.col(c).asc_nulls_last()
-                                                        for c in tie_break])
+    window = Window.partitionBy(*keys).orderBy(
+        first, *[F.col(c).desc_nulls_last() for c in then_latest],
+        *[F.col(c).asc_nulls_last() for c in tie_break])
     ranked = df.withColumn("_rank", F.row_number().over(window))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
+def precedes(names: Sequence[str], latest: Sequence[str], one: str, other: str) -> Column:
+    """Whether row ``one`` comes before row ``other`` in the order of ``dedupe_latest``.
+
+    ``one`` and ``other`` are prefixes of the columns; ``latest`` are those of which the higher
+    value comes first. NULLs come last, and equal rows do not precede each other.
+    """
+    before = F.lit(False)
+    for name in reversed(list(names)):
+        a, b = F.col(f"{one}{name}"), F.col(f"{other}{name}")
+        ahead = a > b if name in latest else a < b
+        before = F.when(a.eqNullSafe(b), before).otherwise(
+            b.isNull() | F.coalesce(ahead, F.lit(False)))
+    return before
+
+
 def require_unique(df: DataFrame, keys: Sequence[str], what: str = "source") -> DataFrame:
     """The same rows, failing the job when a key is NULL or held more than once.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import date_key
-from tidemark.operators.dedupe import require_unique
+from tidemark.operators.dedupe import orderable, precedes, require_unique
 from tidemark.session import ensure_checkpoint_dir
 
 
@@ -119,11 +119,13 @@ def refresh(target: DataFrame, source: DataFrame, natural: str, key: str,
 
 
 def upsert_latest(target: DataFrame, changes: DataFrame, keys: Sequence[str],
-                  order_by: str) -> DataFrame:
+                  order_by: str, then_latest: Sequence[str] | None = None) -> DataFrame:
     """Next snapshot of a latest-wins table. ``changes`` holds one row per key.
 
     A change replaces the stored row unless the stored one is newer, so replaying
-    an old batch alters nothing. Full outer join rather than a re-dedupe of the
+    an old batch alters nothing. Between equal order values the change wins, unless
+    ``then_latest`` is given: then the order is that of ``dedupe_latest`` over the target's
+    columns, and folding slices in any order gives the rows of one dedupe over all. Full outer join rather than a re-dedupe of the
     union: a target bucketed by key is then read in place, and only changes move.
     """
     keys = list(keys)
@@ -131,7 +133,12 @@ def upsert_latest(target: DataFrame, changes: DataFrame, keys: Sequence[str],
     left = target.withColumn("_had", F.lit(True))
     right = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in rest],
                            F.lit(True).alias("_came"))
-    newer = F.coalesce(F.col(f"_new_{order_by}") >= F.col(order_by), F.col(order_by).isNull())
+    if then_latest is None:
+        newer = F.coalesce(F.col(f"_new_{order_by}") >= F.col(order_by), F.col(order_by).isNull())
+    else:
+        latest = [order_by, *then_latest]
+        others = [c for c in rest if c not in latest and orderable(target.schema[c].dataType)]
+        newer = precedes([*latest, *others], latest, "_new_", "")
     taken = F.col("_came").isNotNull() & (F.col("_had").isNull() | newer)
     joined = left.join(right, keys, "full_outer")
     return joined.select(*[

@@ -120,6 +120,15 @@ class UseCase:
                 quality.non_negative("amount"))
 
 
+# Where a record stood in its topic: of two with one event and ingest time the later stands.
+POSITION = (Field("source_offset", "kafka_offset", type="bigint"),
+            Field("source_partition", "kafka_partition", type="int"))
+
+
+def _position(df: DataFrame) -> list[str]:
+    return [field.source for field in POSITION if field.source in df.columns]
+
+
 def parsed(landed: DataFrame, case: UseCase) -> DataFrame:
     """The record of each landed row: read from its payload, or, where a database table was
     landed column by column, its columns under conventional names."""
@@ -129,11 +138,11 @@ def parsed(landed: DataFrame, case: UseCase) -> DataFrame:
         required = [f.source or f.name for f in case.fields if f.default is None]
         required = [name for name in required if name in contract(case.payload).names]
         return parse_payload(landed, case.payload, required=required,
-                             keep=["_ingested_at", "payload"])
+                             keep=["_ingested_at", "payload", *_position(landed)])
     named = snake_case_columns(landed)
     names = contract(case.payload).names
     return named.select(
-        "_ingested_at", F.to_json(F.struct(*names)).alias("payload"), *names,
+        "_ingested_at", *_position(named), F.to_json(F.struct(*names)).alias("payload"), *names,
         F.lit(None).cast("string").alias(CORRUPT), F.lit(None).cast("array<string>").alias(MISSING))
 
 
@@ -157,10 +166,16 @@ def usable(case: UseCase) -> Column:
 
 
 def curated_rows(records: DataFrame, case: UseCase) -> DataFrame:
-    """Parsed records to curated rows: conform, latest per id, in contract order."""
-    rows = conform(records.filter(usable(case)), case.fields)
-    latest = dedupe_latest(rows, [case.id], "event_ts")
-    return enforce(latest, contract(case.curated_contract))
+    """Parsed records to curated rows: conform, latest per id, in contract order.
+
+    Latest is by event time, then ingest time, then place in the topic. Records of one ingest time are
+    in one load date, hence in one slice: what a slice keeps and how it is folded is one order.
+    """
+    position = [field for field in POSITION if field.source in records.columns]
+    places = [field.name for field in position]
+    rows = conform(records.filter(usable(case)), (*case.fields, *position))
+    latest = dedupe_latest(rows, [case.id], "event_ts", then_latest=["ingested_at", *places])
+    return enforce(latest.drop(*places), contract(case.curated_contract))
 
 
 def rejected_rows(records: DataFrame, case: UseCase) -> DataFrame:
@@ -202,12 +217,12 @@ def _gate(spark: SparkSession, ctx: RunContext, staged: tables.Staged,
 
 
 def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error: bool = True,
-           since: str | None = None, sample_rows: int | None = None) -> tables.Published:
+           since: str | None = None) -> tables.Published:
     """Landing to curated.
 
     Without ``since`` the table is rebuilt from all of landing. With it, only load
     dates from then on are read (older partitions of landing are skipped) and folded
-    into the current table, latest wins. ``sample_rows`` bounds a development run.
+    into the current table, latest wins by the same order, so both give the same rows.
 
     Order: write, save the check results, gate, show, record. A breach leaves the
     previous curated table in place and the task FAILED.
@@ -216,14 +231,13 @@ def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error:
         landed = open_ref(spark, case.landing)
         if since:
             landed = landed.filter(F.col("_load_date") >= since)
-        if sample_rows:
-            landed = landed.limit(sample_rows)
         records = parsed(landed, case)
         arriving = intake_checks(case)
         seen = Observation()
         rows = curated_rows(records.observe(seen, *quality.violation_counts(arriving)), case)
         if since and spark.catalog.tableExists(case.curated):
-            rows = dims.upsert_latest(spark.table(case.curated), rows, [case.id], "event_ts")
+            rows = dims.upsert_latest(spark.table(case.curated), rows, [case.id], "event_ts",
+                                      then_latest=["ingested_at"])
         staged = tables.stage(rows, case.curated, quality.violation_counts(case.curated_checks),
                               **case.layout())
         # Landing is read a second time only when there is something to quarantine.
@@ -238,6 +252,21 @@ def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error:
     return done
 
 
+# Environments in which a part of a table may stand for the whole.
+SANDBOXES = ("dev", "sandbox")
+
+
+def development_copy(spark: SparkSession, ctx: RunContext, source: str, target: str,
+                     rows: int) -> tables.Published:
+    """Some rows of a table under another name, to try a step on. Refused outside a sandbox,
+    and under a name that does not say what it is: no step reads it unless told to."""
+    if ctx.env not in SANDBOXES:
+        raise ValueError(f"{ctx.env} is no sandbox: {target} would stand for all of {source}")
+    if not target.endswith("_sample"):
+        raise ValueError(f"{target}: a development copy is named ..._sample")
+    return tables.publish(open_ref(spark, source).limit(rows), target)
+
+
 def check_curated(spark: SparkSession, ctx: RunContext, case: UseCase,
                   raise_on_error: bool = True) -> dict:
     """The gate in front of the marts: every curated row has an event time."""
