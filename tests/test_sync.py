@@ -3,6 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.errors import PySparkException
 
+from pyspark.sql import types as T
+
 from tidemark.functions.times import ntz
 from tidemark.operators import sync
 
@@ -79,7 +81,7 @@ def test_repeated_desired_id_fails(desired, existing):
 
 
 def marks(spark, rows):
-    return spark.createDataFrame(rows, sync.MARKS_DDL)
+    return spark.createDataFrame([(*row[:3], None, row[3]) for row in rows], sync.MARKS_DDL)
 
 
 def test_marks_only_move_forward_and_compare_typed(spark):
@@ -110,3 +112,11 @@ def test_ledger(spark):
     applied = spark.createDataFrame([("v1", "a"), ("v2", "x")], ddl)
     out = {r.filename: r.state for r in sync.ledger(available, applied).collect()}
     assert out == {"v1": "applied", "v2": "drifted", "v3": "pending"}
+
+
+def test_the_kind_of_a_mark_follows_its_column():
+    kinds = {T.DateType(): "ts_value", T.TimestampNTZType(): "ts_value", T.ShortType(): "long_value",
+             T.DecimalType(12, 2): "exact_value", T.DoubleType(): "exact_value"}
+    assert {t: sync.mark_column(t, "c") for t in kinds} == kinds
+    with pytest.raises(ValueError, match="cannot carry a mark"):
+        sync.mark_column(T.StringType(), "c")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.maps import comparable
 from tidemark.functions.times import ntz
@@ -95,19 +97,43 @@ def apply(desired: DataFrame, existing: DataFrame, key: str, columns: Sequence[s
 # -- high-water marks ---------------------------------------------------------
 
 MARKS_DDL = ("source_id STRING, ts_value TIMESTAMP_NTZ, long_value BIGINT, "
-             "updated_at TIMESTAMP_NTZ")
-_VALUES = ("ts_value", "long_value")
+             "exact_value DECIMAL(38,10), updated_at TIMESTAMP_NTZ")
+_VALUES = ("ts_value", "long_value", "exact_value")
+Mark = datetime | int | Decimal
+
+
+def mark_column(dtype: T.DataType, column: str) -> str:
+    """Which of the typed values a mark over a column of this type is.
+
+    Dates are kept as their midnight, whole numbers as they are, all others as exact
+    decimals. Text has no order that a source is sure to share, so it is refused.
+    """
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "ts_value"
+    if isinstance(dtype, T.IntegralType):
+        return "long_value"
+    if isinstance(dtype, T.NumericType):
+        return "exact_value"
+    raise ValueError(f"{column}: a {dtype.simpleString()} column cannot carry a mark")
+
+
+def mark_value(column: str, dtype: T.DataType) -> Column:
+    """Highest value of a column, as the mark of its kind."""
+    kinds = dict(zip(_VALUES, ("timestamp_ntz", "bigint", "decimal(38,10)")))
+    return F.max(column).cast(kinds[mark_column(dtype, column)])
 
 
 def batch_marks(df: DataFrame, source_id: str | Column, ts: str | None = None,
-                number: str | None = None) -> DataFrame:
+                number: str | None = None, exact: str | None = None) -> DataFrame:
     """Highest value of this batch per source, typed."""
     source = F.lit(source_id) if isinstance(source_id, str) else source_id
     ts_value = F.max(ts) if ts else F.lit(None)
     long_value = F.max(number) if number else F.lit(None)
+    exact_value = F.max(exact) if exact else F.lit(None)
     return df.groupBy(source.alias("source_id")).agg(
         ts_value.cast("timestamp_ntz").alias("ts_value"),
         long_value.cast("bigint").alias("long_value"),
+        exact_value.cast("decimal(38,10)").alias("exact_value"),
     )
 
 
@@ -131,24 +157,31 @@ def advance(marks: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def reset(marks: DataFrame, source_id: str, value: datetime | int, as_of: Column) -> DataFrame:
+def reset(marks: DataFrame, source_id: str, value: Mark, as_of: Column) -> DataFrame:
     """Set one mark back on purpose, to reload from a point."""
     chosen = F.col("source_id") == source_id
     stamp = F.when(chosen, as_of.cast("timestamp_ntz")).otherwise(F.col("updated_at"))
     if isinstance(value, datetime):
         name, new = "ts_value", ntz(value)
+    elif isinstance(value, Decimal):
+        name, new = "exact_value", F.lit(value).cast("decimal(38,10)")
     else:
         name, new = "long_value", F.lit(int(value)).cast("bigint")
     return marks.withColumns({name: F.when(chosen, new).otherwise(F.col(name)),
                               "updated_at": stamp})
 
 
-def read_mark(marks: DataFrame, source_id: str) -> datetime | int | None:
+def read_marks(marks: DataFrame, source_ids: Sequence[str]) -> dict[str, Mark]:
+    """The stored marks of the sources that have one, in one read."""
+    wanted = marks.filter(F.col("source_id").isin(list(source_ids)))
+    found = {row.source_id: [row[name] for name in _VALUES if row[name] is not None]
+             for row in wanted.select("source_id", *_VALUES).collect()}
+    return {source_id: values[0] for source_id, values in found.items() if values}
+
+
+def read_mark(marks: DataFrame, source_id: str) -> Mark | None:
     """The stored mark of one source; None before its first load."""
-    row = marks.filter(F.col("source_id") == source_id).select(*_VALUES).first()
-    if row is None:
-        return None
-    return row.ts_value if row.ts_value is not None else row.long_value
+    return read_marks(marks, [source_id]).get(source_id)
 
 
 # -- applied-once ledger --------------------------------------------------------

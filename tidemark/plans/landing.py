@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +19,14 @@ from tidemark.plans.context import RunContext
 from tidemark.sources.registry import SourceSpec
 from tidemark.streaming.landing import Drained
 
-Reader = Callable[[SourceSpec, "datetime | int | None"], DataFrame]
+Reader = Callable[[SourceSpec, sync.Mark | None], DataFrame]
 
 
 @dataclass(frozen=True)
 class Landed:
     source_id: str
     rows: int
-    mark: datetime | int | None
+    mark: sync.Mark | None
     error: str | None = None
 
 
@@ -40,22 +41,24 @@ def _marks(spark: SparkSession, ctx: RunContext) -> DataFrame:
     return spark.createDataFrame([], sync.MARKS_DDL)
 
 
-def current_mark(spark: SparkSession, ctx: RunContext, spec: SourceSpec) -> datetime | int | None:
+def current_mark(spark: SparkSession, ctx: RunContext, spec: SourceSpec) -> sync.Mark | None:
     return sync.read_mark(_marks(spark, ctx), spec.source_id)
 
 
 def _store_marks(spark: SparkSession, ctx: RunContext,
-                 reached: dict[str, datetime | int]) -> None:
+                 reached: dict[str, sync.Mark]) -> None:
     """Move the marks of the sources that landed rows, in one write."""
-    rows = [(source_id, mark, None, None) if isinstance(mark, datetime)
-            else (source_id, None, mark, None) for source_id, mark in reached.items()]
+    rows = [(source_id, mark if isinstance(mark, datetime) else None,
+             mark if isinstance(mark, int) else None,
+             mark if isinstance(mark, Decimal) else None, None)
+            for source_id, mark in reached.items()]
     moved = sync.advance(_marks(spark, ctx), spark.createDataFrame(rows, sync.MARKS_DDL),
                          ntz(ctx.clock()))
     tables.publish(moved.coalesce(1), _marks_table(ctx))
 
 
 def reset_mark(spark: SparkSession, ctx: RunContext, source_id: str,
-               mark: datetime | int) -> None:
+               mark: sync.Mark) -> None:
     """Set a mark back, so that the next run reloads from there."""
     moved = sync.reset(_marks(spark, ctx), source_id, mark, ntz(ctx.clock()))
     tables.publish(moved.coalesce(1), _marks_table(ctx))
@@ -67,20 +70,20 @@ def _write(ctx: RunContext, df: DataFrame, spec: SourceSpec, table: str) -> tupl
     Nothing is read back: a second read of the source could see other rows.
     """
     as_of = ctx.clock()
+    incremental = spec.load_strategy == "incremental"
+    # The kind of mark is settled before anything is written: a batch that landed without
+    # moving its mark would land again in every run.
+    high = (sync.mark_value(spec.watermark_column, df.select(spec.watermark_column).schema[0].dataType)
+            if incremental else F.lit(None))
     rows = stamp(df, spec.source_id, ctx.run_id, ntz(as_of)) \
         .withColumn("_load_date", F.lit(f"{as_of:%Y-%m-%d}"))
     if spec.load_strategy == "full":
         return tables.publish(rows, table).rows, None
-    high = F.max(spec.watermark_column or F.lit(0))
-    if spec.watermark_column and "timestamp" in df.select(spec.watermark_column).dtypes[0][1]:
-        high = high.cast("timestamp_ntz")
     seen = Observation()
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("n_written"), high.alias("mark"))
+    marked = [high.alias("mark")] if incremental else []
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("n_written"), *marked)
     tables.append(counted, table, partition_by=["_load_date"])
-    mark = seen.get["mark"] if spec.load_strategy == "incremental" else None
-    if mark is not None and not isinstance(mark, datetime):
-        mark = int(mark)
-    return int(seen.get["n_written"]), mark
+    return int(seen.get["n_written"]), seen.get["mark"] if incremental else None
 
 
 def _close(spark: SparkSession, ctx: RunContext, written: Sequence[tuple]) -> list[Landed]:
@@ -116,10 +119,10 @@ def land_all(spark: SparkSession, ctx: RunContext, specs: Sequence[SourceSpec],
     One failing source does not stop the others. Marks and evidence share tables, so
     they are written one after the other once the data is down.
     """
-    known = {spec.source_id: current_mark(spark, ctx, spec) for spec in specs}
+    known = sync.read_marks(_marks(spark, ctx), [spec.source_id for spec in specs])
 
     def write(spec: SourceSpec) -> tuple:
-        start, table = known[spec.source_id], table_of(spec)
+        start, table = known.get(spec.source_id), table_of(spec)
         try:
             return spec, table, start, *_write(ctx, read(spec, start), spec, table), None
         except Exception as error:
@@ -167,4 +170,5 @@ def record_drained(spark: SparkSession, ctx: RunContext, drained: Sequence[Drain
     """Copy what the streams counted to the load log, so that one query answers what landed."""
     audit.record_loads(spark, ctx, [
         audit.load_row(ctx, done.source_id, table_of(done.source_id), done.rows_kept,
-                       "cdc_stream") for done in drained])
+                       "cdc_stream", status=audit.RUN_FAILED if done.error else audit.SUCCESS)
+        for done in drained])

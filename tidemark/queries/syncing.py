@@ -120,6 +120,7 @@ b AS (SELECT o_orderpriority AS source_id, max(o_orderdate) AS ts_value,
 SELECT coalesce(m.source_id, b.source_id) AS source_id,
        greatest(m.ts_value, b.ts_value) AS ts_value,
        greatest(m.long_value, b.long_value) AS long_value,
+       CAST(NULL AS DECIMAL(38,10)) AS exact_value,
        CASE WHEN m.source_id IS NULL OR b.ts_value > m.ts_value OR b.long_value > m.long_value
             THEN TIMESTAMP '{AS_OF}' ELSE m.updated_at END AS updated_at
 FROM m FULL JOIN b ON m.source_id = b.source_id
@@ -133,6 +134,7 @@ def watermark_advance(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{_MARKS_SQL}
 SELECT source_id, CASE WHEN source_id = '2-HIGH' THEN TIMESTAMP '1997-01-01'
                        ELSE ts_value END AS ts_value, long_value,
+       CAST(NULL AS DECIMAL(38,10)) AS exact_value,
        CASE WHEN source_id = '2-HIGH' THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at
 FROM m
 """)
@@ -157,3 +159,17 @@ def change_ledger(spark: SparkSession, sf: str) -> DataFrame:
     applied = (documents.filter(F.col("n_chars") < 2000)
                .select("doc_id", flattened.alias("checksum")))
     return sync.ledger(available, applied, "doc_id")
+
+
+@query("""
+SELECT max(CAST(o_orderdate AS DATE))::TIMESTAMP AS date_mark, max(o_orderkey) AS number_mark,
+       CAST(max(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(38,10)) AS exact_mark
+FROM orders
+""")
+def watermark_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks over a DATE, a whole number and a decimal, each of its own kind and exact."""
+    orders = table(spark, sf, "orders").withColumns({
+        "ordered": F.col("o_orderdate").cast("date"), "price": F.col("o_totalprice").cast("decimal(15,2)")})
+    marks = {"date_mark": "ordered", "number_mark": "o_orderkey", "exact_mark": "price"}
+    return orders.agg(*[sync.mark_value(c, orders.schema[c].dataType).alias(name)
+                        for name, c in marks.items()])
