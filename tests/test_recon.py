@@ -111,7 +111,8 @@ def test_bad_checks_are_refused(settings):
 def config(**changes):
     target = {"name": "t", "target_table": "curated.t", "source_ref": "legacy.t",
               "key_columns": ["id"],
-              "checks": [{"name": "n", "check_type": "row_count"}], **changes}
+              "checks": [{"name": "n", "check_type": "row_count"},
+                         {"name": "s", "check_type": "column_sum", "column": "v"}], **changes}
     return {"use_case": "us1", "targets": [target]}
 
 
@@ -233,3 +234,44 @@ def test_rollup_and_skipped(spark):
     skipped = recon.skipped(results, ["target_name"]).collect()
     assert {(r.status, r.overall_passed, r.checks_passed) for r in skipped} == \
         {("SKIPPED", False, 0)}
+
+
+def test_text_has_no_distance_to_tolerate(spark):
+    check = recon.Check("w", "min_max", "w", 0.5, justification="any")
+    with pytest.raises(recon.ReconConfigError, match="text"):
+        recon.measure(spark.createDataFrame([("a",)], "w STRING"), [check])
+
+
+def test_one_value_has_one_digest_however_it_is_stored(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1, 1.50, DATE'2024-01-02'), (-20, 0, NULL), (NULL, -0.05, DATE'1999-12-31')
+                      AS t(i, d, day)""")
+    check = recon.Check("h", "column_hash", "c")
+
+    def digest(text):
+        return recon.measure(df.selectExpr(f"{text} AS c"), [check]).first().metric
+
+    for same in (("CAST(i AS BIGINT)", "CAST(i AS DECIMAL(38,10))", "CAST(i AS DECIMAL(5,0))", "CAST(i AS STRING)", "CAST(i AS DOUBLE)"),
+                 ("CAST(d AS DECIMAL(9,2))", "CAST(d AS DECIMAL(38,12))", "CAST(d AS DOUBLE)"),
+                 ("day", "CAST(day AS TIMESTAMP_NTZ)")):
+        assert len({digest(text) for text in same}) == 1, same
+    tiny = [f"CAST(0.00000000{n} AS DECIMAL(38,12))" for n in (1, 2)]
+    assert digest(tiny[0]) != digest(tiny[1])
+
+
+def test_different_types_are_findings_and_not_the_end(spark):
+    legacy = spark.createDataFrame([(1, 10), (2, 20)], "id INT, v INT")
+    target = spark.createDataFrame([("1", "10"), ("x", "no number")], "id STRING, v STRING")
+    found = {(r.id, r.check_name) for r in recon.differences(legacy, target, ["id"], ["v"]).collect()}
+    assert found == {("2", "missing_in_target"), ("x", "missing_in_legacy")}
+
+
+@pytest.mark.parametrize("limit", [3, 100, 1001, 100_000])
+def test_a_sample_is_limited_before_findings_meet(spark, limit):
+    legacy = spark.range(5000).selectExpr("id", "id AS v")
+    target = spark.range(5000).selectExpr("id", "id + 1 AS v")
+    found = recon.exceptions(legacy, target, ["id"], ["v"], limit)
+    assert sorted(r.id for r in found.collect()) == list(range(min(limit, 5000)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Exchange" in line or "Filter (_rank" in line.replace("#", "")]
+    by_check = next(i for i, line in enumerate(plan.splitlines()) if "hashpartitioning(check_name" in line and "_salt" not in line)
+    assert any("_rank" in line and "Filter" in line for line in plan.splitlines()[by_check + 1:]), lines

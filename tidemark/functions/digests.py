@@ -12,16 +12,37 @@ from pyspark.sql import types as T
 NULL_TEXT = "<null>"
 
 
+def _without_zeros(decimal: Column) -> Column:
+    """The text of a number that has decimals, as short as it can be; zero may come as 0E-10."""
+    short = F.rtrim(F.rtrim(decimal, F.lit("0")), F.lit("."))
+    return F.when(decimal.contains("E"), _plain(decimal)).otherwise(short)
+
+
+def _plain(decimal: Column) -> Column:
+    """Small numbers that come in exponents, digit by digit."""
+    digits = F.replace(F.regexp_extract(decimal, r"^-?([0-9.]+)E", 1), F.lit("."), F.lit(""))
+    zeros = F.repeat(F.lit("0"), F.regexp_extract(decimal, r"E-(\d+)$", 1).cast("int") - 1)
+    sign = F.when(decimal.startswith("-"), "-").otherwise("")
+    small = F.rtrim(F.concat(sign, F.lit("0."), zeros, digits), F.lit("0"))
+    return F.when(F.regexp_like(decimal, F.lit("^-?0E")), "0").otherwise(small)
+
+
 def canonical_text(value: Column, dtype: T.DataType) -> Column:
     """Text that does not depend on how either side stores the value.
 
-    Doubles and decimals are written with six decimals and timestamps in UTC, so
-    the same amount kept as DOUBLE on one side and DECIMAL on the other agrees.
+    Numbers are written without trailing zeros, exact ones in full and floating ones to six
+    decimals; a date is its midnight and timestamps are in UTC. So one value kept as BIGINT or
+    DECIMAL(38,10), as DOUBLE or DECIMAL, or as DATE or TIMESTAMP agrees with itself, and
+    two exact values that differ in any decimal do not.
     """
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dtype, T.DecimalType):
+        return _without_zeros(value.cast("string")) if dtype.scale else value.cast("string")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
         exact = value.try_cast("decimal(38,6)")
         # A double outside the decimal range keeps its own text instead of vanishing.
-        return F.coalesce(exact.cast("string"), value.cast("string"))
+        return F.coalesce(_without_zeros(exact.cast("string")), value.cast("string"))
+    if isinstance(dtype, T.DateType):
+        return value.cast("timestamp_ntz").cast("string")
     if isinstance(dtype, T.TimestampType):
         return F.to_utc_timestamp(value, F.current_timezone()).cast("timestamp_ntz").cast("string")
     if isinstance(dtype, T.BinaryType):

@@ -45,38 +45,45 @@ def reconcile(spark: SparkSession, ctx: RunContext, config: recon.ReconConfig, g
     What reaches the driver is one row per check; mismatching rows go straight
     from the tasks to the exception table.
     """
-    started = ctx.clock()
     runs: list[dict] = []
-    checks: list[dict] = []
     with audit.audited(spark, ctx, "recon"):
         for target in config.targets:
             run = {"target_name": target.name, "layer": target.layer,
                    "target_table": target.target_table, "source_ref": target.source_ref,
-                   "checks_total": len(target.checks), "started_at": started,
+                   "checks_total": len(target.checks), "started_at": ctx.clock(),
                    "notes": gate.reason}
-            if not gate.proceed:
-                runs.append({**run, "status": recon.SKIPPED, "checks_passed": 0,
-                             "checks_failed": 0, "overall_passed": False,
-                             "ended_at": ctx.clock()})
-                continue
-            legacy, actual = open_table(target.source_ref), open_table(target.target_table)
-            results = [row.asDict() for row in recon.compare(
-                recon.measure(legacy, target.checks), recon.measure(actual, target.checks),
-                target.checks).collect()]
-            passed = sum(r["passed"] for r in results)
-            now = ctx.clock()
-            checks += [{**r, "target_name": target.name, "evaluated_at": now} for r in results]
-            clean = passed == len(results)
-            runs.append({**run, "status": recon.PASSED if clean else recon.FAILED,
-                         "checks_passed": passed, "checks_failed": len(results) - passed,
-                         "overall_passed": clean, "ended_at": now})
-            if not clean and target.key_columns:
-                _record_exceptions(ctx, target, legacy, actual, exceptions)
-        audit.record(spark, ctx, "parity_check_result", checks)
-        audit.record(spark, ctx, "parity_run", runs)
+            outcome = {"status": recon.SKIPPED, "checks_passed": 0, "checks_failed": 0,
+                       "overall_passed": False}
+            if gate.proceed:
+                try:
+                    outcome = _compared(spark, ctx, target, open_table, exceptions)
+                except Exception as error:
+                    # An unreadable target proves nothing, and says nothing about the others.
+                    outcome |= {"status": recon.FAILED, "checks_failed": len(target.checks),
+                                "notes": f"not compared: {type(error).__name__}: {error}"[:1000]}
+            runs.append({**run, **outcome, "ended_at": ctx.clock()})
+            audit.record(spark, ctx, "parity_run", runs[-1:])
     return runs
 
 
+def _compared(spark: SparkSession, ctx: RunContext, target: recon.Target,
+              open_table: Callable[[str], DataFrame], exceptions: int) -> dict:
+    """Measure and compare one target and record its evidence before the next one starts."""
+    legacy, actual = open_table(target.source_ref), open_table(target.target_table)
+    results = [row.asDict() for row in recon.compare(
+        recon.measure(legacy, target.checks), recon.measure(actual, target.checks),
+        target.checks).collect()]
+    now = ctx.clock()
+    audit.record(spark, ctx, "parity_check_result", [
+        {**r, "target_name": target.name, "evaluated_at": now} for r in results])
+    passed = sum(r["passed"] for r in results)
+    clean = passed == len(results)
+    if not clean and target.key_columns:
+        _record_exceptions(ctx, target, legacy, actual, exceptions)
+    return {"status": recon.PASSED if clean else recon.FAILED, "checks_passed": passed,
+            "checks_failed": len(results) - passed, "overall_passed": clean}
+
+
 def _record_exceptions(ctx: RunContext, target: recon.Target, legacy: DataFrame,
                        actual: DataFrame, limit: int) -> None:
     now = ctx.clock()

@@ -371,3 +371,35 @@ ORDER BY started_at DESC, recon_run_id, target_name LIMIT 10
 def latest_skipped(spark: SparkSession, sf: str) -> DataFrame:
     return ready.latest_skipped(parity_runs(spark, sf)).select(
         "recon_run_id", "target_name", "status", "notes", "started_at")
+
+
+TYPED_CHECKS = tuple(check for column in ("o_orderkey", "o_totalprice", "ordered", "o_custkey") for check in (
+    recon.Check(f"{column}_hash", "column_hash", column), recon.Check(f"{column}_count", "distinct_count", column)))
+
+
+@query("""
+WITH m AS (SELECT count(*) FILTER (
+                    WHERE CAST(o_orderkey AS DECIMAL(38,10)) <> o_orderkey) AS a,
+                  count(*) FILTER (WHERE CAST(o_totalprice AS DECIMAL(18,2)) <> o_totalprice) AS b,
+                  count(*) FILTER (WHERE CAST(o_orderdate AS DATE)::TIMESTAMP <>
+                                         date_trunc('day', o_orderdate)) AS c,
+                  count(*) FILTER (WHERE CAST(CAST(o_custkey AS VARCHAR) AS BIGINT) <> o_custkey) AS d
+           FROM orders)
+SELECT column_name, check_type, differing = 0 AS passed FROM m, LATERAL (VALUES
+  ('o_orderkey', a), ('o_totalprice', b), ('ordered', c), ('o_custkey', d)) AS v(column_name, differing),
+  LATERAL (VALUES ('column_hash'), ('distinct_count')) AS k(check_type)
+UNION ALL
+SELECT 'rows that differ', 'exceptions', sum(a + b + c + d) = 0 FROM m
+""")
+def parity_across_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders against themselves as another system would store them."""
+    orders = table(spark, sf, "orders").withColumn("ordered", F.date_trunc("day", "o_orderdate").cast("timestamp_ntz"))
+    other = orders.withColumns({
+        "o_orderkey": F.col("o_orderkey").cast("decimal(38,10)"),
+        "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"),
+        "ordered": F.col("ordered").cast("date"), "o_custkey": F.col("o_custkey").cast("string")})
+    compared = recon.compare(recon.measure(orders, TYPED_CHECKS), recon.measure(other, TYPED_CHECKS), TYPED_CHECKS)
+    found = recon.exceptions(orders, other, ["o_orderkey"], ["o_totalprice", "ordered", "o_custkey"])
+    none = found.agg((F.count(F.lit(1)) == 0).alias("passed")).select(
+        F.lit("rows that differ").alias("column_name"), F.lit("exceptions").alias("check_type"), "passed")
+    return compared.select("column_name", "check_type", "passed").unionByName(none)
