@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.contracts import widened
 
-VERSION, UP_TO = "tidemark.version", "tidemark.upto"
+OWN = "tidemark."
+VERSION, UP_TO = f"{OWN}version", f"{OWN}upto"
 
 
 @dataclass(frozen=True)
@@ -89,13 +90,16 @@ def stage(df: DataFrame, name: str, metrics: Sequence[Column] = (),
 
 
 def swap(spark: SparkSession, staged: Staged, up_to: int | None = None,
-         keep: int = 2) -> Published:
+         keep: int = 2, noted: dict[str, str] | None = None) -> Published:
     """Point the view at the staged version in one catalog change.
 
     Readers see the old rows or the new ones, never half a table. The last
-    ``keep`` versions stay for queries that started before the change.
+    ``keep`` versions stay for queries that started before the change. What earlier
+    publishers noted on the view is carried over; ``noted`` adds to it in the same change.
     """
-    properties = {VERSION: str(staged.version)}
+    properties = {key: value for key, value in _properties(spark, staged.name).items()
+                  if key.startswith(OWN)}
+    properties |= {VERSION: str(staged.version), **{f"{OWN}{k}": v for k, v in (noted or {}).items()}}
     if up_to is not None:
         properties[UP_TO] = str(up_to)
     listed = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
@@ -106,11 +110,17 @@ def swap(spark: SparkSession, staged: Staged, up_to: int | None = None,
     return Published(staged.name, staged.version, staged.rows)
 
 
+def notes(spark: SparkSession, name: str) -> dict[str, str]:
+    """What publishers have noted on the view, by the name they gave it."""
+    return {key.removeprefix(OWN): value for key, value in _properties(spark, name).items()
+            if key.startswith(OWN)}
+
+
 def publish(df: DataFrame, name: str, up_to: int | None = None, keep: int = 2,
-            **layout: Any) -> Published:
+            noted: dict[str, str] | None = None, **layout: Any) -> Published:
     """Replace a table in full. It may be among the inputs of ``df``: it is not
     touched while being read."""
-    return swap(df.sparkSession, stage(df, name, **layout), up_to, keep)
+    return swap(df.sparkSession, stage(df, name, **layout), up_to, keep, noted)
 
 
 def append(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
