@@ -1,6 +1,8 @@
 import json
+import random
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -509,8 +511,7 @@ def test_from_a_topic_to_the_marts(spark, ctx, tmp_path):
         spark.createDataFrame(rows, records).write.mode("append").parquet(str(tmp_path / "in"))
         stream = decode_envelope(spark.readStream.schema(records).parquet(str(tmp_path / "in")),
                                  F.lit(f"2024-01-{day:02} 00:00:00").cast("timestamp"))
-        done = streams.land(streams.dated(stream), "orders", str(tmp_path),
-                            str(tmp_path / "landed"), partition_by=["_load_date"])
+        done = streams.land(stream, "orders", str(tmp_path), case.landing)
         landing.record_drained(spark, ctx, [done], str)
         return done
 
@@ -533,3 +534,90 @@ def test_from_a_topic_to_the_marts(spark, ctx, tmp_path):
     gate = reconcile.etl_gate(spark, ctx)
     assert [r["status"] for r in reconcile.reconcile(spark, ctx, config, gate, spark.table)] \
         == ["PASSED"]
+
+
+@pytest.mark.parametrize("kind, values, mark", [
+    ("DATE", [date(2024, 1, 1), date(2024, 1, 2)], datetime(2024, 1, 2)),
+    ("TIMESTAMP_NTZ", [datetime(2024, 1, 1), datetime(2024, 1, 2, 3)], datetime(2024, 1, 2, 3)),
+    ("INT", [1, 2], 2), ("BIGINT", [1, 2**53 + 1], 2**53 + 1),
+    ("DECIMAL(12,2)", [Decimal("1.00"), Decimal("12.75")], Decimal("12.75")),
+], ids=["date", "timestamp", "int", "bigint", "decimal"])
+def test_a_batch_lands_once_whatever_its_mark(spark, ctx, kind, values, mark):
+    from tidemark.sources.jdbc import newer_than
+    table = ctx.ops.replace("ops_", "db_") + ".t"
+    rows = spark.createDataFrame([(v,) for v in values], f"changed {kind}")
+    read = lambda _, known: newer_than(rows, "changed", known)
+    assert landing.land(spark, ctx, spec(), table, read).mark == mark
+    again = landing.land(spark, ctx, spec(), table, read)
+    assert (again.rows, again.mark) == (0, mark) and spark.table(table).count() == 2
+
+
+def test_a_text_mark_is_refused_before_anything_lands(spark, ctx):
+    table = ctx.ops.replace("ops_", "db_") + ".t"
+    rows = spark.createDataFrame([("a",)], "changed STRING")
+    with pytest.raises(ValueError, match="cannot carry a mark"):
+        landing.land(spark, ctx, spec(), table, lambda *_: rows)
+    assert not spark.catalog.tableExists(table)
+
+
+@pytest.mark.parametrize("seed", [1, 2], ids=["one", "two"])
+def test_any_slicing_of_ties_gives_the_rows_of_a_rebuild(spark, ctx, seed):
+    rng = random.Random(seed)
+    case = case_for(ctx)
+    for day in range(1, 5):
+        rows = [message(rng.choice("abcd"), ts="2024-02-01 00:00:00", status=rng.choice(
+            ["new", "active", "settled"]), ) for _ in range(6)]
+        put(spark, case, rows, load_date=f"2024-03-0{day}")
+        usecase.curate(spark, ctx, case, since=f"2024-03-0{day}")
+    grown = sorted(map(str, spark.table(case.curated).collect()))
+    usecase.curate(spark, ctx, case)
+    assert grown == sorted(map(str, spark.table(case.curated).collect()))
+
+
+def test_a_development_copy_never_takes_a_tables_place(spark, ctx):
+    name = ctx.ops.replace("ops_", "db_")
+    tables.publish(spark.range(50).toDF("id"), f"{name}.t")
+    sandbox = replace(ctx, env="dev")
+    assert usecase.development_copy(spark, sandbox, f"{name}.t", f"{name}.t_sample", 5).rows == 5
+    for where, target in ((replace(ctx, env="prod"), f"{name}.t_sample"), (sandbox, f"{name}.t")):
+        with pytest.raises(ValueError):
+            usecase.development_copy(spark, where, f"{name}.t", target, 5)
+    assert spark.table(f"{name}.t").count() == 50
+
+
+def test_publishing_carries_notes_over(spark, ctx):
+    name = ctx.ops.replace("ops_", "db_") + ".t"
+    tables.publish(spark.range(3), name, up_to=7)
+    tables.publish(spark.range(4), name, noted={"why": "more"})
+    assert tables.folded_up_to(spark, name) == 7 and tables.notes(spark, name)["why"] == "more"
+
+
+def test_a_change_shown_before_a_crash_is_not_applied_again(spark, ctx, monkeypatch):
+    name = ctx.ops.replace("ops_", "db_") + ".t"
+    tables.publish(spark.range(3).toDF("id"), name)
+    change = evolve.Change("V1__double", "c1", lambda df: df.withColumn("id", df.id * 2))
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(evolve.audit, "record", crash)
+        with pytest.raises(OSError):
+            evolve.migrate(spark, ctx, name, [change])
+    assert evolve.migrate(spark, ctx, name, [change]) == []
+    assert sorted(r.id for r in spark.table(name).collect()) == [0, 2, 4]
+    assert spark.table(ctx.ops_table("schema_migration")).count() == 1
+
+
+def test_an_unreadable_target_does_not_erase_the_others(spark, ctx):
+    spark.range(3).selectExpr("id", "id as v").createOrReplaceTempView("sound")
+    spark.range(3).selectExpr("id", "id as v").createOrReplaceTempView("sound_too")
+    checks = [{"name": "n", "check_type": "row_count"}, {"name": "s", "check_type": "column_sum", "column": "v"}]
+    config = recon.load_config({"use_case": "us1", "targets": [
+        {"name": n, "target_table": t, "source_ref": "sound", "checks": checks}
+        for n, t in (("one", "sound_too"), ("two", "gone"), ("three", "sound_too"))]})
+    runs = reconcile.reconcile(spark, ctx, config, reconcile.Gate(True, "go"), spark.table)
+    assert [r["status"] for r in runs] == ["PASSED", "FAILED", "PASSED"]
+    assert "not compared" in runs[1]["notes"]
+    assert spark.table(ctx.ops_table("parity_run")).count() == 3
+    assert spark.table(ctx.ops_table("parity_check_result")).count() == 4

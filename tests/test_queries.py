@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from tests.oracle import connect, differences
+from tidemark.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -15,14 +16,18 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, duck, name):
-    df = entry_points.queries()[name](spark, SF_DIR)
-    assert differences(df, duck, entry_points.oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, SF_DIR), duck, ORACLES[name]) == []
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry_runs(spark):

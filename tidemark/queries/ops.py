@@ -138,6 +138,30 @@ def latest_load(spark: SparkSession, sf: str) -> DataFrame:
     return reports.latest_load(load_log(spark, sf), before(AS_OF, days=5))
 
 
+@query(f"""{_LOADS_SQL}
+SELECT run_id, source_id, use_case, target_table, rows_written, status, loaded_at
+FROM loads WHERE loaded_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY ORDER BY loaded_at DESC
+""")
+def loads_since_yesterday(spark: SparkSession, sf: str) -> DataFrame:
+    """Every load, newest first."""
+    loads = readiness.recent(load_log(spark, sf), "loaded_at", AS_OF, 1, F.lit(True))
+    return loads.orderBy(F.desc("loaded_at"), "run_id", "source_id", "target_table")
+
+
+@query(f"""
+SELECT ts AS evaluated_at, event_type AS expectation_name, 'us' || user_id AS use_case,
+       CAST(event_id % 7 AS BIGINT) AS rows_failed
+FROM events WHERE event_id % 7 <> 0 AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS
+""")
+def failing_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of the last seven days that did not pass; each event is one check."""
+    checks = table(spark, sf, "events").select(
+        F.col("ts").alias("evaluated_at"), F.col("event_type").alias("expectation_name"),
+        F.concat(F.lit("us"), F.col("user_id").cast("string")).alias("use_case"),
+        (F.col("event_id") % 7).alias("rows_failed"))
+    return readiness.recent(checks, "evaluated_at", AS_OF, 7, F.col("rows_failed") > 0)
+
+
 @query(f"""{_LOADS_SQL}
 SELECT run_id, use_case, count(*) AS n_loads,
        CAST(coalesce(sum(rows_written), 0) AS BIGINT) AS total_rows,

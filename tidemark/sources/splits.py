@@ -29,15 +29,16 @@ class Split:
     points: tuple[int, ...] = ()
 
     def __post_init__(self) -> None:
-        bounds = (self.lower, self.upper, self.parts)
-        if self.points:
-            if list(self.points) != sorted(set(self.points)):
-                raise SourceError(f"{self.column}: split points must ascend")
-            return
-        if any(b is None for b in bounds):
-            raise SourceError(f"{self.column}: a split needs lower, upper and parts, or points")
-        if self.upper <= self.lower or self.parts < 1:
-            raise SourceError(f"{self.column}: upper must exceed lower, parts be at least 1")
+        even = (self.lower, self.upper, self.parts)
+        rules = {
+            "split points must ascend": any(a >= b for a, b in zip(self.points, self.points[1:])),
+            "a split needs lower, upper and parts, or points": not self.points and None in even,
+            "upper must exceed lower": not self.points and None not in even and self.upper <= self.lower,
+            "parts must be at least 1": not self.points and self.parts is not None and self.parts < 1,
+        }
+        broken = [text for text, is_broken in rules.items() if is_broken]
+        if broken:
+            raise SourceError(f"{self.column}: {'; '.join(broken)}")
 
     def boundaries(self) -> tuple[int, ...]:
         """Inner cut points, ascending. n cuts give n + 1 reads."""
@@ -65,19 +66,23 @@ class Split:
         return index
 
 
-def split_of(options: Mapping[str, str]) -> Split | None:
-    """The split a registry row asks for: all four settings, or none."""
-    column = options.get("partition_column")
-    if not column:
-        return None
-    if options.get("split_points"):
-        return Split(column, points=tuple(int(p) for p in options["split_points"].split(",")))
-    names = ("lower_bound", "upper_bound", "num_partitions")
-    missing = [name for name in names if options.get(name) in (None, "")]
-    if missing:
-        raise SourceError(f"partition_column is set, but {missing} are not")
+# What a registry row calls the settings of an even split.
+EVEN = {"lower": "lower_bound", "upper": "upper_bound", "parts": "num_partitions"}
+
+
+def _whole(option: str, text: str) -> int:
     try:
-        lower, upper, parts = (int(options[name]) for name in names)
+        return int(text)
     except ValueError as error:
-        raise SourceError(f"partition bounds must be integers: {error}") from error
-    return Split(column, lower, upper, parts)
+        raise SourceError(f"{option} must be an integer, got {text!r}") from error
+
+
+def split_of(options: Mapping[str, str]) -> Split | None:
+    """The split a registry row asks for: a column with points or with all even settings, or none."""
+    if not options.get("partition_column"):
+        return None
+    if points := options.get("split_points"):
+        return Split(options["partition_column"],
+                     points=tuple(_whole("split_points", p) for p in points.split(",")))
+    given = {field: _whole(option, options[option]) for field, option in EVEN.items() if options.get(option)}
+    return Split(options["partition_column"], **given)
