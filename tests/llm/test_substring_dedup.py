@@ -28,9 +28,9 @@ def slow(rows, window):
     return sorted(out, key=str)
 
 
-def check(spark, rows, window):
+def check(spark, rows, window, **how):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = dedup.deduplicated(docs, window).drop("kept").collect()
+    got = dedup.deduplicated(docs, window, **how).drop("kept").collect()
     assert sorted(map(tuple, got), key=str) == slow(rows, window)
 
 
@@ -68,6 +68,7 @@ def test_many_near_copies(spark):
             words[rng.randrange(len(words))] = f"edit{rng.randrange(30)}"
         rows.append((i, " ".join(words)))
     check(spark, rows, 50)
+    check(spark, rows, 50, hot=5)  # most hashes are shared by more
 
 
 def test_suffix_order_and_ranks():

@@ -11,6 +11,10 @@ matches to the left in an earlier document, and what is at least a window long i
 Exact copies of a document are set aside before: all but the first lose every word if they have a
 window at all.
 
+A hash that more than ``HOT`` documents share would gather too many passages in one shard. Its windows
+go by their own content instead, one row each: equal ones are folded to the earliest document by partial
+aggregation, whatever their number, and the others compared with it.
+
 Defined results. NULL and empty texts have no words. A NULL id sorts behind all others, and rows without an id do not
 remove from one another; nor do rows repeating an id. Windows are judged on the input. An empty table gives an empty
 result. Other columns are never read.
@@ -33,6 +37,7 @@ from tidemark.llm.fmindex import FMIndex
 WINDOW = 50
 GRAM = 8
 SPREAD = 16
+HOT = 20_000  # documents that may share a hash before its windows are dealt out one by one
 BLOCK_WORDS = 1 << 20  # words that one index holds
 BATCH_BYTES = 1 << 24
 LAST = (1 << 63) - 1  # the place of a NULL id in the order of documents
@@ -100,14 +105,15 @@ def candidate_windows(grams: np.ndarray, shared: np.ndarray, window: int) -> np.
     return run[inside:] - run[:-inside] == inside
 
 
-PASSAGES = "anchor bigint, place bigint, rid bigint, first bigint, words binary"
+PASSAGES = "anchor bigint, place bigint, rid bigint, first bigint, words binary, hot boolean"
 
 
 def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
         out: list[tuple] = []
-        for text, shared, place, rid in zip(*[batch.column(c) for c in ("text", "shared", "place", "rid")], strict=True):
-            words = _words(text.as_py())
+        columns = [batch.column(c) for c in ("text", "shared", "hot", "place", "rid")]
+        for text, shared, hot, place, rid in zip(*columns, strict=True):
+            words, hot = _words(text.as_py()), set(hot.as_py())
             grams = _grams(words, GRAM)
             fine = candidate_windows(grams, shared.values.to_numpy(), window)
             starts = np.flatnonzero(fine)
@@ -116,13 +122,16 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             key = _lowest(grams, window - GRAM + 1).view(np.int64)[starts]
             edges = np.flatnonzero((np.diff(starts) != 1) | (np.diff(key) != 0)) + 1
             for a, b in zip(np.r_[0, edges], np.r_[edges, len(starts)], strict=True):
-                first, stop = int(starts[a]), int(starts[b - 1]) + window
-                out.append((int(key[a]), place.as_py(), rid.as_py(), first, b" ".join(words[first:stop])))
+                first, stop, anchor = int(starts[a]), int(starts[b - 1]) + window, int(key[a])
+                single = anchor in hot  # then each window is a passage of its own
+                for begin in range(first, stop - window + 1) if single else (first,):
+                    end = begin + window if single else stop
+                    out.append((anchor, place.as_py(), rid.as_py(), begin, b" ".join(words[begin:end]), single))
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                ["anchor", "place", "rid", "first", "words"])
+                ["anchor", "place", "rid", "first", "words", "hot"])
 
 
 def matched_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, count: np.ndarray, owner: np.ndarray,
@@ -226,10 +235,16 @@ def _spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(rid, first, stop) word ranges of the representatives (place, rid, text, shared)."""
-    passages = rows.mapInArrow(lambda b: _passages(b, window), PASSAGES)
-    return passages.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+    """(rid, first, stop) word ranges of the representatives (place, rid, text, shared, hot)."""
+    passages = written(rows.mapInArrow(lambda b: _passages(b, window), PASSAGES), "passages")
+    sharded = passages.where("not hot").drop("hot")
+    spans = sharded.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda b: _spans(b, window), "rid bigint, first bigint, stop bigint")
+    single = passages.where("hot").select(
+        F.xxhash64("words").alias("w1"), F.xxhash64(F.lit(1), "words").alias("w2"), "place", "rid", "first")
+    earliest = written(single.groupBy("w1", "w2").agg(F.min("place").alias("lowest")), "windows")
+    repeated = single.join(earliest, ["w1", "w2"]).where("place > lowest")
+    return spans.unionAll(repeated.select("rid", "first", F.col("first") + window))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +262,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["rid", "n_removed", "kept"])
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Per row of (doc_id, text): n_words, n_removed, kept_sha256, and the kept text where it differs from all words."""
     keyed = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"),
@@ -262,10 +277,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = read.join(firsts, ["c1", "c2"], "left").withColumn(
         "copy", F.coalesce(F.col("place") > F.col("lowest"), F.lit(False)))
     held = written(rows.where("not copy").select("place", "rid", F.explode("anchors").alias("anchor")).distinct(), "held")
-    shared = written(held.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b"))
-                     .where("a < b").select("anchor"), "shared")
-    lists = held.join(shared, "anchor").groupBy("rid").agg(
-        F.first("place").alias("place"), F.collect_list("anchor").alias("shared"))  # at most a document's anchors
+    shared = written(held.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
+                     .where("a < b").select("anchor", (F.col("n") > hot).alias("is_hot")), "shared")
+    lists = held.join(shared, "anchor").groupBy("rid").agg(  # at most a document's anchors
+        F.first("place").alias("place"), F.collect_list("anchor").alias("shared"),
+        F.collect_list(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
     texts = written(
         keyed.select("rid", "text").join(lists, "rid").dropDuplicates(["rid"]), "texts")
     spans = repeated_spans(texts, window).groupBy("rid").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
