@@ -11,8 +11,6 @@ from tidemark.functions.times import before
 from tidemark.operators.recon import SKIPPED
 
 GROUP = ("use_case", "env")
-SALTS = 16
-
 
 def run_grain(targets: DataFrame) -> DataFrame:
     """Target rows to one row per run: clean only when every target passed."""
@@ -49,10 +47,12 @@ def _streaks(runs: DataFrame, *extra: Column) -> DataFrame:
         .agg(F.max(F.when(~F.col("run_clean"), position)).alias("_broken"))
     )
     # Salted: one use case may hold a third of all runs. Its single row is repeated per
-    # salt, its runs are spread over them, and the counts are added up at the end.
-    salted = broken.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # salt, its runs are spread over them, and the counts are added up at the end. There are as
+    # many salts as shuffle partitions, so a hot use case can use the whole cluster.
+    salts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = broken.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = runs.withColumn("_salt", F.pmod(F.xxhash64("recon_run_id", "started_at"),
-                                             F.lit(SALTS)).cast("int"))
+                                             F.lit(salts)).cast("int"))
     after = F.col("_broken").isNull() | (position > F.col("_broken"))
     return (
         spread.join(salted, [*GROUP, "_salt"])
