@@ -304,10 +304,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
     """Lexicon and regression weights."""
     rows = written(training_rows(docs, labels, sample), "toxicity-sample")
     lexicon = learn_lexicon(rows)
-    got = rows.mapInArrow(lambda b: _feature_rows(b, lexicon), "toxic int, features array<double>").orderBy(
-        "toxic", "features").toArrow()  # at most the sample, a few numbers a row
-    features = np.array(got.column("features").to_pylist(), float).reshape(got.num_rows, FEATURES)
-    return lexicon, fit(features, got.column("toxic").to_numpy().astype(float))
+    got = rows.mapInArrow(lambda b: _feature_rows(b, lexicon), "toxic int, features array<double>").toArrow()
+    fitted = np.zeros((got.num_rows, FEATURES + 1))  # at most the sample, a few numbers a row
+    fitted[:, 0] = got.column("toxic").to_numpy()
+    fitted[:, 1:] = np.array(got.column("features").to_pylist(), float).reshape(got.num_rows, FEATURES)
+    fitted = fitted[np.lexsort(fitted.T)]  # sums in one order, so that reruns agree
+    return lexicon, fit(fitted[:, 1:], fitted[:, 0])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], lexicon: tuple, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
