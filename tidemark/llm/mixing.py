@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, repacked, row_key, table, word_count, written
+from tidemark.llm.common import repacked, row_key, table, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
