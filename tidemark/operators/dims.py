@@ -112,9 +112,12 @@ def refresh(target: DataFrame, source: DataFrame, natural: str, key: str,
 
     Only inserted rows need a key, and known rows bring theirs along in the upsert, so
     the stored keys are never joined in: what is added to the upsert is the few new ones.
+    They are minted from the arriving keys as they are, which collapse there anyway; the rows
+    are checked for repeats once, on their way into the upsert.
     """
+    minted = mint_keys(target, source, natural, key)
     source = source if checked else require_unique(source, [natural])
-    keyed = source.join(mint_keys(target, source, natural, key), natural, "left")
+    keyed = source.join(minted, natural, "left")
     return upsert(target, keyed, [natural], compare, as_of, insert_only=[key], checked=True)
 
 
