@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import table, written
 from tidemark.llm.components import components
@@ -80,7 +81,7 @@ def _assigned(batches: Iterator[pa.RecordBatch], axes: np.ndarray, splits: list)
 BLOCKS = "cell int, block bigint, ids binary, copies binary, vectors binary, low array<double>, high array<double>, rest double"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], axes: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
     """Blocks of at most TILE vectors out of a partition that lies by cell, named by their first vector."""
     def block(cell: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         ids = np.concatenate([r.column("node").to_numpy() for r in rows])
@@ -91,7 +92,7 @@ def _packed(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> Iterator[pa.
         rest = float(np.sqrt((turned[:, AXES:] ** 2).sum(axis=1)).max())
         return pa.RecordBatch.from_pylist([{
             "cell": cell, "block": int(ids[0]), "ids": ids.tobytes(), "copies": copies.tobytes(),
-            "vectors": vectors.tobytes(), "low": lead.min(axis=0).tolist(), "high": lead.max(axis=0).tolist(),
+            "vectors": vectors.astype(kind).tobytes(), "low": lead.min(axis=0).tolist(), "high": lead.max(axis=0).tolist(),
             "rest": rest}], schema=pa.schema([
                 ("cell", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()),
                 ("vectors", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
@@ -163,13 +164,14 @@ def _stars(i: np.ndarray, j: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -
     return names[hung], names[root[hung]]
 
 
-def _compared(batches: Iterator[pa.RecordBatch], axes: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], axes: np.ndarray, kind: str,
+              threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             cell = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
             sides = []
             for side in ("", "2"):
-                raw = np.frombuffer(cell["vectors" + side]).reshape(-1, len(axes))
+                raw = np.frombuffer(cell["vectors" + side], kind).astype(float).reshape(-1, len(axes))
                 sides.append((np.frombuffer(cell["ids" + side], np.int64),
                               np.frombuffer(cell["copies" + side], np.int64), raw, _unit(raw) @ axes))
             (ids_a, n_a, raw_a, a), (ids_b, n_b, raw_b, b) = sides
@@ -245,12 +247,14 @@ def _links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     axes = principal_axes(unit)
     cells = min(CELLS, 1 << max(0, (-(-members.count() // TILE) - 1).bit_length()))
     splits = cell_splits(unit @ axes, cells)
+    # Blocks travel as the vectors are stored; what is computed with them is in double precision.
+    kind = "f4" if isinstance(members.schema["embedding"].dataType.elementType, T.FloatType) else "f8"
     schema = f"cell int, node bigint, copies bigint, embedding {members.schema['embedding'].dataType.simpleString()}"
     tiles = written(
         members.select("node", "copies", "embedding")
         .mapInArrow(lambda batches: _assigned(batches, axes, splits), schema)
         .repartition("cell").sortWithinPartitions("cell", "node")
-        .mapInArrow(lambda batches: _packed(batches, axes), BLOCKS), "tiles")
+        .mapInArrow(lambda batches: _packed(batches, axes, kind), BLOCKS), "tiles")
     by_axis = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(min(AXES, dims))]).alias(c)
     boxes = tiles.groupBy("cell").agg(by_axis(F.min, "low"), by_axis(F.max, "high"), F.max("rest").alias("rest"))
     pairs = spark.createDataFrame(list(_cell_pairs(boxes.orderBy("cell").collect(), threshold)), "c1 int, c2 int")
@@ -263,8 +267,8 @@ def _links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     one, two = tiles.select(body), tiles.select([F.col(c).alias(f"{c}2") for c in body])
     return (
         tasks.join(one, F.col("b1") == F.col("block")).join(two, F.col("b2") == F.col("block2"))
-        .repartition("b1", "b2").select([*body, *[f"{c}2" for c in body]])
-        .mapInArrow(lambda batches: _compared(batches, axes, threshold), "node bigint, links bigint, root bigint"))
+        .select([*body, *[f"{c}2" for c in body]])
+        .mapInArrow(lambda batches: _compared(batches, axes, kind, threshold), "node bigint, links bigint, root bigint"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
