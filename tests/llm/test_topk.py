@@ -54,5 +54,14 @@ def test_awkward_vectors(spark):
     check(spark, rows, lambda i: True)
 
 
+def test_a_row_that_several_partitions_hold_counts_once(spark):
+    rest = [(i, [float(i), 1.0]) for i in range(12)]
+    rows = [(20, [50.0, 1.0])] * 6 + [(21, [40.0, 1.0])] * 6 + rest
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, v, 0, 1, 1, 1) for i, v in rows], len(rows)), SCHEMA)
+    assert df.rdd.getNumPartitions() == len(rows)
+    got = topk.top_k(df, df.where("vec_id in (1, 20)")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == slow(rows, lambda i: i in (1, 20), 5)
+
+
 def test_no_vectors(spark):
     assert topk.top_k(frame(spark, []), frame(spark, [])).count() == 0

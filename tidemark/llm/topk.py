@@ -2,7 +2,7 @@
 
 A score is the sum of its partial scores over m slices, each slice being one list of the threshold
 algorithm. Phase one: every partition sends, per query and slice, its k best entries with their
-exact totals; the k-th best total found anywhere is a cutoff that the true k-th score cannot be
+exact totals; the k-th best total of different entries found anywhere is a cutoff that the true k-th score cannot be
 below. Phase two: the cutoff goes out to all partitions, which collect every entry with a partial score of
 at least cutoff / m in some slice: a total that reaches the cutoff must do so in one of them.
 Phase three: the entries collected get exact totals, those that reach the cutoff are kept, and k per
@@ -141,7 +141,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, slices: int = SLICES,
             matrix_ = _integers(asked.column("embedding").combine_chunks(), dims)
             held = spark.sparkContext.broadcast((ids, matrix_))
             run = lambda cut, held=held: rows.mapInArrow(
-                lambda batches: _phase(batches, *held.value, cut.value if cut else None, k, slices), schema)
+                lambda batches: _phase(batches, *held.value, cut.value if cut else None, k, slices), schema
+            ).distinct()  # a row that several partitions hold takes one place
             local = run(None).withColumn("place", F.row_number().over(ranking)).where(F.col("place") == k)
             cutoffs = [float("-inf")] * len(ids)
             for q, score in local.select("q", "score").collect():  # one number per query of the block
