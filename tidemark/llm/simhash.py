@@ -171,6 +171,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     of rows sharing that id the first by content, once."""
     best = near_duplicates(docs, shingle, radius).groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "rid")).alias("best"))
+    return first_rows(docs, best)
+
+
+def first_rows(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The documents that (anonymous, doc_id, rid) structs in ``best`` name, each once, with all their columns."""
     kept = written(best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.rid").alias("kept")), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
                        row_key(F.col("doc_id"), F.col("text")).alias("rid"))
