@@ -71,6 +71,25 @@ def test_held_out_accuracy_with_planted_misspellings(spark):
     assert not [r for r in got if r.predicted and not r.toxic]
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_copies_of_long_toxic_texts_push_no_term_out(spark, exact):
+    rng = random.Random(11)
+    plain = [f"{rng.choice('bdgkl')}{rng.choice('aeiou')}{i}" for i in range(300)]
+    rows = [(" ".join(rng.choices(plain, k=30)), 0) for _ in range(600)]
+    for term in ("scumbag", "vermin"):
+        for _ in range(12):
+            words = rng.choices(plain, k=30)
+            words[rng.randrange(1, 29)] = term
+            rows.append((" ".join(words), 1))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(3):
+        own = ["".join(rng.choices(letters, k=9)) for _ in range(900)]
+        rows += [(" ".join([*own, "vermin", *([] if exact else [f"n{i}"])]), 1) for i in range(26)]
+    lexicon, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    found = toxicity.Neighbourhood(lexicon)
+    assert found.nearest("scumbag") and (found.nearest("vermin") or not exact)
+
+
 def test_labels_of_the_held_out_fold_are_never_read(spark):
     docs = spark.createDataFrame([(i, f"word{i % 5} other") for i in range(200)], "doc_id bigint, text string")
     marks = docs.select("doc_id", F.lit(0).alias("quality"), (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))

@@ -2,7 +2,8 @@
 
 The lexicon is learned: words, and stems that many different words begin with, which labelled
 toxic documents hold far more often than the others and which stand among many different
-neighbours, so that words of one copied text do not enter.
+neighbours, so that words of one copied text do not enter; equal texts count once. All such patterns are tested, then
+the ``TERMS`` with most neighbourhoods are taken.
 Levenshtein automata of the terms are intersected with the lexicon's trie: a state is the set of
 (trie node, edits so far), made only when a word first needs it, and a word is in the lexicon's
 neighbourhood if it ends in a state with a term within that term's number of edits. Every hit is then read in
@@ -33,7 +34,6 @@ from tidemark.llm.common import table, written
 
 SAMPLE = 20_000  # labelled rows at most that the model is fitted on
 TERMS = 256  # lexicon terms at most
-CANDIDATES = 2048  # patterns at most whose neighbours are counted
 LEAST_SUPPORT = 5  # different neighbourhoods a term must have
 LEAST_ODDS = math.log(20)  # how much likelier a term is in toxic documents
 STEM = (4, 7)  # letters of a stem
@@ -217,14 +217,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["pattern", "toxic", "other"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], wanted: frozenset) -> Iterator[pa.RecordBatch]:
-    """Every wanted pattern with the word it stands for and that word's neighbours."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pattern with the word it stands for and that word's neighbours."""
     for batch in batches:
         seen = set()
         for text in batch.column("text"):
             words = [w.strip(EDGES) for w in (text.as_py() or "").lower().split()]
             for i, word in enumerate(words):
-                for pattern in _patterns({word}) & wanted:
+                for pattern in _patterns({word}):
                     seen.add((pattern, word, " ".join(words[max(0, i - 1):i] + words[i + 1:i + 2])))
         columns = zip(*seen, strict=True) if seen else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["pattern", "word", "context"])
@@ -232,14 +232,16 @@ def _contexts(batches: Iterator[pa.RecordBatch], wanted: frozenset) -> Iterator[
 
 def _chosen(found: dict[str, tuple[int, int, int]], terms: int) -> list[str]:
     """Terms out of (documents, neighbourhoods, words) by pattern: stems, and words that are no minor form of one."""
-    least = max(LEAST_SUPPORT, max((n for _, n, _ in found.values()), default=0) // 20)
-    steady = {p: v for p, v in found.items() if v[1] >= least and 3 * v[1] >= v[0]}
-    stems = {p[:-1]: v for p, v in steady.items() if p.endswith("*") and v[2] >= STEM_WORDS}
-    longest = {s for s, v in stems.items()
-               if not any(o != s and o.startswith(s) and stems[o][0] >= 0.9 * v[0] for o in stems)}
-    shortest = {s for s in longest if not any(o != s and s.startswith(o) for o in longest)}
-    covered = lambda w: max((stems[s][0] for s in shortest if w.startswith(s)), default=0)
-    words = [p for p, v in steady.items() if not p.endswith("*") and 2 * v[0] >= covered(p)]
+    stems = {p[:-1]: v for p, v in found.items() if p.endswith("*") and v[2] >= STEM_WORDS}
+    starts = lambda w: [w[:n] for n in range(*STEM) if n <= len(w)]
+    most = Counter()  # documents of a stem's most frequent longer stem
+    for s, v in stems.items():
+        for o in starts(s)[:-1]:
+            most[o] = max(most[o], v[0])
+    longest = {s for s, v in stems.items() if most[s] < 0.9 * v[0]}
+    shortest = {s for s in longest if not any(o in longest for o in starts(s)[:-1])}
+    covered = lambda w: max((stems[s][0] for s in starts(w) if s in shortest), default=0)
+    words = [p for p, v in found.items() if not p.endswith("*") and 2 * v[0] >= covered(p)]
     ranked = sorted([*(f"{s}*" for s in shortest), *words], key=lambda p: (-found[p][1], p))
     return sorted(ranked[:terms])
 
@@ -253,6 +255,7 @@ def _misspelt(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[p
 
 def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> tuple[list[str], frozenset]:
     """Patterns that set toxic rows apart, and the clean words that look like misspelt ones."""
+    rows = written(rows.distinct(), "toxicity-texts")  # copies of a text are no further documents
     totals = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     toxic, other = totals[0] or 0, totals[1] or 0
     if not toxic or not other:
@@ -260,15 +263,16 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> tuple[list[str], froze
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
     counted = written(rows.mapInArrow(_counts, "pattern string, toxic bigint, other bigint").groupBy("pattern").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).withColumn("odds", odds), "toxicity-counts")
-    likely = counted.where((F.col("odds") >= LEAST_ODDS) & (F.col("toxic") >= LEAST_SUPPORT)).orderBy(
-        F.desc(F.col("toxic") * F.col("odds")), "pattern").limit(CANDIDATES).select("pattern", "toxic").collect()
-    documents = {r["pattern"]: r["toxic"] for r in likely}
-    wanted = frozenset(documents)
-    support = (
-        rows.where("toxic = 1").mapInArrow(lambda b: _contexts(b, wanted), "pattern string, word string, context string")
-        .groupBy("pattern").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("word").alias("words"))
-        .collect())  # at most the candidates
-    chosen = _chosen({r["pattern"]: (documents[r["pattern"]], r["contexts"], r["words"]) for r in support}, terms)
+    likely = written(counted.where((F.col("odds") >= LEAST_ODDS) & (F.col("toxic") >= LEAST_SUPPORT)).select(
+        F.col("pattern").alias("wanted"), F.col("toxic").alias("documents")), "toxicity-likely")
+    steady = (
+        rows.where("toxic = 1").select("text").mapInArrow(_contexts, "pattern string, word string, context string")
+        .join(likely, F.col("pattern") == F.col("wanted")).groupBy("pattern")
+        .agg(F.first("documents").alias("documents"), F.countDistinct("context").alias("contexts"),
+             F.countDistinct("word").alias("words"))
+        .where((F.col("contexts") >= LEAST_SUPPORT) & (3 * F.col("contexts") >= F.col("documents")))
+        .collect())  # patterns of the sample's toxic texts, each in several of them
+    chosen = _chosen({r["pattern"]: (r["documents"], r["contexts"], r["words"]) for r in steady}, terms)
     ordinary = counted.where("other > 0 and not endswith(pattern, '*')").select("pattern").mapInArrow(
         lambda b: _misspelt(b, chosen), "pattern string").collect()  # words within few edits of few terms
     return chosen, frozenset(r["pattern"] for r in ordinary)
