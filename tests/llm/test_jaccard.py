@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from tests.llm.cases import awkward, nothing
 from tidemark.llm import jaccard
 
@@ -62,5 +64,39 @@ def test_awkward_rows(spark):
     docs = awkward(spark)
     kept = jaccard.drop_similar(docs)
     assert kept.columns == docs.columns
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
-    assert kept.count() >= len(slow(rows)) and jaccard.drop_similar(nothing(spark)).count() == 0
+    last = 10 ** 6  # rows without an id come behind all others
+    rows = list({(last if r.doc_id is None else r.doc_id, r.text) for r in docs.collect()})
+    got = sorted(last if r.doc_id is None else r.doc_id for r in kept.collect())
+    assert got == slow(rows)
+    assert jaccard.drop_similar(nothing(spark)).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        keep = a[rng.random(len(a)) > rng.choice([0.0, 0.05, 0.12, 0.5])]
+        b = np.unique(np.r_[keep, rng.integers(0, 1 << 64, int(n * rng.choice([0.0, 0.06, 0.3])), np.uint64)])
+        shared, every = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        possible = jaccard.may_be_similar(len(a), len(b), jaccard.parity(a), jaccard.parity(b))
+        assert possible or 5 * shared < 4 * every
+        ruled_out += not possible
+    assert ruled_out > 100
+
+
+def test_blocks_compare_every_pair_of_a_group(spark, monkeypatch):
+    """Texts that share their rarest shingles, yet are similar only in twos: no star joins them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "_common", lambda rows: np.zeros(0, np.uint64))
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(20):
+        words = shared + [f"{i}x{k}" for k in range(40)]
+        rows.append((2 * i, " ".join(words)))
+        words[rng.randrange(60, 99)] = "other"
+        rows.append((2 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in jaccard.drop_similar(docs).collect()) == slow(rows) == list(range(0, 40, 2))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.cases import awkward, nothing
+from tests.llm.test_jaccard import slow as slow_similar
 from tests.llm.test_line_dedup import slow as slow_lines
-from tests.llm.test_simhash import slow_components
-from tidemark.llm import mixing, sentencepiece, simhash, toxicity
+from tidemark.llm import mixing, sentencepiece, toxicity
 from tidemark.llm.common import written
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -46,9 +46,8 @@ def test_line_dedup(stages):
 
 
 def test_near_dedup(stages):
-    rows = [(r.doc_id, simhash.fingerprint(r.text)) for r in stages[2].collect()]
-    wanted = {i for (i, _), c in zip(rows, slow_components(rows), strict=True) if i == c}
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted(wanted)
+    wanted = slow_similar([(r.doc_id, r.text) for r in stages[2].collect()])
+    assert sorted(r.doc_id for r in stages[3].collect()) == wanted
 
 
 def test_mixing(stages):

@@ -27,7 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here and lost executors lose nothing."""
     path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``written`` wrote, once everything that reads it has been written itself."""
+    for stored in tables:
+        path = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+        path.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
