@@ -1,0 +1,75 @@
+import math
+import random
+import re
+from collections import Counter
+
+from tests.llm.cases import awkward, nothing
+from tidemark.llm import lexical
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def slow(docs, items, top=lexical.TOP):
+    split = [(i, Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    split = [(i, c) for i, c in split if c]
+    n_all, l_all = len(split), sum(sum(c.values()) for _, c in split)
+    df = Counter(t for _, c in split for t in c)
+    asked = {}
+    for i, t in items:
+        asked.setdefault(i, set()).update(TERM.findall((t or "").translate(LOWER)))
+    out = []
+    for item, own in asked.items():
+        scores = []
+        for doc, c in split:
+            m = 50 + 50 * sum(c.values()) * n_all // l_all
+            score = sum(math.floor(1000 * math.log((2 * n_all + 2) / (2 * df[t] + 1)))
+                        * (1_000_000_000 * c[t] // (1000 * c[t] + 20 * m)) for t in own if t in c)
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0, doc))
+        out += [(item, k + 1, doc, -s) for k, (s, _, _, doc) in enumerate(sorted(scores, key=lambda x: x[:3])[:top])]
+    return sorted(out, key=str)
+
+
+def rows_of(found):
+    return sorted([tuple(r) for r in found.select("item_id", "rank", "doc_id", "score").collect()], key=str)
+
+
+def test_agrees_with_a_loop_over_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "ITEMS", 4)
+    monkeypatch.setattr(lexical, "ROWS", 7)
+    rng = random.Random(4)
+    vocabulary = [f"W{i}" for i in range(40)] + ["é", "日本", "x-y"]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(30)))) for i in range(150)] + [(500, None), (501, "")]
+    docs += [(600 + i, docs[3][1]) for i in range(60)]  # ties beyond the last place
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 20)))) for i in range(11)] + [(20, None), (3, "w39 extra")]
+    found = lexical.search(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5),
+                           spark.createDataFrame(items, "item_id bigint, text string"))
+    assert rows_of(found) == slow(docs, items)
+
+
+def test_shared_pairs_are_added_once_and_items_stay_whole():
+    rng = random.Random(8)
+    common = list(range(12))
+    items = [common + rng.sample(range(12, 60), 9) for _ in range(20)] + [[3], [], list(range(60))]
+    nodes, rows = lexical.sharing(items, 60)
+
+    def spread(node):
+        return [node] if node < 60 else [t for part in nodes[node - 60] for t in spread(part)]
+
+    for item, row in zip(items, rows, strict=True):
+        assert sorted(t for node in row for t in spread(node)) == sorted(set(item))
+    plain = sum(len(set(item)) for item in items)
+    assert sum(map(len, rows)) + len(nodes) < plain * 2 / 3
+    pairs = Counter(p for row in rows for p in zip(row, row[1:]))
+    assert max(pairs.values()) == 1
+
+
+def test_awkward_and_empty_tables(spark):
+    docs = awkward(spark)
+    items = spark.createDataFrame([(1, "line to share", "x"), (2, None, "x"), (None, "ünï WORD", "x")],
+                                  "item_id bigint, text string, doc_id string")
+    plain = [(r.doc_id, r.text) for r in docs.collect()]
+    wanted = slow(plain, [(r.item_id, r.text) for r in items.collect()])
+    assert rows_of(lexical.search(docs, items)) == wanted
+    assert lexical.search(nothing(spark), items).count() == lexical.search(docs, items.limit(0)).count() == 0

@@ -1,6 +1,20 @@
 """The subpackage's queries over the test tables, and the SQL of those that SQL can express."""
 
-from tidemark.llm import embedding_dedup, licenses, line_dedup, mixing, sentencepiece, simhash, substring_dedup, topk, toxicity, warc
+from tidemark.llm import (
+    embedding_dedup,
+    lexical,
+    licenses,
+    line_dedup,
+    merkle,
+    mixing,
+    neural_lm,
+    sentencepiece,
+    simhash,
+    substring_dedup,
+    topk,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,10 +27,14 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_neural_lm": neural_lm.op11_neural_lm,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_warc": warc.SQL,
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op8_topk": topk.SQL,
+    "op12_lexical_search": lexical.SQL,
 }
