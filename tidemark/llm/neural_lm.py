@@ -21,33 +21,34 @@ unseen. Other columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, partitions, table, written
 
-CONTEXT = 3
-WIDTH = 32
-SINGLE = 448
+CONTEXT = 2
+WIDTH = 16
+SINGLE = 320
 SHARED = 64
 KNOWN = 4096  # tokens with an input vector of their own, and with their counts at hand
 ENDINGS = 256  # input vectors that all other words share by their endings
-NOISE = 64
-RATE = 0.15
-OPENING = 8
-ROWS = 4096
+NOISE = 32
+RATE = 0.05
+OPENING = 16
+ROWS = 512
 BATCH = 2048
 FOLDS = 10
 END = b"\n"  # no word holds a line break
 PLUS = 0.1  # what an unseen token counts
+RADIX = 1 << 10  # more than there are targets
 GATHER = 1 << 18  # words that a counting task holds before it passes them on
 
 
@@ -55,8 +56,8 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def ending(word: bytes, classes: int) -> int:
-    return xxhash.xxh32_intdigest(word[-2:], 7) % classes
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % ENDINGS
 
 
 @dataclass
@@ -69,22 +70,27 @@ class Model:
     targets: np.ndarray
     bias: np.ndarray
 
-    def ids(self, word: bytes) -> tuple[int, int]:
-        """(input row, target) of a token."""
+    def row(self, word: bytes) -> int:
         known = self.words.get(word)
-        row = known[0] if known else KNOWN + ending(word, ENDINGS)
-        return row, row if row < SINGLE else SINGLE + ending(word, SHARED)
+        return known[0] if known else KNOWN + ending(word)
 
+    def target(self, word: bytes) -> int:
+        row = self.row(word)
+        return row if row < SINGLE else SINGLE + ending(word) % SHARED
 
-class _Ids(dict):
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= GATHER:
-            self.clear()
-        self[word] = found = self.model.ids(word)
+class _Rows(dict):
+    """Input row and target of a token as one number; words that are not known share those of their ending."""
+
+    def __init__(self, model: Model):
+        super().__init__((w, model.row(w) * RADIX + model.target(w)) for w in model.words)
+        self.ends: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        end = word[-2:]
+        found = self.ends.get(end)
+        if found is None:
+            found = self.ends[end] = (KNOWN + ending(end)) * RADIX + SINGLE + ending(end) % SHARED
         return found
 
 
@@ -110,17 +116,21 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
 
 
-def _sequences(batch: pa.RecordBatch, ids: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Context rows and target of every position of a batch's texts, and the texts' lengths."""
-    texts = [tokens(text.as_py()) for text in batch.column("text")]
-    length = np.array([len(t) for t in texts])
-    pairs = np.array([ids[word] for text in texts for word in text], np.int32).reshape(-1, 2)
-    place = np.arange(len(pairs)) - np.repeat(np.cumsum(length) - length, length)
-    context = np.zeros((len(pairs), CONTEXT), np.int32)
+def _sequences(batch: pa.RecordBatch, ids: _Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Input row, context rows and target of every position of a batch's texts, the texts' lengths, and all tokens."""
+    words, length = [], []
+    for text in batch.column("text"):
+        own = tokens(text.as_py())
+        words += own
+        length.append(len(own))
+    both = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+    row, length = both // RADIX, np.array(length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    context = np.zeros((len(row), CONTEXT), np.int32)
     for j in range(CONTEXT):
-        context[j + 1:, j] = pairs[:-j - 1, 0]
+        context[j + 1:, j] = row[:-j - 1]
         context[place <= j, j] = -1
-    return context, pairs[:, 1], length, texts
+    return row, context, both % RADIX, length, words
 
 
 def _predicted(model: Model, context: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -132,9 +142,10 @@ def _predicted(model: Model, context: np.ndarray, vectors: np.ndarray) -> np.nda
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different rows, the sums of their values, and how many there are of each."""
-    order = np.argsort(rows, kind="stable")
-    different, starts, counts = np.unique(rows[order], return_index=True, return_counts=True)
-    return different, np.add.reduceat(values[order], starts, axis=0), counts
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    ordered = rows[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.r_[starts, len(rows)])
 
 
 class _Trainer:
@@ -198,12 +209,12 @@ class _Trainer:
 
 
 def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    trainer, ids = _Trainer(model), _Ids(model)
+    trainer, ids = _Trainer(model), _Rows(model)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            context, target, *_ = _sequences(batch.slice(at, 256), ids)
+            _, context, target, *_ = _sequences(batch.slice(at, 256), ids)
             held.append((context, target))
             waiting += len(target)
             if waiting < 8 * BATCH:
@@ -283,7 +294,7 @@ def learn(docs: DataFrame) -> Trained:
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            target = [model.ids(w)[1] for w in batch.column("word").to_pylist()]
+            target = [model.target(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(target, pa.int32())], ["word", "c", "target"])
 
     classed = written(counted.mapInArrow(classes, "word binary, c bigint, target int"), "classed")
@@ -304,45 +315,45 @@ def learn(docs: DataFrame) -> Trained:
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, in_class: list[float]) -> Iterator[pa.RecordBatch]:
     """Per text: what the network and the known words' counts give, and its rare words."""
     task, number = TaskContext.get().partitionId(), 0
-    ids = _Ids(model)
-    log_base = math.log10(model.base)
-    share = np.log10(in_class)
+    ids, log_base = _Rows(model), math.log10(model.base)
+    count = np.zeros(len(model.vectors))
+    for row, c in model.words.values():
+        count[row] = c
+    log_c = np.log10(count + PLUS)
+    to_base, known = log_c - log_base, count > 0
+    to_base[KNOWN:] = 0  # those wait for their counts
+    to_share = np.zeros(len(count))
+    for word, (row, _) in model.words.items():
+        if row >= SINGLE:
+            to_share[row] = log_c[row] - math.log10(in_class[model.target(word) - SINGLE])
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
-            context, target, length, texts = _sequences(batch, ids)
-            log_p = np.empty(len(target))
+            rows, context, target, length, words = _sequences(batch, ids)
+            log_p = to_share[rows]
             for start in range(0, len(target), ROWS):
                 part = slice(start, start + ROWS)
-                score = _predicted(model, context[part], model.vectors) @ model.targets.T + model.bias
-                high = score.max(axis=1)
+                score = _predicted(model, context[part], model.vectors) @ model.targets.T
+                score += model.bias
                 own = score[np.arange(len(score)), target[part]]
-                log_p[part] = (own - high - np.log(np.exp(score - high[:, None]).sum(axis=1))) / math.log(10)
-            network = np.add.reduceat(log_p, np.cumsum(length) - length)
-            n_known, base, shares, rare = [], [], [], []
-            for text in texts:
-                counts, others, c_known, own_base, own_share = Counter(text), [], 0, 0.0, 0.0
-                for word, times in counts.items():
-                    found = model.words.get(word)
-                    goal = ids[word][1]
-                    if found is None:
-                        others.append((word, times, goal - SINGLE))
-                        continue
-                    c_known += times * (found[1] > 0)
-                    log_c = math.log10(found[1] + PLUS)
-                    own_base += times * (log_c - log_base)
-                    if goal >= SINGLE:
-                        own_share += times * (log_c - share[goal - SINGLE])
-                n_known.append(c_known)
-                base.append(own_base)
-                shares.append(own_share)
-                rare.append([{"word": w, "times": t, "shared": k} for w, t, k in others])
-            names = [(task << 33) + number + i for i in range(len(texts))]
-            number += len(texts)
+                high = score.max(axis=1)
+                score -= high[:, None]
+                np.exp(score, out=score)
+                log_p[part] += (own - high - np.log(score.sum(axis=1))) / math.log(10)
+            starts = np.cumsum(length) - length
+            network, base, n_known = (np.add.reduceat(x, starts) for x in (log_p, to_base[rows], known[rows].astype(np.int64)))
+            text_of = np.repeat(np.arange(len(length)), length)
+            far = np.flatnonzero(rows >= KNOWN)
+            rare = Counter(zip(text_of[far].tolist(), [words[i] for i in far.tolist()], (target[far] - SINGLE).tolist(), strict=True))
+            offsets = np.r_[0, np.cumsum(np.bincount(np.array([k[0] for k in rare], np.int64), minlength=len(length)))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
+                [pa.array([k[1] for k in rare], pa.binary()), pa.array(list(rare.values()), pa.int32()),
+                 pa.array([k[2] for k in rare], pa.int32())], ["word", "times", "shared"]))
+            names = (task << 33) + number + np.arange(len(length))
+            number += len(length)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.int64()), pa.array(length, pa.int64()),
-                 pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(network + np.array(shares)),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32()), ("shared", pa.int32())])))],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(length), pa.array(n_known),
+                 pa.array(base), pa.array(network), lists],
                 ["doc_id", "held_out", "name", "n_tokens", "n_known", "base", "score", "rare"])
 
 
