@@ -84,6 +84,76 @@ def test_late_rows_land_and_counts_do_not_depend_on_reports_kept(spark, tmp_path
     assert done.rows_read == done.rows_kept == 6 == spark.table("land_late.t").count()
 
 
+@pytest.mark.parametrize("kind", ["table", "folder"])
+def test_a_new_checkpoint_loses_no_row(spark, tmp_path, kind):
+    inbox = tmp_path / "in"
+    target = f"land_reset_{kind}.t" if kind == "table" else f"parquet:{tmp_path}/out"
+
+    def offsets():
+        return sorted(r.kafka_offset for r in landing.landed(spark, target).collect())
+
+    deliver(spark, inbox, [("a", "{}", 1), ("b", "{}", 2), ("c", "{}", 3)])
+    landing.land(topic(spark, inbox), "s1", str(tmp_path / "one"), target)
+    deliver(spark, inbox, [("d", "{}", 4), ("e", "{}", 5)])
+    done = landing.land(topic(spark, inbox), "s1", str(tmp_path / "two"), target)
+    assert done.rows_read == 5 and offsets() == [1, 1, 2, 2, 3, 3, 4, 5]
+    deliver(spark, inbox, [("f", "{}", 6)])
+    landing.land(topic(spark, inbox), "s1", str(tmp_path / "two"), target)
+    assert sorted(set(offsets())) == [1, 2, 3, 4, 5, 6] and offsets()[-1] == 6
+    # another source into the same target keeps its first batches
+    deliver(spark, tmp_path / "other", [("x", "{}", 70)])
+    landing.land(topic(spark, tmp_path / "other"), "s2", str(tmp_path / "one"), target)
+    assert offsets()[-1] == 70
+    assert landing.commits(spark, target).count() == 5
+
+
+def test_a_torn_batch_is_not_seen_and_replaced_by_its_rerun(spark, tmp_path, monkeypatch):
+    inbox, target = tmp_path / "in", "land_torn.t"
+    deliver(spark, inbox, [("a", "{}", 1)])
+    landing.land(topic(spark, inbox), "s1", str(tmp_path), target)
+    deliver(spark, inbox, [("b", "{}", 2)])
+    commit = landing.Sink.commit
+
+    def lost(*_):
+        raise OSError("the driver is gone")
+
+    monkeypatch.setattr(landing.Sink, "commit", lost)
+    with pytest.raises(Exception, match="the driver is gone"):
+        landing.land(topic(spark, inbox), "s1", str(tmp_path), target)
+    assert spark.table(target).count() == 2 and landing.landed(spark, target).count() == 1
+    monkeypatch.setattr(landing.Sink, "commit", commit)
+    # the rerun gives its rows another load date; what the torn run left under the old one goes
+    records = stream_files(spark, str(inbox), "parquet", RECORDS, 1)
+    landing.land(decode_envelope(records, F.lit(datetime(2024, 1, 2))), "s1", str(tmp_path), target)
+    rows = sorted((r.kafka_offset, str(r._load_date)) for r in landing.landed(spark, target).collect())
+    assert rows == [(1, "2024-01-01"), (2, "2024-01-02")] and spark.table(target).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["table", "folder"])
+def test_compaction_joins_a_days_batches(spark, tmp_path, kind):
+    inbox = tmp_path / "in"
+    target = "land_compact.t" if kind == "table" else f"parquet:{tmp_path}/out"
+    for offset in range(5):
+        deliver(spark, inbox, [(f"k{offset}", "{}", offset)])
+    landing.land(topic(spark, inbox), "s1", str(tmp_path), target)
+    before = sorted((r.kafka_offset, r.payload) for r in landing.landed(spark, target).collect())
+    reader = landing.landed(spark, target)
+    assert landing.compact(spark, target, "2024-01-01") == 5
+    now = landing.landed(spark, target)
+    assert sorted((r.kafka_offset, r.payload) for r in now.collect()) == before
+    assert now.select("_batch").distinct().count() == 1
+    stored = landing.Sink(spark, target).read(target if kind == "table" else f"{tmp_path}/out")
+    files = [f for f in stored.inputFiles() if "_batch=compact" in f]
+    assert len(files) == 1 and len(stored.inputFiles()) == 6
+    assert reader.count() == 5  # one that began before
+    assert landing.sweep(spark, target) == 5 and landing.landed(spark, target).count() == 5
+    assert landing.compact(spark, target, "2024-01-01") == 0
+    deliver(spark, inbox, [("new", "{}", 9)])
+    landing.land(topic(spark, inbox), "s1", str(tmp_path), target)
+    assert landing.compact(spark, target, "2024-01-01") == 2
+    assert landing.landed(spark, target).count() == 6
+
+
 @pytest.fixture
 def folded(spark, tmp_path, request):
     database = f"fold_{request.node.name}"

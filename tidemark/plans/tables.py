@@ -148,21 +148,21 @@ def append(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
     writer.mode("append").format("parquet").saveAsTable(name)
 
 
-def replace_partitions(df: DataFrame, name: str, by: str) -> None:
+def replace_partitions(df: DataFrame, name: str, *by: str) -> None:
     """Write rows so that the partitions they fall into hold these rows and no others.
 
     Writing the same rows again changes nothing; other partitions are not touched.
     """
-    create_partitioned(df.sparkSession, name, df.schema, by)
-    ordered = [c for c in df.columns if c != by]
-    df.select(*ordered, by).write.mode("overwrite").insertInto(name)
+    create_partitioned(df.sparkSession, name, df.schema, *by)
+    ordered = [c for c in df.columns if c not in by]
+    df.select(*ordered, *by).write.mode("overwrite").insertInto(name)
 
 
-def create_partitioned(spark: SparkSession, name: str, schema: StructType, by: str) -> None:
+def create_partitioned(spark: SparkSession, name: str, schema: StructType, *by: str) -> None:
     ensure_database(spark, name)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-              f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (`{by}`)")
+              f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({', '.join(f'`{c}`' for c in by)})")
 
 
 def drop_partitions(spark: SparkSession, name: str,

@@ -21,6 +21,7 @@ from tidemark.operators.dedupe import dedupe_latest
 from tidemark.plans import audit, tables
 from tidemark.plans.context import RunContext
 from tidemark.sources.refs import open_ref
+from tidemark.streaming import landing as streams
 
 # The statuses the marts understand, and the currency when none is given.
 STATUSES = ("NEW", "ACTIVE", "SETTLED", "CANCELLED")
@@ -228,7 +229,7 @@ def curate(spark: SparkSession, ctx: RunContext, case: UseCase, raise_on_error:
     previous curated table in place and the task FAILED.
     """
     with audit.audited(spark, ctx, "curated"):
-        landed = open_ref(spark, case.landing)
+        landed = streams.landed(spark, case.landing)
         if since:
             landed = landed.filter(F.col("_load_date") >= since)
         records = parsed(landed, case)

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import join_keys, snake_case_columns, split_keys
 from tidemark.functions.times import ntz
@@ -350,19 +351,56 @@ FROM events WHERE event_id % 10 <> 0 GROUP BY 1
 def stream_landing(spark: SparkSession, sf: str) -> DataFrame:
     """Events drained as a topic into a fresh landing folder and read back by load date: rows without
     an offset are dropped in the stream, empty payloads only counted."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    root = f"{ensure_checkpoint_dir(spark)}/stream-landing-{uuid.uuid4().hex}"
+    target = f"parquet:{root}/landed"
+    done = streams.land(_topic(spark, sf, "events.parquet", table(spark, sf, "events").schema), "events", root, target)
+    counted = _by_load_date(streams.landed(spark, target))
+    # What the stream counted while it wrote has to be what is there.
+    agrees = F.lit(done.rows_kept) == F.sum("n_rows").over(Window.partitionBy())
+    return counted.withColumn("_agrees", F.assert_true(agrees)).filter("_agrees IS NULL").drop("_agrees")
+
+
+def _topic(spark: SparkSession, folder: str, files: str, schema: T.StructType) -> DataFrame:
+    """Files of events, read as a stream of topic records."""
+    events = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
     records = events.select(
         F.col("user_id").cast("string").cast("binary").alias("key"),
         F.when(F.col("value") < 20, "").otherwise(F.col("props")).cast("binary").alias("value"),
         F.lit("events").alias("topic"), F.lit(0).alias("partition"),
         F.when(F.col("event_id") % 10 != 0, F.col("event_id")).alias("offset"),
         F.col("ts").alias("timestamp"))
-    root = f"{ensure_checkpoint_dir(spark)}/stream-landing-{uuid.uuid4().hex}"
-    done = streams.land(decode(records, F.col("timestamp")), "events", root, f"parquet:{root}/landed")
-    landed = spark.read.parquet(f"{root}/landed")
-    counted = landed.groupBy(F.col("_load_date").cast("string").alias("_load_date")).agg(
+    return decode(records, F.col("timestamp"))
+
+
+def _by_load_date(landed: DataFrame) -> DataFrame:
+    return landed.groupBy(F.col("_load_date").cast("string").alias("_load_date")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.length("payload") == 0).alias("n_empty"))
-    # What the stream counted while it wrote has to be what is there.
-    agrees = F.lit(done.rows_kept) == F.sum("n_rows").over(Window.partitionBy())
-    return counted.withColumn("_agrees", F.assert_true(agrees)).filter("_agrees IS NULL").drop("_agrees")
+
+
+@query("""
+SELECT strftime(ts, '%Y-%m-%d') AS _load_date, count(*) AS n_rows,
+       count(*) FILTER (WHERE value < 20) AS n_empty,
+       count(*) + count(*) FILTER (WHERE event_id % 3 < 2) AS n_landed
+FROM events WHERE event_id % 10 <> 0 GROUP BY 1
+""")
+def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that arrive in three parts: two drains, a lost checkpoint, and a drain that begins anew and finds the first
+    two parts again and the third. The days are compacted. Nothing is lost, and what landed twice is one row once folded."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-restart-{uuid.uuid4().hex}"
+    target = f"parquet:{root}/landed"
+    events = table(spark, sf, "events")
+
+    def arrives(part: int) -> None:
+        events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{root}/inbox")
+
+    for part, checkpoint in ((0, "first"), (1, "first"), (2, "second")):
+        arrives(part)
+        streams.land(_topic(spark, f"{root}/inbox", "*.parquet", events.schema), "events", f"{root}/{checkpoint}", target)
+    days = streams.landed(spark, target).select("_load_date").distinct().orderBy("_load_date").limit(2).collect()
+    for day in days:  # the first two days; the others stay as they landed
+        streams.compact(spark, target, day[0])
+    streams.sweep(spark, target)
+    landed = streams.landed(spark, target)
+    folded = _by_load_date(latest(landed, ["kafka_topic", "kafka_partition", "kafka_offset"], "kafka_timestamp"))
+    again = landed.groupBy("_load_date").agg(F.count(F.lit(1)).alias("n_landed"))
+    return folded.join(again, "_load_date")
