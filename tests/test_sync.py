@@ -3,10 +3,12 @@ from datetime import datetime
 import pytest
 from pyspark.errors import PySparkException
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.times import ntz
 from tidemark.operators import sync
+from tidemark.sources.jdbc import newer_than
 
 OLD, NOW = datetime(2023, 1, 1), datetime(2024, 1, 1)
 WANT = "source_id STRING, use_case STRING, keys STRING, options MAP<STRING,STRING>, " \
@@ -81,7 +83,7 @@ def test_repeated_desired_id_fails(desired, existing):
 
 
 def marks(spark, rows):
-    return spark.createDataFrame([(*row[:3], None, row[3]) for row in rows], sync.MARKS_DDL)
+    return spark.createDataFrame([(*row[:3], None, None, row[3]) for row in rows], sync.MARKS_DDL)
 
 
 def test_marks_only_move_forward_and_compare_typed(spark):
@@ -116,7 +118,20 @@ def test_ledger(spark):
 
 def test_the_kind_of_a_mark_follows_its_column():
     kinds = {T.DateType(): "ts_value", T.TimestampNTZType(): "ts_value", T.ShortType(): "long_value",
-             T.DecimalType(12, 2): "exact_value", T.DoubleType(): "exact_value"}
+             T.DecimalType(12, 2): "exact_value", T.DoubleType(): "real_value"}
     assert {t: sync.mark_column(t, "c") for t in kinds} == kinds
     with pytest.raises(ValueError, match="cannot carry a mark"):
         sync.mark_column(T.StringType(), "c")
+
+
+def test_a_floating_mark_is_exact_and_passes_over_nothing(spark):
+    rows = spark.createDataFrame([(0.12345678905,), (0.1,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    mark = rows.agg(sync.mark_value("v", T.DoubleType())).first()[0]
+    assert mark == 0.12345678905
+    later = spark.createDataFrame([(0.12345678907,), (0.12345678905,)], "v double")
+    assert [r.v for r in newer_than(later, "v", mark).collect()] == [0.12345678907]
+    stored = sync.advance(spark.createDataFrame([], sync.MARKS_DDL), sync.batch_marks(
+        rows, "s", real="v"), F.lit("2024-01-01"))
+    assert sync.read_mark(stored, "s") == mark
+    with pytest.raises(ValueError, match="cannot carry a mark"):
+        sync.mark_column(T.DecimalType(38, 12), "v")

@@ -97,34 +97,45 @@ def apply(desired: DataFrame, existing: DataFrame, key: str, columns: Sequence[s
 # -- high-water marks ---------------------------------------------------------
 
 MARKS_DDL = ("source_id STRING, ts_value TIMESTAMP_NTZ, long_value BIGINT, "
-             "exact_value DECIMAL(38,10), updated_at TIMESTAMP_NTZ")
-_VALUES = ("ts_value", "long_value", "exact_value")
-Mark = datetime | int | Decimal
+             "exact_value DECIMAL(38,10), real_value DOUBLE, updated_at TIMESTAMP_NTZ")
+_VALUES = ("ts_value", "long_value", "exact_value", "real_value")
+DECIMALS = 10
+Mark = datetime | int | Decimal | float
 
 
 def mark_column(dtype: T.DataType, column: str) -> str:
     """Which of the typed values a mark over a column of this type is.
 
-    Dates are kept as their midnight, whole numbers as they are, all others as exact
-    decimals. Text has no order that a source is sure to share, so it is refused.
+    Dates are kept as their midnight, whole and floating numbers as they are, decimals exactly, up to
+    ten places: a rounded mark would pass over rows. Text has no order that a source is sure to share, so it is refused.
     """
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return "ts_value"
     if isinstance(dtype, T.IntegralType):
         return "long_value"
-    if isinstance(dtype, T.NumericType):
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "real_value"
+    if isinstance(dtype, T.DecimalType) and dtype.scale <= DECIMALS:
         return "exact_value"
     raise ValueError(f"{column}: a {dtype.simpleString()} column cannot carry a mark")
 
 
 def mark_value(column: str, dtype: T.DataType) -> Column:
     """Highest value of a column, as the mark of its kind."""
-    kinds = dict(zip(_VALUES, ("timestamp_ntz", "bigint", "decimal(38,10)")))
-    return F.max(column).cast(kinds[mark_column(dtype, column)])
+    kinds = dict(zip(_VALUES, ("timestamp_ntz", "bigint", "decimal(38,10)", "double")))
+    kind = mark_column(dtype, column)
+    return _highest_finite(column) if kind == "real_value" else F.max(column).cast(kinds[kind])
+
+
+def _highest_finite(column: str) -> Column:
+    """Nothing comes after infinity or what is not a number, so neither is ever a mark."""
+    value = F.col(column).cast("double")
+    return F.max(F.when(F.abs(value) < float("inf"), value))
 
 
 def batch_marks(df: DataFrame, source_id: str | Column, ts: str | None = None,
-                number: str | None = None, exact: str | None = None) -> DataFrame:
+                number: str | None = None, exact: str | None = None,
+                real: str | None = None) -> DataFrame:
     """Highest value of this batch per source, typed."""
     source = F.lit(source_id) if isinstance(source_id, str) else source_id
     ts_value = F.max(ts) if ts else F.lit(None)
@@ -134,6 +145,7 @@ def batch_marks(df: DataFrame, source_id: str | Column, ts: str | None = None,
         ts_value.cast("timestamp_ntz").alias("ts_value"),
         long_value.cast("bigint").alias("long_value"),
         exact_value.cast("decimal(38,10)").alias("exact_value"),
+        (_highest_finite(real) if real else F.lit(None).cast("double")).alias("real_value"),
     )
 
 
@@ -165,6 +177,8 @@ def reset(marks: DataFrame, source_id: str, value: Mark, as_of: Column) -> DataF
         name, new = "ts_value", ntz(value)
     elif isinstance(value, Decimal):
         name, new = "exact_value", F.lit(value).cast("decimal(38,10)")
+    elif isinstance(value, float):
+        name, new = "real_value", F.lit(value)
     else:
         name, new = "long_value", F.lit(int(value)).cast("bigint")
     return marks.withColumns({name: F.when(chosen, new).otherwise(F.col(name)),

@@ -36,9 +36,12 @@ def _marks_table(ctx: RunContext) -> str:
 
 def _marks(spark: SparkSession, ctx: RunContext) -> DataFrame:
     name = _marks_table(ctx)
-    if spark.catalog.tableExists(name):
-        return spark.table(name)
-    return spark.createDataFrame([], sync.MARKS_DDL)
+    if not spark.catalog.tableExists(name):
+        return spark.createDataFrame([], sync.MARKS_DDL)
+    stored = spark.table(name)
+    if "real_value" not in stored.columns:  # written before marks could be floating
+        stored = stored.withColumn("real_value", F.lit(None).cast("double"))
+    return stored
 
 
 def current_mark(spark: SparkSession, ctx: RunContext, spec: SourceSpec) -> sync.Mark | None:
@@ -50,7 +53,8 @@ def _store_marks(spark: SparkSession, ctx: RunContext,
     """Move the marks of the sources that landed rows, in one write."""
     rows = [(source_id, mark if isinstance(mark, datetime) else None,
              mark if isinstance(mark, int) else None,
-             mark if isinstance(mark, Decimal) else None, None)
+             mark if isinstance(mark, Decimal) else None,
+             mark if isinstance(mark, float) else None, None)
             for source_id, mark in reached.items()]
     moved = sync.advance(_marks(spark, ctx), spark.createDataFrame(rows, sync.MARKS_DDL),
                          ntz(ctx.clock()))

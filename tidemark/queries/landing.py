@@ -22,7 +22,7 @@ from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import files, registry
 from tidemark.sources.jdbc import newer_than
 from tidemark.sources.kafka import decode_envelope as decode
-from tidemark.sources.splits import Split
+from tidemark.sources.splits import Split, points_from
 from tidemark.streaming import landing as streams
 
 # The statuses a curated table understands.
@@ -404,3 +404,23 @@ def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
     folded = _by_load_date(latest(landed, ["kafka_topic", "kafka_partition", "kafka_offset"], "kafka_timestamp"))
     again = landed.groupBy("_load_date").agg(F.count(F.lit(1)).alias("n_landed"))
     return folded.join(again, "_load_date")
+
+
+@query("""
+WITH k AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 5000000 + l_linenumber * 100 + l_suppkey % 100
+                       ELSE l_orderkey * 1000 END AS key FROM lineitem)
+SELECT CAST(8 AS BIGINT) AS n_reads, count(*) AS n_rows, min(key) AS min_key, max(key) AS max_key, TRUE AS balanced FROM k
+""")
+def split_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads cut by the keys' own quantiles, on a key with a third of all rows in a narrow range: no read has
+    more than twice the mean."""
+    order = F.col("l_orderkey")
+    keys = table(spark, sf, "lineitem").select(
+        F.when(order % 3 == 0, 5000000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100)
+        .otherwise(order * 1000).cast("long").alias("key"))
+    split = points_from(keys, "key", 8)
+    reads = keys.groupBy(split.number().alias("read")).agg(
+        F.count(F.lit(1)).alias("own"), F.min("key").alias("low"), F.max("key").alias("high"))
+    return reads.agg(
+        F.count(F.lit(1)).alias("n_reads"), F.sum("own").alias("n_rows"), F.min("low").alias("min_key"),
+        F.max("high").alias("max_key"), (F.max("own") <= 2 * F.avg("own")).alias("balanced"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.digests import md5_word
 from tidemark.functions.times import date_key, ntz
 from tidemark.operators import readiness as ready
-from tidemark.operators import recon
+from tidemark.operators import digest_tree, recon, sketches
 from tidemark.queries.catalogue import AS_OF, query, table
+from tidemark.session import ensure_checkpoint_dir
 
 ORDER_CHECKS = (
     recon.Check("row_count", "row_count"),
@@ -403,3 +405,53 @@ def parity_across_types(spark: SparkSession, sf: str) -> DataFrame:
     none = found.agg((F.count(F.lit(1)) == 0).alias("passed")).select(
         F.lit("rows that differ").alias("column_name"), F.lit("exceptions").alias("check_type"), "passed")
     return compared.select("column_name", "check_type", "passed").unionByName(none)
+
+
+@query("""
+WITH m AS (SELECT *, (l_orderkey * 7 + l_linenumber) % 5003 AS r FROM lineitem)
+SELECT DISTINCT l_orderkey, l_linenumber, 'changed' AS status FROM m WHERE r IN (13, 29)
+UNION ALL SELECT DISTINCT l_orderkey, l_linenumber, 'only_left' FROM m WHERE r = 17
+UNION ALL SELECT DISTINCT -l_orderkey, l_linenumber, 'only_right' FROM m WHERE r = 19
+""")
+def digest_tree_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines against a copy stored in other types, with a few lines changed, lost and added: found by
+    descending from bucket sums into the few buckets that differ."""
+    lines = table(spark, sf, "lineitem")
+    planted = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(5003))
+    copy = (lines.filter(planted != 17)
+            .withColumn("l_quantity", F.when(planted == 13, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+            .withColumn("l_comment", F.when(planted == 29, F.lit(None)).otherwise(F.col("l_returnflag"))))
+    lines = lines.withColumn("l_comment", F.col("l_returnflag"))
+    copy = copy.unionByName(copy.filter(planted == 19).withColumn("l_orderkey", -F.col("l_orderkey")))
+    copy = copy.withColumn("l_quantity", F.col("l_quantity").cast("decimal(18,4)"))
+    keys, columns = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_comment", "l_shipdate", "l_extendedprice"]
+    root = f"{ensure_checkpoint_dir(spark)}/digest-tree-{uuid.uuid4().hex}"
+    fan = digest_tree.Fan(buckets=64)
+    left = digest_tree.store(lines, f"{root}/left", keys, columns, fan)
+    right = digest_tree.store(copy, f"{root}/right", keys, columns, fan)
+    return digest_tree.compare(left, right, keys).rows
+
+
+@query("""
+WITH e AS (SELECT * FROM events),
+n AS (SELECT count(DISTINCT user_id) AS a, count(DISTINCT event_id) AS b, count(DISTINCT CAST(ts AS DATE)) AS d, count(*) AS r FROM e)
+SELECT name AS column_name, d AS n_days, r AS n_rows, exact, TRUE AS within FROM n, LATERAL (VALUES ('user_id', a), ('event_id', b)) AS v(name, exact)
+""")
+def distinct_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct counts merged from one sketch a day: half of the days are kept as state first, the others are added
+    without reading those again. Beside them the exact counts, and whether they are within four standard errors."""
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    columns = ["user_id", "event_id"]
+    root = f"{ensure_checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches.daily(events.filter(F.dayofmonth("day") % 2 == 0), "day", columns).write.parquet(f"{root}/first")
+    state = sketches.extended(spark.read.parquet(f"{root}/first"), events, "day", columns)
+    state.write.parquet(f"{root}/state")
+    state = spark.read.parquet(f"{root}/state")
+    merged = sketches.estimates(state.withColumn("all", F.lit(1)), columns, "all")
+    days = state.agg(F.count(F.lit(1)).alias("n_days"), F.lit(1).alias("all"))
+    exact = events.agg(*[F.count_distinct(c).alias(f"exact_{c}") for c in columns], F.lit(1).alias("all"))
+    both = merged.join(days, "all").join(exact, "all")
+    near = lambda c: F.abs(F.col(c) - F.col(f"exact_{c}")) <= 4 * sketches.error() * F.col(f"exact_{c}")
+    return both.select("n_days", F.col("rows").alias("n_rows"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"exact_{c}").alias("exact"), near(c).alias("within"))
+        for c in columns])).alias("v")).select("v.column_name", "n_days", "n_rows", "v.exact", "v.within")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import ntz
 from tidemark.operators import sync
 from tidemark.queries.catalogue import AS_OF, query, table
+from tidemark.sources.jdbc import newer_than
 
 SEEDED = "2023-01-01 00:00:00"
 _OWNED = ["source_object", "use_case", "source_system", "is_active"]
@@ -120,7 +121,7 @@ b AS (SELECT o_orderpriority AS source_id, max(o_orderdate) AS ts_value,
 SELECT coalesce(m.source_id, b.source_id) AS source_id,
        greatest(m.ts_value, b.ts_value) AS ts_value,
        greatest(m.long_value, b.long_value) AS long_value,
-       CAST(NULL AS DECIMAL(38,10)) AS exact_value,
+       CAST(NULL AS DECIMAL(38,10)) AS exact_value, CAST(NULL AS DOUBLE) AS real_value,
        CASE WHEN m.source_id IS NULL OR b.ts_value > m.ts_value OR b.long_value > m.long_value
             THEN TIMESTAMP '{AS_OF}' ELSE m.updated_at END AS updated_at
 FROM m FULL JOIN b ON m.source_id = b.source_id
@@ -134,7 +135,7 @@ def watermark_advance(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{_MARKS_SQL}
 SELECT source_id, CASE WHEN source_id = '2-HIGH' THEN TIMESTAMP '1997-01-01'
                        ELSE ts_value END AS ts_value, long_value,
-       CAST(NULL AS DECIMAL(38,10)) AS exact_value,
+       CAST(NULL AS DECIMAL(38,10)) AS exact_value, CAST(NULL AS DOUBLE) AS real_value,
        CASE WHEN source_id = '2-HIGH' THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at
 FROM m
 """)
@@ -162,14 +163,24 @@ def change_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
+WITH o AS (SELECT *, o_totalprice / 7 AS v FROM orders),
+m AS (SELECT max(v) AS real_mark FROM o WHERE v < (SELECT max(v) FROM o))
 SELECT max(CAST(o_orderdate AS DATE))::TIMESTAMP AS date_mark, max(o_orderkey) AS number_mark,
-       CAST(max(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(38,10)) AS exact_mark
-FROM orders
+       CAST(max(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(38,10)) AS exact_mark,
+       max(real_mark) AS real_mark, count(*) FILTER (WHERE v > real_mark) AS n_following
+FROM o, m
 """)
 def watermark_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """Marks over a DATE, a whole number and a decimal, each of its own kind and exact."""
+    """Marks over a DATE, a whole number, a decimal and a DOUBLE, each of its own kind and exact; and the rows that
+    follow a DOUBLE mark set just below the highest."""
     orders = table(spark, sf, "orders").withColumns({
-        "ordered": F.col("o_orderdate").cast("date"), "price": F.col("o_totalprice").cast("decimal(15,2)")})
+        "ordered": F.col("o_orderdate").cast("date"), "price": F.col("o_totalprice").cast("decimal(15,2)"),
+        "v": F.col("o_totalprice") / 7})
     marks = {"date_mark": "ordered", "number_mark": "o_orderkey", "exact_mark": "price"}
-    return orders.agg(*[sync.mark_value(c, orders.schema[c].dataType).alias(name)
-                        for name, c in marks.items()])
+    value = lambda df, c: sync.mark_value(c, df.schema[c].dataType)
+    highest = orders.agg(value(orders, "v")).first()[0]
+    seen = orders.filter(F.col("v") < highest)
+    mark = seen.agg(value(seen, "v")).first()[0]
+    following = newer_than(orders.select("v"), "v", mark).count()
+    return orders.agg(*[value(orders, c).alias(name) for name, c in marks.items()],
+                      F.lit(mark).alias("real_mark"), F.lit(following).cast("long").alias("n_following"))

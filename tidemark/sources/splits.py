@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,19 @@ class Split:
         return index
 
 
+def points_from(df: DataFrame, column: str, parts: int, accuracy: int = 10_000) -> Split:
+    """Cut points that give every read about as many rows, from a quantile sketch of the keys themselves.
+
+    The sketch is merged from those of all tasks and is bounded by ``accuracy``: a read misses its share of
+    1 / parts by 1 / accuracy of the rows at most, if no single key is larger. Keys are whole numbers; NULL keys
+    are in the first read.
+    """
+    ranks = [i / parts for i in range(1, parts)] or [0.0]
+    cuts, lowest = df.agg(F.percentile_approx(column, ranks, accuracy), F.min(column)).first()
+    points = tuple(sorted({int(c) for c in cuts or () if c > lowest}))
+    return Split(column, points=points) if points else Split(column, 0, 1, 1)
+
+
 # What a registry row calls the settings of an even split.
 EVEN = {"lower": "lower_bound", "upper": "upper_bound", "parts": "num_partitions"}
 
