@@ -17,6 +17,7 @@ from tidemark.operators.conform import unknown_values as unknown
 from tidemark.operators.dedupe import dedupe_latest as latest
 from tidemark.operators.dims import upsert_latest
 from tidemark.operators.lineage import stamp
+from tidemark.plans.daily import DailyTable
 from tidemark.queries.catalogue import AS_OF, query, table
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import files, registry
@@ -424,3 +425,21 @@ def split_points(spark: SparkSession, sf: str) -> DataFrame:
     return reads.agg(
         F.count(F.lit(1)).alias("n_reads"), F.sum("own").alias("n_rows"), F.min("low").alias("min_key"),
         F.max("high").alias("max_key"), (F.max("own") <= 2 * F.avg("own")).alias("balanced"))
+
+
+@query("""
+WITH l AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events)
+SELECT user_id, ts, event_id, CAST(3 AS BIGINT) AS n_folds FROM l WHERE rn = 1
+""")
+def fold_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest event of every user, kept by day and folded in three parts, of which the last holds late ones; only
+    days that a part touches are read and written again."""
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    folder = f"{ensure_checkpoint_dir(spark)}/fold-by-day-{uuid.uuid4().hex}"
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    daily = DailyTable(spark, folder, kinds, ("user_id",), "ts")
+    late = F.col("event_id") % 7 == 3
+    early = F.dayofmonth("ts") <= 20
+    for part in (early & ~late, ~early & ~late, late):
+        daily.fold(events.filter(part))
+    return daily.rows().withColumn("n_folds", F.lit(daily.commits().count()).cast("long"))
