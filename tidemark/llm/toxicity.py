@@ -2,8 +2,7 @@
 
 The lexicon is learned: words, and stems that many different words begin with, which labelled
 toxic documents hold far more often than the others and which stand among many different
-neighbours, so that words of one copied text do not enter; equal texts count once. All such patterns are tested, then
-the ``TERMS`` with most neighbourhoods are taken.
+neighbours, so that words of one copied text do not enter; equal texts count once. All patterns that qualify are taken.
 Levenshtein automata of the terms are intersected with the lexicon's trie: a state is the set of
 (trie node, edits so far), made only when a word first needs it, and a word is in the lexicon's
 neighbourhood if it ends in a state with a term within that term's number of edits. Every hit is then read in
@@ -33,7 +32,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table, written
 
 SAMPLE = 20_000  # labelled rows at most that the model is fitted on
-TERMS = 256  # lexicon terms at most
 LEAST_SUPPORT = 5  # different neighbourhoods a term must have
 LEAST_ODDS = math.log(20)  # how much likelier a term is in toxic documents
 STEM = (4, 7)  # letters of a stem
@@ -230,7 +228,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["pattern", "word", "context"])
 
 
-def _chosen(found: dict[str, tuple[int, int, int]], terms: int) -> list[str]:
+def _chosen(found: dict[str, tuple[int, int, int]]) -> list[str]:
     """Terms out of (documents, neighbourhoods, words) by pattern: stems, and words that are no minor form of one."""
     stems = {p[:-1]: v for p, v in found.items() if p.endswith("*") and v[2] >= STEM_WORDS}
     starts = lambda w: [w[:n] for n in range(*STEM) if n <= len(w)]
@@ -242,8 +240,7 @@ def _chosen(found: dict[str, tuple[int, int, int]], terms: int) -> list[str]:
     shortest = {s for s in longest if not any(o in longest for o in starts(s)[:-1])}
     covered = lambda w: max((stems[s][0] for s in starts(w) if s in shortest), default=0)
     words = [p for p, v in found.items() if not p.endswith("*") and 2 * v[0] >= covered(p)]
-    ranked = sorted([*(f"{s}*" for s in shortest), *words], key=lambda p: (-found[p][1], p))
-    return sorted(ranked[:terms])
+    return sorted([*(f"{s}*" for s in shortest), *words])
 
 
 def _misspelt(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +250,7 @@ def _misspelt(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[p
         yield batch.filter(pa.array(hits, pa.bool_()))
 
 
-def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> tuple[list[str], frozenset]:
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], frozenset]:
     """Patterns that set toxic rows apart, and the clean words that look like misspelt ones."""
     rows = written(rows.distinct(), "toxicity-texts")  # copies of a text are no further documents
     totals = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
@@ -270,9 +267,9 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> tuple[list[str], froze
         .join(likely, F.col("pattern") == F.col("wanted")).groupBy("pattern")
         .agg(F.first("documents").alias("documents"), F.countDistinct("context").alias("contexts"),
              F.countDistinct("word").alias("words"))
-        .where((F.col("contexts") >= LEAST_SUPPORT) & (3 * F.col("contexts") >= F.col("documents")))
+        .where(F.col("contexts") >= LEAST_SUPPORT)
         .collect())  # patterns of the sample's toxic texts, each in several of them
-    chosen = _chosen({r["pattern"]: (r["documents"], r["contexts"], r["words"]) for r in steady}, terms)
+    chosen = _chosen({r["pattern"]: (r["documents"], r["contexts"], r["words"]) for r in steady})
     ordinary = counted.where("other > 0 and not endswith(pattern, '*')").select("pattern").mapInArrow(
         lambda b: _misspelt(b, chosen), "pattern string").collect()  # words within few edits of few terms
     return chosen, frozenset(r["pattern"] for r in ordinary)
