@@ -10,7 +10,7 @@ Training is numpy in tasks over every training text: each task runs through its
 the targets' frequencies, and returns how far it moved each row; moves are averaged by row, weighted by use. A first round
 over one text in ``OPENING`` sets out, a second one reads all. The network's size is fixed by the parameters below. The
 counts of words, which make the shares, the biases and the base score, are of the whole corpus and grow with it: rare words
-meet their counts in a join, only the ``KNOWN`` most frequent are sent to tasks.
+meet their counts in a join, only those of the ``COUNTED`` most frequent are sent to tasks.
 
 Defined results. Words are split at ASCII space and lowered in ASCII; NULL and empty texts are the end alone. A row
 without an id is not held out. Repeated rows are scored each, and count each. Equally frequent words go by their bytes. Long texts go through
@@ -36,9 +36,10 @@ from tidemark.llm.common import discard, partitions, table, written
 
 CONTEXT = 2
 WIDTH = 16
-SINGLE = 320
+SINGLE = 256
 SHARED = 64
-KNOWN = 4096  # tokens with an input vector of their own, and with their counts at hand
+KNOWN = 4096  # tokens with an input vector of their own
+COUNTED = 1 << 15  # tokens whose counts tasks have at hand
 ENDINGS = 256  # input vectors that all other words share by their endings
 NOISE = 32
 RATE = 0.05
@@ -48,7 +49,6 @@ BATCH = 2048
 FOLDS = 10
 END = b"\n"  # no word holds a line break
 PLUS = 0.1  # what an unseen token counts
-RADIX = 1 << 10  # more than there are targets
 GATHER = 1 << 18  # words that a counting task holds before it passes them on
 
 
@@ -72,25 +72,30 @@ class Model:
 
     def row(self, word: bytes) -> int:
         known = self.words.get(word)
-        return known[0] if known else KNOWN + ending(word)
+        return known[0] if known and known[0] < KNOWN else KNOWN + ending(word)
 
     def target(self, word: bytes) -> int:
         row = self.row(word)
         return row if row < SINGLE else SINGLE + ending(word) % SHARED
 
 
-class _Rows(dict):
-    """Input row and target of a token as one number; words that are not known share those of their ending."""
+class _Codes(dict):
+    """A number for every token: its place among the counted ones, or behind them one that words of an ending share."""
 
     def __init__(self, model: Model):
-        super().__init__((w, model.row(w) * RADIX + model.target(w)) for w in model.words)
+        super().__init__((w, place) for w, (place, _) in model.words.items())
         self.ends: dict[bytes, int] = {}
+        rest = np.arange(ENDINGS)
+        self.row = np.r_[np.zeros(COUNTED, np.int32), KNOWN + rest].astype(np.int32)
+        self.target = np.r_[np.zeros(COUNTED, np.int32), SINGLE + rest % SHARED].astype(np.int32)
+        for word, (place, _) in model.words.items():
+            self.row[place], self.target[place] = model.row(word), model.target(word)
 
     def __missing__(self, word: bytes) -> int:
         end = word[-2:]
         found = self.ends.get(end)
         if found is None:
-            found = self.ends[end] = (KNOWN + ending(end)) * RADIX + SINGLE + ending(end) % SHARED
+            found = self.ends[end] = COUNTED + ending(end)
         return found
 
 
@@ -116,21 +121,21 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
 
 
-def _sequences(batch: pa.RecordBatch, ids: _Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Input row, context rows and target of every position of a batch's texts, the texts' lengths, and all tokens."""
+def _sequences(batch: pa.RecordBatch, ids: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Code, context rows and target of every position of a batch's texts, the texts' lengths, and all tokens."""
     words, length = [], []
     for text in batch.column("text"):
         own = tokens(text.as_py())
         words += own
         length.append(len(own))
-    both = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-    row, length = both // RADIX, np.array(length)
+    code = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+    row, length = ids.row[code], np.array(length)
     place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
     context = np.zeros((len(row), CONTEXT), np.int32)
     for j in range(CONTEXT):
         context[j + 1:, j] = row[:-j - 1]
         context[place <= j, j] = -1
-    return row, context, both % RADIX, length, words
+    return code, context, ids.target[code], length, words
 
 
 def _predicted(model: Model, context: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -209,7 +214,7 @@ class _Trainer:
 
 
 def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    trainer, ids = _Trainer(model), _Rows(model)
+    trainer, ids = _Trainer(model), _Codes(model)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
     for batch in batches:
@@ -282,7 +287,7 @@ def learn(docs: DataFrame) -> Trained:
     counted = written(training.mapInArrow(_counts, "word binary, c bigint").groupBy("word").agg(
         F.sum("c").alias("c")), "counts")
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counted.orderBy((F.col("word") != END).cast("int"), F.desc("c"), "word").limit(KNOWN).collect()
+    top = counted.orderBy((F.col("word") != END).cast("int"), F.desc("c"), "word").limit(COUNTED).collect()
     words = {bytes(r.word): (i, r.c) for i, r in enumerate(top)}
     words.setdefault(END, (0, 0))
     random = np.random.default_rng(1)
@@ -315,22 +320,19 @@ def learn(docs: DataFrame) -> Trained:
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, in_class: list[float]) -> Iterator[pa.RecordBatch]:
     """Per text: what the network and the known words' counts give, and its rare words."""
     task, number = TaskContext.get().partitionId(), 0
-    ids, log_base = _Rows(model), math.log10(model.base)
-    count = np.zeros(len(model.vectors))
-    for row, c in model.words.values():
-        count[row] = c
+    ids, log_base = _Codes(model), math.log10(model.base)
+    count = np.zeros(COUNTED + ENDINGS)
+    for place, c in model.words.values():
+        count[place] = c
     log_c = np.log10(count + PLUS)
     to_base, known = log_c - log_base, count > 0
-    to_base[KNOWN:] = 0  # those wait for their counts
-    to_share = np.zeros(len(count))
-    for word, (row, _) in model.words.items():
-        if row >= SINGLE:
-            to_share[row] = log_c[row] - math.log10(in_class[model.target(word) - SINGLE])
+    to_share = np.where(ids.target < SINGLE, 0.0, log_c - np.log10(in_class)[np.maximum(ids.target - SINGLE, 0)])
+    to_base[COUNTED:] = to_share[COUNTED:] = 0  # those wait for their counts
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
-            rows, context, target, length, words = _sequences(batch, ids)
-            log_p = to_share[rows]
+            codes, context, target, length, words = _sequences(batch, ids)
+            log_p = to_share[codes]
             for start in range(0, len(target), ROWS):
                 part = slice(start, start + ROWS)
                 score = _predicted(model, context[part], model.vectors) @ model.targets.T
@@ -341,9 +343,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, in_class: list[floa
                 np.exp(score, out=score)
                 log_p[part] += (own - high - np.log(score.sum(axis=1))) / math.log(10)
             starts = np.cumsum(length) - length
-            network, base, n_known = (np.add.reduceat(x, starts) for x in (log_p, to_base[rows], known[rows].astype(np.int64)))
+            network, base, n_known = (np.add.reduceat(x, starts) for x in (log_p, to_base[codes], known[codes].astype(np.int64)))
             text_of = np.repeat(np.arange(len(length)), length)
-            far = np.flatnonzero(rows >= KNOWN)
+            far = np.flatnonzero(codes >= COUNTED)
             rare = Counter(zip(text_of[far].tolist(), [words[i] for i in far.tolist()], (target[far] - SINGLE).tolist(), strict=True))
             offsets = np.r_[0, np.cumsum(np.bincount(np.array([k[0] for k in rare], np.int64), minlength=len(length)))].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
