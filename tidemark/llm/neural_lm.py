@@ -49,7 +49,8 @@ BATCH = 2048
 FOLDS = 10
 END = b"\n"  # no word holds a line break
 PLUS = 0.1  # what an unseen token counts
-GATHER = 1 << 18  # words that a counting task holds before it passes them on
+SAFE = 60.0  # exp of so much, and a sum of them, is well within single precision
+GATHER = 1 << 19  # words that a counting task holds before it passes them on
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -281,14 +282,28 @@ class Trained:
     shares: list[float]  # by shared class: tokens and the share of unseen words
 
 
+def _frequent(counted: DataFrame) -> list[tuple[bytes, int]]:
+    """The end and the most frequent words, ``COUNTED`` at most, in order. Counts are told apart by eighths of an
+    octave first, so that no more than these words reach the driver, however many tasks there are."""
+    rank = F.floor(8 * F.log2("c")).cast("int")
+    sizes = dict(counted.groupBy(rank.alias("rank")).count().collect())  # a row an eighth, some hundreds
+    least, held = max(sizes, default=0) + 1, 1
+    for own in sorted(sizes, reverse=True):
+        held += sizes[own]
+        if held > COUNTED:
+            break
+        least = own
+    found = [(bytes(r.word), r.c) for r in counted.where((rank >= least) | (F.col("word") == END)).collect()]
+    return sorted(found, key=lambda x: (x[0] != END, -x[1], x[0]))
+
+
 def learn(docs: DataFrame) -> Trained:
     """Count all training tokens, then train the network on all training texts."""
     training = split(docs).where("not held_out").select("text")
     counted = written(training.mapInArrow(_counts, "word binary, c bigint").groupBy("word").agg(
         F.sum("c").alias("c")), "counts")
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counted.orderBy((F.col("word") != END).cast("int"), F.desc("c"), "word").limit(COUNTED).collect()
-    words = {bytes(r.word): (i, r.c) for i, r in enumerate(top)}
+    words = {word: (i, c) for i, (word, c) in enumerate(_frequent(counted))}
     words.setdefault(END, (0, 0))
     random = np.random.default_rng(1)
     model = Model(words, n + PLUS * (v + 1), np.zeros(SINGLE + SHARED),
@@ -328,6 +343,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, in_class: list[floa
     to_base, known = log_c - log_base, count > 0
     to_share = np.where(ids.target < SINGLE, 0.0, log_c - np.log10(in_class)[np.maximum(ids.target - SINGLE, 0)])
     to_base[COUNTED:] = to_share[COUNTED:] = 0  # those wait for their counts
+    with_bias = np.vstack([model.targets.T, model.bias]).astype(np.float32)
+    guess = np.ones((ROWS, WIDTH + 1), np.float32)  # the last place is the bias's
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
@@ -335,11 +352,15 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, in_class: list[floa
             log_p = to_share[codes]
             for start in range(0, len(target), ROWS):
                 part = slice(start, start + ROWS)
-                score = _predicted(model, context[part], model.vectors) @ model.targets.T
-                score += model.bias
+                guess[:target[part].size, :WIDTH] = _predicted(model, context[part], model.vectors)
+                score = guess[:target[part].size] @ with_bias
                 own = score[np.arange(len(score)), target[part]]
-                high = score.max(axis=1)
-                score -= high[:, None]
+                high = score.max()
+                if max(high, -score.min()) > SAFE:  # exp would leave its range
+                    high = score.max(axis=1)
+                    score -= high[:, None]
+                else:
+                    high = 0
                 np.exp(score, out=score)
                 log_p[part] += (own - high - np.log(score.sum(axis=1))) / math.log(10)
             starts = np.cumsum(length) - length
