@@ -83,7 +83,7 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Found:
     """
     buckets = sorted(row[0] for row in apart(left, right, BUCKET).collect())  # at most as many as the fan has
     opened = [side.where(F.col(BUCKET).isin(buckets)) for side in (left, right)]
-    branches = F.broadcast(apart(*opened, BUCKET, BRANCH))  # at most buckets times branches, two numbers each
+    branches = apart(*opened, BUCKET, BRANCH)  # at most buckets times branches, two numbers each
     ours, theirs = (side.join(branches, [BUCKET, BRANCH], "left_semi") for side in opened)
     stacked = ours.select(*keys, DIGEST, F.lit(1).alias("n")).unionAll(theirs.select(*keys, DIGEST, F.lit(-1).alias("n")))
     held = stacked.groupBy(*keys, DIGEST).agg(F.sum("n").alias("n")).where("n <> 0")

@@ -447,11 +447,10 @@ def distinct_by_day(spark: SparkSession, sf: str) -> DataFrame:
     state = sketches.extended(spark.read.parquet(f"{root}/first"), events, "day", columns)
     state.write.parquet(f"{root}/state")
     state = spark.read.parquet(f"{root}/state")
-    merged = sketches.estimates(state.withColumn("all", F.lit(1)), columns, "all")
-    days = state.agg(F.count(F.lit(1)).alias("n_days"), F.lit(1).alias("all"))
-    exact = events.agg(*[F.count_distinct(c).alias(f"exact_{c}") for c in columns], F.lit(1).alias("all"))
-    both = merged.join(days, "all").join(exact, "all")
-    near = lambda c: F.abs(F.col(c) - F.col(f"exact_{c}")) <= 4 * sketches.error() * F.col(f"exact_{c}")
-    return both.select("n_days", F.col("rows").alias("n_rows"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"exact_{c}").alias("exact"), near(c).alias("within"))
-        for c in columns])).alias("v")).select("v.column_name", "n_days", "n_rows", "v.exact", "v.within")
+    n_days = state.count()
+    exact = events.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
+    near = lambda c: F.abs(F.col(c) - exact[c]) <= 4 * sketches.error() * exact[c]
+    return sketches.estimates(state, columns).select(
+        F.lit(n_days).cast("long").alias("n_days"), F.col("rows").alias("n_rows"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.lit(exact[c]).cast("long").alias("exact"), near(c).alias("within"))
+            for c in columns])).alias("v")).select("v.column_name", "n_days", "n_rows", "v.exact", "v.within")
