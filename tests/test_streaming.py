@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.quality import Expectation
 from tidemark.sources.files import stream_files
 from tidemark.sources.kafka import decode_envelope
 from tidemark.sources.registry import SourceSpec
@@ -225,3 +226,46 @@ def test_changes_are_spread_although_one_key_dominates(spark, tmp_path, folded):
     upsert.fold(spark, changes, table, ["kafka_key"], "kafka_offset")
     rows = {r.kafka_key: r.payload for r in spark.table(table).collect()}
     assert len(rows) == 101 and rows["hot"] == "299"
+
+
+@pytest.mark.parametrize("kind", ["table", "folder"])
+def test_refused_rows_are_kept_with_all_reasons_and_once(spark, tmp_path, kind):
+    inbox = tmp_path / "in"
+    target = "land_refused.t" if kind == "table" else f"parquet:{tmp_path}/landed"
+    strict = (*landing.DROP, Expectation("payload_not_empty", "length(payload) > 0"))
+
+    def drain(root="r"):
+        return landing.land(topic(spark, inbox), "s1", f"{tmp_path}/{root}", target, strict, (), keep_refused=True)
+
+    def reasons():
+        return sorted((r.kafka_key, tuple(r._reasons)) for r in landing.quarantined(spark, target).collect())
+
+    deliver(spark, inbox, [("a", "{}", 1)])
+    drain()
+    assert landing.quarantined(spark, target) is None  # nothing refused yet, nothing written
+    deliver(spark, inbox, [("b", "", 2), ("c", "", None), ("d", "{}", None), ("e", "{}", 5)])
+    done = drain()
+    names = tuple(rule.name for rule in strict)
+    refused = [("b", names[1:]), ("c", names), ("d", names[:1])]
+    assert (done.rows_kept, reasons()) == (1, refused)
+    (tmp_path / "r/_checkpoints/s1/commits/1").unlink()  # the batch runs again
+    (tmp_path / "r/_checkpoints/s1/commits/.1.crc").unlink()
+    assert drain().rows_read == 4 and reasons() == refused
+    assert sorted(r.kafka_key for r in landing.landed(spark, target).collect()) == ["a", "e"]
+    landing.compact(spark, target, "2024-01-01")
+    landing.sweep(spark, target)
+    assert reasons() == refused and landing.landed(spark, target).count() == 2
+
+
+def test_refused_rows_of_a_torn_batch_are_not_seen(spark, tmp_path, monkeypatch):
+    inbox, target = tmp_path / "in", f"parquet:{tmp_path}/landed"
+    deliver(spark, inbox, [("a", "{}", None), ("b", "{}", 1)])
+    commit = landing.Sink.commit
+    monkeypatch.setattr(landing.Sink, "commit", lambda *a, **k: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivision"):
+        landing.land(topic(spark, inbox), "s1", str(tmp_path), target, keep_refused=True)
+    assert (tmp_path / "landed/_refused").exists() and landing.quarantined(spark, target) is None
+    monkeypatch.setattr(landing.Sink, "commit", commit)
+    landing.land(topic(spark, inbox), "s1", str(tmp_path), target, keep_refused=True)
+    assert [r.kafka_key for r in landing.quarantined(spark, target).collect()] == ["a"]
+    assert [r.kafka_key for r in landing.landed(spark, target).collect()] == ["b"]

@@ -17,6 +17,7 @@ from tidemark.operators.conform import unknown_values as unknown
 from tidemark.operators.dedupe import dedupe_latest as latest
 from tidemark.operators.dims import upsert_latest
 from tidemark.operators.lineage import stamp
+from tidemark.operators.quality import Expectation
 from tidemark.plans.daily import DailyTable
 from tidemark.queries.catalogue import AS_OF, query, table
 from tidemark.session import ensure_checkpoint_dir
@@ -407,6 +408,40 @@ def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
     return folded.join(again, "_load_date")
 
 
+# A stream's rules here: an offset, and a payload with something in it.
+STRICT = (*streams.DROP, Expectation("payload_not_empty", "length(payload) > 0"))
+
+
+@query("""
+WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS _load_date, event_id % 10 = 0 AS no_offset, value < 20 AS empty FROM events)
+SELECT _load_date, count(*) FILTER (NOT no_offset AND NOT empty) AS n_kept,
+       count(*) FILTER (no_offset OR empty) AS n_refused, count(*) FILTER (no_offset) AS n_no_offset,
+       count(*) FILTER (empty) AS n_empty, count(*) FILTER (no_offset AND empty) AS n_both
+FROM e GROUP BY 1
+""")
+def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Events drained in two batches that land in one place and are refused, with all reasons, in another. The record
+    that the second batch is done is lost, so it runs again; both places hold it once."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-quarantine-{uuid.uuid4().hex}"
+    target = f"parquet:{root}/landed"
+    events = table(spark, sf, "events")
+    for part in (0, 1, None):
+        if part is not None:
+            events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{root}/inbox")
+        else:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{streams.checkpoint_of(root, 'events')}/commits/1")
+            if not done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, False):
+                raise FileNotFoundError(done.toString())
+        streams.land(_topic(spark, f"{root}/inbox", "*.parquet", events.schema), "events", root, target, STRICT, (),
+                     keep_refused=True)
+    reason = lambda name: F.array_contains(streams.REASONS, name)
+    refused = streams.quarantined(spark, target).groupBy("_load_date").agg(
+        F.count(F.lit(1)).alias("n_refused"), F.count_if(reason(STRICT[0].name)).alias("n_no_offset"),
+        F.count_if(reason(STRICT[1].name)).alias("n_empty"), F.count_if(F.size(streams.REASONS) == 2).alias("n_both"))
+    return (streams.landed(spark, target).groupBy("_load_date").agg(F.count(F.lit(1)).alias("n_kept"))
+            .join(refused, "_load_date", "full").fillna(0))
+
+
 @query("""
 WITH k AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 5000000 + l_linenumber * 100 + l_suppkey % 100
                        ELSE l_orderkey * 1000 END AS key FROM lineitem)

@@ -12,7 +12,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from threading import Event
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -29,7 +29,7 @@ DROP = (not_null("kafka_offset"),)
 WARN = (Expectation("payload_not_empty", "payload IS NOT NULL AND length(payload) > 0", "warn"),)
 
 
-LOAD_DATE, BATCH = "_load_date", "_batch"
+LOAD_DATE, BATCH, REASONS = "_load_date", "_batch", "_reasons"
 COMMITS = ("rows BIGINT, counts MAP<STRING, BIGINT>, of_date STRING, replaces ARRAY<STRING>, "
            "committed_at TIMESTAMP, _batch STRING")
 
@@ -62,6 +62,12 @@ def expect(drop: Sequence[Expectation] = DROP, warn: Sequence[Expectation] = WAR
                      *[F.count_if(rule.violated()).alias(rule.name) for rule in (*drop, *warn)]]
 
 
+def refused_rows(rows: DataFrame, drop: Sequence[Expectation] = DROP) -> DataFrame:
+    """The rows that a ``drop`` rule refuses, each with the names of all the rules that refuse it."""
+    reasons = F.array_compact(F.array(*[F.when(rule.violated(), rule.name) for rule in drop]))
+    return rows.withColumn(REASONS, reasons).where(F.size(REASONS) > 0)
+
+
 def dated(stream: DataFrame) -> DataFrame:
     """Add the load date, by which landing is partitioned and curation prunes."""
     return stream.withColumn(LOAD_DATE, F.date_format("_ingested_at", "yyyy-MM-dd"))
@@ -83,6 +89,11 @@ class Sink:
     def records(self) -> str:
         return f"{self.folder}/_commits" if self.folder else f"{self.target}__commits"
 
+    @property
+    def refused(self) -> Sink:
+        """Where the refused rows of the same batches lie; they count by the same commit records."""
+        return replace(self, target=f"parquet:{self.folder}/_refused" if self.folder else f"{self.target}__refused")
+
     def exists(self, name: str) -> bool:
         if not self.folder:
             return self.spark.catalog.tableExists(name)
@@ -159,8 +170,21 @@ def landed(spark: SparkSession, target: str) -> DataFrame:
             .select(*rows.columns))
 
 
+def quarantined(spark: SparkSession, target: str) -> DataFrame | None:
+    """The refused rows of committed batches with their reasons, or None while there are none.
+
+    They count by the commit records of the target, so both sides of a batch are seen at once or not at all.
+    """
+    sink, refused = Sink(spark, target), Sink(spark, target).refused
+    where = refused.folder or refused.target
+    if not sink.exists(sink.records) or not refused.exists(where):
+        return None
+    rows = refused.read(where)
+    return rows.join(sink.read(sink.records).select(BATCH), BATCH, "left_semi").select(*rows.columns)
+
+
 def _drain(stream: DataFrame, source_id: str, root: str, target: str,
-           drop: Sequence[Expectation], warn: Sequence[Expectation]) -> Drained:
+           drop: Sequence[Expectation], warn: Sequence[Expectation], keep_refused: bool = False) -> Drained:
     """Append everything available now, batch by batch, then stop."""
     passes, measures = expect(drop, warn)
     sums: Counter = Counter()
@@ -174,11 +198,16 @@ def _drain(stream: DataFrame, source_id: str, root: str, target: str,
         name = f"{identity[0]}_{number}"
         sink = Sink(batch.sparkSession, target)
         if not ran:  # only a run's first batch can have been begun before; its rows may have had other dates
-            sink.remove(lambda values: values[BATCH] == name)
+            for side in (sink, sink.refused) if keep_refused else (sink,):
+                if side.exists(side.folder or side.target):
+                    side.remove(lambda values: values[BATCH] == name)
         seen = Observation()
         rows = dated(batch.observe(seen, *measures).where(passes)).withColumn(BATCH, F.lit(name))
         sink.replace(rows, sink.folder or target, LOAD_DATE, BATCH)
         counts = {k: int(v) for k, v in seen.get.items()}
+        if keep_refused and counts["dropped"]:  # most batches have none and are read once
+            refused = dated(refused_rows(batch, drop)).withColumn(BATCH, F.lit(name))
+            sink.refused.replace(refused, sink.refused.folder or sink.refused.target, LOAD_DATE, BATCH)
         sink.commit(name, counts)
         sums.update(counts)
         ran.append(number)
@@ -193,9 +222,10 @@ def _drain(stream: DataFrame, source_id: str, root: str, target: str,
 
 
 def land(stream: DataFrame, source_id: str, root: str, target: str,
-         drop: Sequence[Expectation] = DROP, warn: Sequence[Expectation] = WARN) -> Drained:
-    """Check, append and drain one source."""
-    done = _drain(stream, source_id, root, target, drop, warn)
+         drop: Sequence[Expectation] = DROP, warn: Sequence[Expectation] = WARN,
+         keep_refused: bool = False) -> Drained:
+    """Check, append and drain one source; ``keep_refused`` keeps what the rules drop, see ``quarantined``."""
+    done = _drain(stream, source_id, root, target, drop, warn, keep_refused)
     _refresh(stream.sparkSession, target)
     return done
 
@@ -240,7 +270,8 @@ def land_topics(spark: SparkSession, specs: Sequence[SourceSpec],
                 open_stream: Callable[[SourceSpec], DataFrame], root: str,
                 target_of: Callable[[SourceSpec], str],
                 drop: Sequence[Expectation] = DROP,
-                warn: Sequence[Expectation] = WARN, at_once: int = 4) -> list[Drained]:
+                warn: Sequence[Expectation] = WARN, at_once: int = 4,
+                keep_refused: bool = False) -> list[Drained]:
     """One query and one checkpoint per registered topic, a bounded number running at once.
 
     The next topic starts when any has finished. A failing one is reported with its error;
@@ -248,7 +279,7 @@ def land_topics(spark: SparkSession, specs: Sequence[SourceSpec],
     """
     def one(spec: SourceSpec) -> Drained:
         try:
-            return _drain(open_stream(spec), spec.source_id, root, target_of(spec), drop, warn)
+            return _drain(open_stream(spec), spec.source_id, root, target_of(spec), drop, warn, keep_refused)
         except Exception as error:
             return Drained(spec.source_id, 0, {}, f"{type(error).__name__}: {error}")
 
