@@ -1,0 +1,47 @@
+from pyspark.sql import functions as F
+
+from tidemark.operators import drift
+
+DDL = "id BIGINT, price DOUBLE, tags ARRAY<STRING>, at TIMESTAMP"
+
+
+def found(spark, rows, ddl=DDL):
+    df = spark.createDataFrame(rows, "d string, payload string")
+    return {(r.field, r.change, r.found): (r.first_day, r.last_day, r.n_rows)
+            for r in drift.drift(drift.shapes(df, "d"), ddl).collect()}
+
+
+WHOLE = '{"id": 1, "price": 2, "tags": [], "at": "2024-01-01"}'
+
+
+def test_what_fits_is_no_drift(spark):
+    assert found(spark, [("1", WHOLE), ("1", WHOLE.replace("2,", "2.5,")), ("2", WHOLE.replace("2,", "1e3,")),
+                         ("2", WHOLE.replace("1,", "null,")), ("3", WHOLE.replace("[]", '["a"]'))]) == {}
+    assert found(spark, []) == {}
+
+
+def test_changes_and_their_days(spark):
+    rows = [("1", WHOLE), ("2", WHOLE.replace("1,", '"1",')), ("4", WHOLE.replace("1,", '"x",')),
+            ("3", WHOLE.replace("}", ', "new": {"a": 1}}')), ("3", WHOLE.replace('"price": 2, ', "")),
+            ("4", WHOLE.replace("2,", "true,")), ("5", WHOLE.replace("1,", "1.5,"))]
+    assert found(spark, rows) == {
+        ("id", "retyped", "STRING"): ("2", "4", 2), ("id", "retyped", "DECIMAL"): ("5", "5", 1),
+        ("new", "added", "OBJECT"): ("3", "3", 1), ("price", "gone", None): ("3", "3", 1),
+        ("price", "retyped", "BOOLEAN"): ("4", "4", 1)}
+
+
+def test_what_is_no_object(spark):
+    rows = [(str(i), p) for i, p in enumerate([None, "", "{", "[1]", "3", "null", '{"id": 1, "id": 2}'])]
+    assert found(spark, rows) == {(None, "unreadable", None): ("0", "6", 7)}
+    assert found(spark, [("1", "{}")], "id INT") == {("id", "gone", None): ("1", "1", 1)}
+
+
+def test_days_add_up_and_only_shapes_move(spark):
+    rows = spark.range(5000).select(
+        (F.col("id") % 3).cast("string").alias("d"),
+        F.concat(F.lit('{"id": '), F.col("id"), F.lit(', "price": '), F.col("id") / 7, F.lit(', "x": 1}')).alias("payload"))
+    counted = drift.shapes(rows, "d")
+    assert counted.count() <= 3 * 2 * 2  # a price is a decimal, or a number with an exponent
+    parts = [drift.shapes(rows.where(F.col("d") == d), "d") for d in "012"]
+    whole = sorted(map(str, drift.drift(counted, "id INT").collect()))
+    assert sorted(map(str, drift.drift(parts[0].unionAll(parts[1]).unionAll(parts[2]), "id INT").collect())) == whole

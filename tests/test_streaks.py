@@ -1,0 +1,53 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import readiness, streaks
+
+SCHEMA = ("use_case STRING, env STRING, recon_run_id STRING, started_at TIMESTAMP_NTZ, target_name STRING, status STRING, "
+          "overall_passed BOOLEAN")
+START = datetime(2024, 1, 1)
+
+
+def log(spark, seed, clean):
+    rng = random.Random(seed)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), "prod", f"r{i}",
+             START + timedelta(hours=rng.randrange(24 * 9)), f"t{i % 2}", "PASSED", rng.random() < clean) for i in range(400)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("clean", [0.0, 0.5, 0.98, 1.0])
+def test_any_split_of_the_log_comes_to_the_same(spark, clean):
+    targets = log(spark, int(clean * 100), clean)
+    wanted = {r.use_case: r.clean_streak for r in readiness.clean_streak(targets).collect()}
+    state = streaks.by_day(targets).cache()
+    for cut in (1, 4, 9):
+        since = (START + timedelta(days=cut)).date()
+        grown = streaks.extended(streaks.by_day(targets.where(F.col("started_at") < F.lit(since))), targets, since)
+        assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, state.collect()))
+    for period in (None, F.date_trunc("week", "day"), F.dayofmonth("day") <= 3):
+        parts = state if period is None else streaks.merged(state, period)
+        assert {r.use_case: r.clean_streak for r in streaks.clean_streak(parts).collect()} == wanted
+    if clean == 1.0:
+        assert all(r.prefix == r.suffix == r.runs for r in streaks.merged(state).collect())
+
+
+def test_days_counted_anew_change_and_earlier_ones_are_not_read(spark):
+    targets = log(spark, 7, 0.9)
+    since = (START + timedelta(days=8)).date()
+    state = streaks.by_day(targets)
+    late = targets.limit(1).withColumns({
+        "started_at": F.lit(START + timedelta(days=8, hours=23, minutes=30)).cast("timestamp_ntz"),
+        "recon_run_id": F.lit("late"), "use_case": F.lit("hot"), "overall_passed": F.lit(False)})
+    again = streaks.extended(state, targets.unionAll(late), since)
+    assert {r.use_case: r.clean_streak for r in streaks.clean_streak(again).collect()}["hot"] == 0
+    early = late.withColumn("started_at", F.lit(START).cast("timestamp_ntz"))
+    same = streaks.extended(state, targets.unionAll(early), since)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, state.collect()))
+
+
+def test_an_empty_log(spark):
+    empty = log(spark, 1, 1.0).limit(0)
+    assert streaks.clean_streak(streaks.by_day(empty)).count() == 0

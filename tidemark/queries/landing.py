@@ -16,6 +16,7 @@ from tidemark.operators.conform import parse_payload as parse
 from tidemark.operators.conform import unknown_values as unknown
 from tidemark.operators.dedupe import dedupe_latest as latest
 from tidemark.operators.dims import upsert_latest
+from tidemark.operators.drift import drift, shapes
 from tidemark.operators.lineage import stamp
 from tidemark.operators.quality import Expectation
 from tidemark.plans.daily import DailyTable
@@ -155,6 +156,35 @@ def parse_payload(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(MISSING, ",").alias("missing_fields"))
 
 
+@query("""
+WITH p AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, event_id,
+                  CASE WHEN event_type = 'error' THEN 'unreadable' WHEN event_type = 'click' AND day(ts) >= 20 THEN 'renamed'
+                       WHEN event_type = 'signup' AND day(ts) >= 15 THEN 'text' ELSE 'plain' END AS kind,
+                  event_type <> 'error' AND event_id % 2 = 0 AND day(ts) >= 10 AS marked
+           FROM events),
+f AS (SELECT day, NULL AS field, 'unreadable' AS change, NULL AS found FROM p WHERE kind = 'unreadable'
+      UNION ALL SELECT day, 'k', 'gone', NULL FROM p WHERE kind = 'renamed'
+      UNION ALL SELECT day, 'kk', 'added', 'BIGINT' FROM p WHERE kind = 'renamed'
+      UNION ALL SELECT day, 'k', 'retyped', 'STRING' FROM p WHERE kind = 'text'
+      UNION ALL SELECT day, 'src', 'added', 'STRING' FROM p WHERE marked)
+SELECT CAST(field AS VARCHAR) AS field, change, CAST(found AS VARCHAR) AS found, min(day) AS first_day, max(day) AS last_day,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM f GROUP BY ALL
+""")
+def payload_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose payloads change over the month: a field more from the tenth, another type from the fifteenth, a
+    renamed field from the twentieth, broken text throughout."""
+    props, kind, day = F.col("props"), F.col("event_type"), F.dayofmonth("ts")
+    text = (F.when((kind == "click") & (day >= 20), F.replace(props, F.lit('"k"'), F.lit('"kk"')))
+            .when((kind == "signup") & (day >= 15), F.regexp_replace(props, ": ([0-9]+)", ': "$1"')).otherwise(props))
+    marked = F.when((F.col("event_id") % 2 == 0) & (day >= 10), F.replace(text, F.lit("}"), F.lit(', "src": "web"}')))
+    whole = F.coalesce(marked, text)
+    landed = table(spark, sf, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("_load_date"),
+        F.when(kind == "error", F.left(whole, F.length(whole) - 1)).otherwise(whole).alias("payload"))
+    return drift(shapes(landed, "_load_date"), "k INT")
+
+
 def raw_status() -> Column:
     """Order status as an untidy source would send it; P becomes something unknown."""
     return (

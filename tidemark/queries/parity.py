@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.digests import md5_word
 from tidemark.functions.times import date_key, ntz
 from tidemark.operators import readiness as ready
-from tidemark.operators import digest_tree, recon, sketches
+from tidemark.operators import digest_tree, recon, sketches, streaks
 from tidemark.queries.catalogue import AS_OF, query, table
 from tidemark.session import ensure_checkpoint_dir
 
@@ -335,6 +336,34 @@ def clean_streak(spark: SparkSession, sf: str) -> DataFrame:
     return ready.clean_streak(parity_runs(spark, sf))
 
 
+@query("""
+WITH runs AS (SELECT 'us' || user_id % 20 AS use_case, date_trunc('hour', ts) AS started, bool_and(value < 99) AS clean
+              FROM events GROUP BY ALL),
+r AS (SELECT *, sum(CASE WHEN clean THEN 0 ELSE 1 END) OVER (PARTITION BY use_case ORDER BY started) AS breaks_before,
+             sum(CASE WHEN clean THEN 0 ELSE 1 END) OVER (PARTITION BY use_case ORDER BY started DESC) AS breaks_since FROM runs)
+SELECT use_case, 'prod' AS env, count(*) AS runs, count(*) FILTER (WHERE breaks_before = 0) AS first_streak,
+       count(*) FILTER (WHERE breaks_since = 0) AS clean_streak, TRUE AS cut_elsewhere_too
+FROM r GROUP BY use_case
+""")
+def streak_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Streaks of hourly runs from one state a day: the first ten days are kept, the others are added without reading
+    those again. Merged by the week first, they come to the same."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    targets = table(spark, sf, "events").select(
+        F.concat(F.lit("us"), (F.col("user_id") % 20).cast("string")).alias("use_case"), F.lit("prod").alias("env"),
+        hour.cast("string").alias("recon_run_id"), hour.alias("started_at"), (F.col("value") < 99).alias("overall_passed"),
+        F.lit("PASSED").alias("status"))
+    root, cut = f"{ensure_checkpoint_dir(spark)}/streaks-{uuid.uuid4().hex}", date(2024, 1, 11)
+    streaks.by_day(targets.where(F.col("started_at") < F.lit(cut).cast("timestamp_ntz"))).write.parquet(f"{root}/first")
+    streaks.extended(spark.read.parquet(f"{root}/first"), targets, cut).write.parquet(f"{root}/state")
+    state = spark.read.parquet(f"{root}/state")
+    weekly = streaks.clean_streak(streaks.merged(state, F.date_trunc("week", "day"))).select(
+        "use_case", "env", F.col("clean_streak").alias("_weekly"))
+    return streaks.merged(state).join(weekly, ["use_case", "env"]).select(
+        "use_case", "env", "runs", F.col("prefix").alias("first_streak"), F.col("suffix").alias("clean_streak"),
+        (F.col("suffix") == F.col("_weekly")).alias("cut_elsewhere_too"))
+
+
 @query(f"""{_RUNS_SQL},
 skips AS (SELECT use_case, env, count(*) FILTER (WHERE status = 'SKIPPED'
              AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAYS) AS skipped_in_window
