@@ -1,6 +1,9 @@
 import math
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,5 +66,32 @@ def test_a_row_that_several_partitions_hold_counts_once(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == slow(rows, lambda i: i in (1, 20), 5)
 
 
+def batch(ids, vectors):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([list(v) for v in vectors], pa.list_(pa.float64()))], ["vec_id", "embedding"])
+
+
+def test_totals_are_computed_for_collected_entries_only():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (40, 32))
+    vectors = centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.2, (4000, 32))
+    ids = np.arange(4000)
+    asked, queries = ids[::50], np.floor(256 * vectors[::50])
+    one, two = Counter(), Counter()
+    (listed,) = topk._phase(iter([batch(ids, vectors)]), asked, queries, None, 5, 4, one)
+    every = queries @ np.floor(256 * vectors).T
+    every[asked[:, None] == ids[None, :]] = -np.inf
+    kth = np.sort(every, axis=1)[:, -5]
+    cutoffs = [sorted(s for q, s in zip(listed["q"].to_pylist(), listed["score"].to_pylist()) if q == i)[0]
+               for i in range(len(asked))]
+    assert (np.array(cutoffs) <= kth).all()
+    (found,) = topk._phase(iter([batch(ids, vectors)]), asked, queries, cutoffs, 5, 4, two)
+    assert sorted(found["score"].to_pylist()) == sorted(np.sort(every, axis=1)[:, -5:].ravel().astype(int).tolist())
+    pairs = every.size
+    assert one["totals"] <= 2 * 4 * 5 * len(asked)  # two blocks of rows, four lists of five
+    assert two["totals"] < pairs / 4 and two["partials"] < 4 * pairs / 2
+    assert two["totals"] >= (every >= np.array(cutoffs)[:, None]).sum()
+
+
 def test_no_vectors(spark):
     assert topk.top_k(frame(spark, []), frame(spark, [])).count() == 0

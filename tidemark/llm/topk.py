@@ -1,12 +1,13 @@
 """Exact top-k inner products by a three-phase uniform threshold over slices of the dimensions.
 
-A score is the sum of its partial scores over m slices, each slice being one list of the threshold
-algorithm. Phase one: every partition sends, per query and slice, its k best entries with their
-exact totals; the k-th best total of different entries found anywhere is a cutoff that the true k-th score cannot be
-below. Phase two: the cutoff goes out to all partitions, which collect every entry with a partial score of
-at least cutoff / m in some slice: a total that reaches the cutoff must do so in one of them.
-Phase three: the entries collected get exact totals, those that reach the cutoff are kept, and k per
-query and partition go to the final ranking.
+A score is the sum of its partial scores over m slices of the dimensions, each slice being one list of the threshold
+algorithm. Phase one: every block of rows sends, per query and slice, its k best entries, and only these get totals; the k-th
+best total of different entries found anywhere is a cutoff that the true k-th score cannot be below. Phase two: the
+cutoff goes out to all partitions, which score one slice after the other. An entry is collected at the first slice
+whose partial score is at least cutoff / m: a total that reaches the cutoff must do so in one of them. An entry whose score so far
+and the norms of what is left cannot reach the cutoff any more is given up; slices go on for queries and rows that
+still have entries neither collected nor given up. Phase three: the entries collected, and no others, get exact totals; those that
+reach the cutoff are kept, and k per query and partition go to the final ranking.
 
 Queries come in blocks of bounded size, so what is broadcast, a block and its cutoffs, does not
 grow with the table; every block meets all candidates.
@@ -19,6 +20,7 @@ empty table gives an empty result. Other columns are never read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ K = 5
 SLICES = 4
 QUERY_BLOCK = 2048
 ROWS = 2048
+PAIRS = 1 << 22  # components held at once for totals
 EXACT = float(1 << 53)
 LONGEST = (1 << 63) - 1
 
@@ -41,24 +44,63 @@ def _integers(column: pa.Array, dims: int) -> np.ndarray:
     return np.floor(256.0 * matrix(column, dims))
 
 
-def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer products; doubles do where every sum stays below 2**53, else Python's integers."""
-    bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1])
-    if bound < EXACT:
-        return queries @ rows.T
+def _exact_in_doubles(queries: np.ndarray, rows: np.ndarray) -> bool:
+    """Whether every sum of products stays below 2**53."""
+    return np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1]) < EXACT
+
+
+def _all_totals(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Totals in Python's integers, held at 64 bits; only for blocks whose sums doubles cannot hold."""
     exact = lambda m: np.array([int(x) for x in m.ravel()], object).reshape(m.shape)
-    return np.dot(exact(queries), exact(rows).T)
+    return np.clip(np.dot(exact(queries), exact(rows).T), -LONGEST - 1, LONGEST)
+
+
+def _totals(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Exact totals of the given entries alone."""
+    step = max(1, PAIRS // max(1, queries.shape[1]))
+    return np.concatenate([np.zeros(0), *[
+        np.einsum("ij,ij->i", queries[q[i:i + step]], rows[at[i:i + step]]) for i in range(0, len(q), step)]])
+
+
+def _highest(scores: np.ndarray, k: int) -> np.ndarray:
+    """Marks the k highest of every row."""
+    chosen, k = np.zeros(scores.shape, bool), min(k, scores.shape[1])
+    if k:
+        np.put_along_axis(chosen, np.argpartition(scores, -k, axis=1)[:, -k:], True, axis=1)
+    return chosen
 
 
-def _partials(queries: np.ndarray, rows: np.ndarray, slices: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Partial scores by slice and their totals; totals beyond 64 bits are one list, held at the limit."""
-    edges = np.linspace(0, queries.shape[1], slices + 1).astype(int)
-    parts = [_products(queries[:, a:b], rows[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    total = sum(parts[1:], parts[0])
-    if total.dtype == object:
-        total = np.clip(total, -LONGEST - 1, LONGEST)
-        parts = [total]
-    return parts, total
+def _listed(queries: np.ndarray, rows: np.ndarray, other: np.ndarray, edges: list, k: int) -> np.ndarray:
+    """Phase one: the entries that one of the slices' lists of k holds."""
+    chosen = np.zeros(other.shape, bool)
+    for a, b in edges:
+        chosen |= _highest(np.where(other, queries[:, a:b] @ rows[:, a:b].T, -np.inf), k)
+    return chosen & other
+
+
+def _left(vectors: np.ndarray, edges: list) -> list[np.ndarray]:
+    """Per slice the norms of what comes after it."""
+    return [np.sqrt((vectors[:, b:] ** 2).sum(axis=1)) for _, b in edges]
+
+
+def _sufficient(queries: np.ndarray, rows: np.ndarray, other: np.ndarray, edges: list, cutoff: np.ndarray,
+                tally: Counter) -> np.ndarray:
+    """Phase two: the entries with a sufficient partial score that can still reach the cutoff."""
+    pending, collected, score = other.copy(), np.zeros(other.shape, bool), np.zeros(other.shape)
+    for (a, b), q_left, x_left in zip(edges, _left(queries, edges), _left(rows, edges), strict=True):
+        qs, xs = np.flatnonzero(pending.any(axis=1)), np.flatnonzero(pending.any(axis=0))
+        if not len(qs):
+            break
+        here = np.ix_(qs, xs)
+        part = queries[qs, a:b] @ rows[xs, a:b].T
+        tally["partials"] += part.size
+        score[here] += part
+        # norms are rounded, so a little is added: an entry too many costs a total, one too few would be lost
+        able = score[here] + (q_left[qs, None] * x_left[None, xs]) * (1 + 1e-9) + 4 >= cutoff[qs, None]
+        enough = pending[here] & able & (part * len(edges) >= cutoff[qs, None])
+        collected[here] |= enough
+        pending[here] &= able & ~enough
+    return collected
 
 
 def _best(q: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -83,39 +125,35 @@ def _rows(ids: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         [pa.array(q.astype(np.int32)), pa.array(ids[q]), pa.array(vec), pa.array(score.astype(np.int64))], schema=RESULT)
 
 
-def _phase(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray,
-           cutoffs: list | None, k: int, slices: int) -> Iterator[pa.RecordBatch]:
-    """Without cutoffs the local lists of phase one, with them phases two and three."""
-    dims = queries.shape[1]
+def _phase(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, cutoffs: list | None, k: int,
+           slices: int, tally: Counter | None = None) -> Iterator[pa.RecordBatch]:
+    """Without cutoffs the local lists of phase one, with them phases two and three. ``tally`` counts partial scores
+    of phase two and totals."""
+    dims, tally = queries.shape[1], Counter() if tally is None else tally
+    marks = np.linspace(0, dims, slices + 1).astype(int)
+    edges = list(zip(marks[:-1], marks[1:], strict=True))
     best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-    limit = None if cutoffs is None else np.array(cutoffs, object)[:, None]
-    rounded = None if cutoffs is None else limit.astype(float)
-    lists = [best] * slices  # by slice
+    limit = None if cutoffs is None else np.array(cutoffs, object)
+    rounded = None if cutoffs is None else limit.astype(float)  # doubles hold every cutoff that a double total can reach
     for batch in blocks(batches, ROWS):
-        vec = batch.column(0).to_numpy()
-        parts, total = _partials(queries, _integers(batch.column(1), dims), slices)
+        vec, rows = batch.column(0).to_numpy(), _integers(batch.column(1), dims)
         other = ids[:, None] != vec[None, :]
-        if cutoffs is None:
-            found = []
-            for s, part in enumerate(parts):
-                part = np.where(other, part, -np.inf) if part.dtype != object else np.where(other, part, -(1 << 200))
-                at = np.argpartition(part, -min(k, len(vec)), axis=1)[:, -min(k, len(vec)):] if len(vec) else \
-                    np.zeros((len(ids), 0), int)
-                q = np.repeat(np.arange(len(ids)), at.shape[1])
-                keep = other[q, at.ravel()]
-                q, at = q[keep], at.ravel()[keep]
-                merged = [np.r_[a, b] for a, b in zip(lists[s], (q, part[q, at], vec[at]), strict=True)]
-                lists[s] = _best(*merged, k)
-                found.append((q, total[q, at], vec[at]))
-        else:
-            collected = np.zeros(total.shape, bool)
-            cutoff = limit if total.dtype == object else rounded  # doubles hold every cutoff a double total can reach
-            for part in parts:
-                collected |= part * len(parts) >= cutoff
-            q, at = np.nonzero(collected & (total >= cutoff) & other)
-            found = [(q, total[q, at], vec[at])]
-        for one in found:
-            best = _best(*[np.r_[a, b] for a, b in zip(best, one, strict=True)], k)
+        if _exact_in_doubles(queries, rows):
+            q, at = np.nonzero(_listed(queries, rows, other, edges, k) if cutoffs is None
+                               else _sufficient(queries, rows, other, edges, rounded, tally))
+            total = _totals(queries, rows, q, at)
+            cutoff = rounded
+        else:  # one list, of totals
+            whole = _all_totals(queries, rows)
+            q, at = np.nonzero(other & (_highest(np.where(other, whole, -(1 << 200)), k) if cutoffs is None
+                                        else whole >= limit[:, None]))
+            total = whole[q, at]
+            cutoff = limit
+        tally["totals"] += len(q)
+        if cutoffs is not None:
+            reached = total >= cutoff[q]
+            q, at, total = q[reached], at[reached], total[reached]
+        best = _best(*[np.r_[old, new] for old, new in zip(best, (q, total, vec[at]), strict=True)], k)
     if len(best[0]):
         yield _rows(ids, best)
 
@@ -147,12 +185,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, slices: int = SLICES,
             cutoffs = [float("-inf")] * len(ids)
             for q, score in local.select("q", "score").collect():  # one number per query of the block
                 cutoffs[q] = score
-            exact = run(spark.sparkContext.broadcast(cutoffs))
+            given = spark.sparkContext.broadcast(cutoffs)
+            exact, sent = run(given), (held, given)
         else:
-            exact = spark.createDataFrame([], schema)
+            exact, sent = spark.createDataFrame([], schema), ()
         (exact.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
          .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
          .write.mode("append").parquet(out))
+        for one in sent:  # the block is written, nothing reads it again
+            one.destroy()
     return spark.read.schema("query_id bigint, rank int, vec_id bigint, score bigint").parquet(out)
 
 
