@@ -84,23 +84,28 @@ def _left(vectors: np.ndarray, edges: list) -> list[np.ndarray]:
 
 
 def _sufficient(queries: np.ndarray, rows: np.ndarray, other: np.ndarray, edges: list, cutoff: np.ndarray,
-                tally: Counter) -> np.ndarray:
+                tally: Counter) -> tuple[np.ndarray, np.ndarray]:
     """Phase two: the entries with a sufficient partial score that can still reach the cutoff."""
-    pending, collected, score = other.copy(), np.zeros(other.shape, bool), np.zeros(other.shape)
+    qs, xs = np.arange(len(queries)), np.arange(len(rows))
+    pending, score, found = other.copy(), np.zeros(other.shape), []
     for (a, b), q_left, x_left in zip(edges, _left(queries, edges), _left(rows, edges), strict=True):
-        qs, xs = np.flatnonzero(pending.any(axis=1)), np.flatnonzero(pending.any(axis=0))
-        if not len(qs):
-            break
-        here = np.ix_(qs, xs)
         part = queries[qs, a:b] @ rows[xs, a:b].T
         tally["partials"] += part.size
-        score[here] += part
+        score += part
         # norms are rounded, so a little is added: an entry too many costs a total, one too few would be lost
-        able = score[here] + (q_left[qs, None] * x_left[None, xs]) * (1 + 1e-9) + 4 >= cutoff[qs, None]
-        enough = pending[here] & able & (part * len(edges) >= cutoff[qs, None])
-        collected[here] |= enough
-        pending[here] &= able & ~enough
-    return collected
+        pending &= score + np.outer(q_left[qs] * (1 + 1e-9), x_left[xs]) >= cutoff[qs, None] - 4
+        part *= len(edges)
+        enough = pending & (part >= cutoff[qs, None])
+        q, at = np.nonzero(enough)
+        found.append((qs[q], xs[at]))
+        pending ^= enough
+        some_q, some_x = pending.any(axis=1), pending.any(axis=0)
+        if not some_q.any():
+            break
+        if some_q.mean() * some_x.mean() < 0.7:  # else a smaller matrix costs more than it saves
+            here = np.ix_(some_q, some_x)
+            qs, xs, pending, score = qs[some_q], xs[some_x], pending[here], score[here]
+    return tuple(np.concatenate(side) for side in zip((qs[:0], xs[:0]), *found, strict=True))
 
 
 def _best(q: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -139,8 +144,8 @@ def _phase(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarr
         vec, rows = batch.column(0).to_numpy(), _integers(batch.column(1), dims)
         other = ids[:, None] != vec[None, :]
         if _exact_in_doubles(queries, rows):
-            q, at = np.nonzero(_listed(queries, rows, other, edges, k) if cutoffs is None
-                               else _sufficient(queries, rows, other, edges, rounded, tally))
+            q, at = (np.nonzero(_listed(queries, rows, other, edges, k)) if cutoffs is None
+                     else _sufficient(queries, rows, other, edges, rounded, tally))
             total = _totals(queries, rows, q, at)
             cutoff = rounded
         else:  # one list, of totals
