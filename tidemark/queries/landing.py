@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from tidemark.sources.jdbc import newer_than
 from tidemark.sources.kafka import decode_envelope as decode
 from tidemark.sources.splits import Split, points_from
 from tidemark.streaming import landing as streams
+from tidemark.streaming.replays import OnceLanding
 
 # The statuses a curated table understands.
 STATUSES = ("NEW", "ACTIVE", "SETTLED", "CANCELLED")
@@ -472,6 +473,33 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
             .join(refused, "_load_date", "full").fillna(0))
 
 
+@query("""
+WITH m AS (SELECT max(ts) FILTER (event_id % 7 <> 3) - INTERVAL 5 DAYS AS mark FROM events),
+e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 7 <> 3 OR ts >= mark AS kept FROM events, m)
+SELECT day, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_late, count(*) AS n_distinct
+FROM e GROUP BY day
+""")
+def stream_replays(spark: SparkSession, sf: str) -> DataFrame:
+    """Events drained in three parts, the second repeating five days of the first, the third, after a lost checkpoint,
+    repeating all and bringing events that came late. Those within five days land once; of those behind them the side
+    table holds each, and the new ones are told from replays. Landed and late events are the different ones."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-replays-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id")
+    once = OnceLanding(spark, f"parquet:{root}/landed", ("event_id",), "ts", timedelta(days=5))
+    on_time, day = F.col("event_id") % 7 != 3, F.dayofmonth("ts")
+    for number, part in enumerate((on_time & (day <= 15), on_time & (day > 10), None)):
+        if part is not None:
+            events.filter(part).write.mode("append").parquet(f"{root}/inbox")
+        else:
+            events.filter(~on_time).write.mode("append").parquet(f"{root}/inbox")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/inbox")
+        once.drain(stream, "events", f"{root}/{'first' if number < 2 else 'second'}")
+    by_day = lambda rows, name: rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias(name))
+    return by_day(once.rows(), "n_kept").join(by_day(once.settled(), "n_late"), "day", "full").fillna(0).withColumn(
+        "n_distinct", F.col("n_kept") + F.col("n_late"))
+
+
 @query("""
 WITH k AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 5000000 + l_linenumber * 100 + l_suppkey % 100
                        ELSE l_orderkey * 1000 END AS key FROM lineitem)
