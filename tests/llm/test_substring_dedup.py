@@ -68,7 +68,42 @@ def test_many_near_copies(spark):
             words[rng.randrange(len(words))] = f"edit{rng.randrange(30)}"
         rows.append((i, " ".join(words)))
     check(spark, rows, 50)
-    check(spark, rows, 50, hot=5)  # most hashes are shared by more
+    check(spark, rows, 50, split=5)  # most shards are cut finer, some into single windows
+
+
+def test_a_large_shard_is_cut_into_shards_of_equal_windows(spark, monkeypatch):
+    """One passage between different neighbours: shards hold as many different passages as documents, until cut."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(70)]
+    rows = [(i, " ".join([f"l{i % 7}"] * 3 + base[:60 + i % 9] + [f"r{i}", f"q{i % 5}"] * 2)) for i in range(80)]
+    rows += [(200, " ".join(base * 3)), (201, " ".join(["same"] * 200)), (202, " ".join(["same"] * 130))]
+    rng.shuffle(rows)
+    seen = []
+    block = dedup._block_spans
+    monkeypatch.setattr(dedup, "repeated_spans", lambda p, w, s, cuts=(False, True), inner=dedup.repeated_spans: (
+        seen.append(cuts), inner(p, w, s, cuts))[1])
+    check(spark, rows, 50, split=2)
+    assert seen == [(False, True), (True,), ()]
+    assert block([(1, 1, 0, b"a b c d"), (2, 2, 1, b"x b c d")], 3) == [(2, 2, 1, 4)]
+
+
+def test_equal_windows_have_equal_shards():
+    rng = np.random.default_rng(6)
+    grams = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    shuffled = np.r_[grams[100:160], grams[:40]]
+    keys, other = (dedup.smallest_mixed(g, 43, dedup.LEAST) for g in (grams, shuffled))
+    assert keys[100:118].tolist() == other[:18].tolist() and len(keys) == 258
+    whole = [hash(tuple(sorted(grams[i:i + 43].tolist())[:dedup.LEAST])) for i in range(258)]
+    assert (np.diff(keys) != 0).tolist() == [a != b for a, b in zip(whole, whole[1:])]
+
+
+def test_words_leave_a_task_once_unless_a_smaller_place_comes():
+    pieces = dedup._Pieces()
+    for place in (5, 7, 3, 3, 4):
+        pieces.add(1, place, (place, 0), 0, [b"a", b"b"])
+    batch = pieces.batch().to_pydict()
+    assert [w is not None for w in batch["words"]] == [True, False, True, False, False]
+    assert len(set(zip(batch["w1"], batch["w2"]))) == 1 and pieces.batch().num_rows == 0
 
 
 def test_suffix_order_and_ranks():

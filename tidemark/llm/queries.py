@@ -36,5 +36,6 @@ ORACLES = {
     "op4_warc": warc.SQL,
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op8_topk": topk.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
     "op12_lexical_search": lexical.SQL,
 }

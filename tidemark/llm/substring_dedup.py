@@ -8,16 +8,18 @@ sent to shards by that hash, which puts equal windows into one shard. Each shard
 compressed FM-index over blocks of its passages; backward search gives how far each window's end
 matches to the left in an earlier document, and what is at least a window long is reported as an interval.
 
+Equal passages are folded first: their words leave a map task once, the earliest document that holds them is found by
+partial aggregation, and every later holder loses the passage whole. An index is built over the different passages only,
+and what it finds in one holds for all rows of it. A shard with more than ``SPLIT`` different passages is cut again, by the
+``LEAST`` smallest hashes of each window, and one that is still larger into its single windows, of which equal ones
+fold: no shard grows with the documents, and none is searched in another way.
+
 Exact copies of a document are set aside before: all but the first lose every word if they have a
 window at all.
 
-A hash that more than ``HOT`` documents share would gather too many passages in one shard. Its windows
-go by their own content instead, one row each: equal ones are folded to the earliest document by partial
-aggregation, whatever their number, and the others compared with it.
-
 Defined results. NULL and empty texts have no words. A NULL id sorts behind all others, and rows without an id do not
-remove from one another; nor do rows repeating an id. Windows are judged on the input. An empty table gives an empty
-result. Other columns are never read.
+remove from one another; nor do rows repeating an id. Windows are judged on the input. A text is split whole in one
+task, however long, with 8 bytes a word beside it. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,13 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, table, written
+from tidemark.llm.common import WORD, row_key, table, written
 from tidemark.llm.fmindex import FMIndex
 
 WINDOW = 50
 GRAM = 8
 SPREAD = 16
-HOT = 20_000  # documents that may share a hash before its windows are dealt out one by one
+SPLIT = 1024  # different passages of a shard before it is cut finer
+LEAST = 4  # hashes of a window that name its shard in the first finer cut
+REMEMBER = 1 << 18  # passages whose words a task remembers having sent
+WIDE = 1 << 14  # windows whose hashes are sorted at once
 BLOCK_WORDS = 1 << 20  # words that one index holds
 BATCH_BYTES = 1 << 24
 LAST = (1 << 63) - 1  # the place of a NULL id in the order of documents
@@ -105,33 +110,92 @@ def candidate_windows(grams: np.ndarray, shared: np.ndarray, window: int) -> np.
     return run[inside:] - run[:-inside] == inside
 
 
-PASSAGES = "anchor bigint, place bigint, rid bigint, first bigint, words binary, hot boolean"
+PASSAGES = ("shard bigint, w1 bigint, w2 bigint, place bigint, r1 bigint, r2 bigint, first bigint, n bigint, "
+            "words binary")
+
+
+class _Pieces:
+    """Passages as rows; their words go along where the task has not sent them with as small a place."""
+
+    def __init__(self) -> None:
+        self.lowest: dict[bytes, int] = {}
+        self.rows: list[tuple] = []
+
+    def add(self, shard: int, place: int, row: tuple[int, int], first: int, words: list[bytes]) -> None:
+        joined = b" ".join(words)
+        digest = xxhash.xxh3_128_digest(joined)
+        known = self.lowest.get(digest)
+        if known is not None and known <= place:
+            joined = None
+        else:
+            if len(self.lowest) >= REMEMBER:
+                self.lowest.clear()
+            self.lowest[digest] = place
+        name = np.frombuffer(digest, np.int64)
+        self.rows.append((shard, int(name[0]), int(name[1]), place, *row, first, len(words), joined))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else ((),) * 9
+        self.rows = []
+        kinds = [pa.int64()] * 8 + [pa.binary()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            ["shard", "w1", "w2", "place", "r1", "r2", "first", "n", "words"])
+
+
+def _edges(*changed: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.logical_or.reduce(changed)) + 1
 
 
 def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    pieces = _Pieces()
     for batch in _small(batches):
-        out: list[tuple] = []
-        columns = [batch.column(c) for c in ("text", "shared", "hot", "place", "rid")]
-        for text, shared, hot, place, rid in zip(*columns, strict=True):
-            words, hot = _words(text.as_py()), set(hot.as_py())
+        columns = [batch.column(c) for c in ("text", "shared", "place", "rid")]
+        for text, shared, place, rid in zip(*columns, strict=True):
+            words = _words(text.as_py())
             grams = _grams(words, GRAM)
-            fine = candidate_windows(grams, shared.values.to_numpy(), window)
-            starts = np.flatnonzero(fine)
+            starts = np.flatnonzero(candidate_windows(grams, shared.values.to_numpy(), window))
             if not len(starts):
                 continue
             key = _lowest(grams, window - GRAM + 1).view(np.int64)[starts]
-            edges = np.flatnonzero((np.diff(starts) != 1) | (np.diff(key) != 0)) + 1
+            edges = _edges(np.diff(starts) != 1, np.diff(key) != 0)
             for a, b in zip(np.r_[0, edges], np.r_[edges, len(starts)], strict=True):
-                first, stop, anchor = int(starts[a]), int(starts[b - 1]) + window, int(key[a])
-                single = anchor in hot  # then each window is a passage of its own
-                for begin in range(first, stop - window + 1) if single else (first,):
-                    end = begin + window if single else stop
-                    out.append((anchor, place.as_py(), rid.as_py(), begin, b" ".join(words[begin:end]), single))
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                ["anchor", "place", "rid", "first", "words", "hot"])
+                first, stop = int(starts[a]), int(starts[b - 1]) + window
+                pieces.add(int(key[a]), place.as_py(), (rid.as_py(), 0), first, words[first:stop])
+        yield pieces.batch()
+
+
+def smallest_mixed(grams: np.ndarray, width: int, least: int) -> np.ndarray:
+    """A hash of the ``least`` smallest of every ``width`` neighbours."""
+    out = np.zeros(len(grams) - width + 1, np.uint64)
+    for a in range(0, len(out), WIDE):
+        view = np.lib.stride_tricks.sliding_window_view(grams[a:a + WIDE + width - 1], width)
+        kept = np.sort(np.partition(view, least - 1, axis=1)[:, :least], axis=1)
+        with np.errstate(over="ignore"):
+            for column in kept.T:
+                out[a:a + WIDE] = (out[a:a + WIDE] ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                out[a:a + WIDE] ^= out[a:a + WIDE] >> np.uint64(29)
+    return out
+
+
+def _recut(batches: Iterator[pa.RecordBatch], window: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """Passages (w1, w2, place, words) cut where the smallest hashes of their windows change, or into single windows."""
+    pieces = _Pieces()
+    for batch in _small(batches):
+        columns = [batch.column(c) for c in ("w1", "w2", "place", "words")]
+        for w1, w2, place, joined in zip(*columns, strict=True):
+            words = joined.as_py().split(b" ")
+            count = len(words) - window + 1
+            if single:
+                edges, key = np.arange(1, count), np.zeros(count, np.int64)
+            else:
+                key = smallest_mixed(_grams(words, GRAM), window - GRAM + 1, LEAST).view(np.int64)
+                edges = _edges(np.diff(key) != 0)
+            for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, count].tolist(), strict=True):
+                part = words[a:b - 1 + window]
+                shard = xxhash.xxh3_64_intdigest(b" ".join(part)) - (1 << 63) if single else int(key[a])
+                pieces.add(shard, place.as_py(), (w1.as_py(), w2.as_py()), a, part)
+        yield pieces.batch()
 
 
 def matched_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, count: np.ndarray, owner: np.ndarray,
@@ -173,23 +237,10 @@ def matched_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, count:
     return np.cumsum(good[:-1]) > 0
 
 
-def _block_spans(rows: list[tuple], window: int) -> list[tuple[int, int, int]]:
-    """(rid, first word, word behind the last) of the windows that an earlier document in the block holds."""
-    lowest: dict[tuple, int] = {}
-    for anchor, place, _, _, words in rows:
-        same = (anchor, words)
-        lowest[same] = min(place, lowest.get(same, place))
-    spans, distinct = [], {}
-    for row in rows:
-        anchor, place, rid, first, words = row
-        if place > lowest[anchor, words]:
-            spans.append((rid, first, first + words.count(b" ") + 1))
-        else:
-            distinct.setdefault((anchor, words), []).append(row)
-    firsts = [group[0] for group in distinct.values()]
-    if len({row[1] for row in firsts}) < 2:
-        return spans
-    split = [row[4].split(b" ") for row in firsts]
+def _block_spans(rows: list[tuple], window: int) -> list[tuple[int, int, int, int]]:
+    """(w1, w2, first word, word behind the last) of the windows of different passages (w1, w2, place, words) that one
+    with a smaller place holds."""
+    split = [row[3].split(b" ") for row in rows]
     numbers: dict[bytes, int] = {}
     sizes = np.array([len(words) for words in split])
     flat = np.fromiter([numbers.setdefault(w, len(numbers)) for words in split for w in words], np.int64, int(sizes.sum()))
@@ -199,52 +250,69 @@ def _block_spans(rows: list[tuple], window: int) -> list[tuple[int, int, int]]:
     begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     text = np.zeros(int(sizes.sum()) + len(split), np.int64)
     text[np.arange(len(flat)) + passage] = symbols[flat]
-    places = np.unique([row[1] for row in firsts], return_inverse=True)[1].astype(np.int32)
+    places = np.unique([row[2] for row in rows], return_inverse=True)[1].astype(np.int32)
     owner = np.repeat(places, sizes + 1)
     index = FMIndex(text, owner, int(symbols.max()) + 1)
     good = matched_windows(index, text, begin, sizes - window + 1, places, window)
     edges = np.diff(np.r_[False, good, False].astype(np.int8))
+    spans = []
     for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
         which = int(np.searchsorted(begin, a, "right")) - 1
-        for row in distinct[firsts[which][0], firsts[which][4]]:  # rows repeating an id share its fate
-            spans.append((row[2], row[3] + int(a - begin[which]), row[3] + int(b - 1 - begin[which]) + window))
+        spans.append((*rows[which][:2], int(a - begin[which]), int(b - 1 - begin[which]) + window))
     return spans
 
 
 def _spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole anchors out of a partition that lies by anchor."""
+    """Blocks of whole shards out of a partition that lies by shard, passage and place."""
     def found(rows: list[tuple]) -> pa.RecordBatch:
-        spans = _block_spans(rows, window)
-        columns = zip(*spans, strict=True) if spans else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rid", "first", "stop"])
+        spans = _block_spans(rows, window) if rows else []
+        columns = zip(*spans, strict=True) if spans else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["w1", "w2", "first", "stop"])
 
-    held, own, size = [], [], 0
+    held, own, size, shard = [], [], 0, None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "place", "rid", "first", "words")]
+        columns = [batch.column(c).to_pylist() for c in ("shard", "w1", "w2", "place", "words")]
         for row in zip(*columns, strict=True):
-            if own and row[0] != own[0][0]:
+            if row[0] != shard:
                 if len(own) > 1:
                     held += own
-                    size += sum(len(r[4]) for r in own) // 6
-                own = []
+                    size += sum(len(r[3]) for r in own) // 6
+                shard, own = row[0], []
                 if size >= BLOCK_WORDS:
                     yield found(held)
                     held, size = [], 0
-            own.append(row)
-    yield found(held + own)
+            if not own or own[-1][:2] != row[1:3]:  # another task may have sent the same words, with a greater place
+                own.append(row[1:])
+    yield found(held + own if len(own) > 1 else held)
 
 
-def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(rid, first, stop) word ranges of the representatives (place, rid, text, shared, hot)."""
-    passages = written(rows.mapInArrow(lambda b: _passages(b, window), PASSAGES), "passages")
-    sharded = passages.where("not hot").drop("hot")
-    spans = sharded.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        lambda b: _spans(b, window), "rid bigint, first bigint, stop bigint")
-    single = passages.where("hot").select(
-        F.xxhash64("words").alias("w1"), F.xxhash64(F.lit(1), "words").alias("w2"), "place", "rid", "first")
-    earliest = written(single.groupBy("w1", "w2").agg(F.min("place").alias("lowest")), "windows")
-    repeated = single.join(earliest, ["w1", "w2"]).where("place > lowest")
-    return spans.unionAll(repeated.select("rid", "first", F.col("first") + window))
+def repeated_spans(passages: DataFrame, window: int, split: int, cuts: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """(r1, r2, first, stop) word ranges of the written passages that a smaller place also holds.
+
+    ``cuts`` are the finer cuts that are left for shards over ``split``; behind the last a shard is one window.
+    """
+    kinds = written(passages.groupBy("shard", "w1", "w2").agg(
+        F.min("place").alias("lowest"), F.max("place").alias("highest")), "kinds")
+    shards = written(kinds.groupBy("shard").agg(
+        F.count("*").alias("kinds"), F.min("lowest").alias("a"), F.max("lowest").alias("b")).where(
+            "a < b").select("shard", (F.col("kinds") > split).alias("large")), "shards")
+    texts = passages.where("words is not null").select("shard", "w1", "w2", "place", "words").join(shards, "shard")
+    large = bool(cuts) and not shards.where("large").isEmpty()
+    spans = (texts.where("not large") if large else texts).drop("large").repartition("shard").sortWithinPartitions(
+        "shard", "w1", "w2", "place").mapInArrow(lambda b: _spans(b, window), "w1 bigint, w2 bigint, first bigint, stop bigint")
+    if large:
+        each = texts.where("large").groupBy("shard", "w1", "w2").agg(
+            F.min_by("words", "place").alias("words"), F.min("place").alias("place"))
+        single = cuts[0]
+        pieces = written(each.mapInArrow(lambda b: _recut(b, window, single), PASSAGES), "pieces")
+        spans = spans.unionAll(repeated_spans(pieces, window, split, cuts[1:]))
+    found = written(spans.groupBy("w1", "w2").agg(F.collect_list(F.struct("first", "stop")).alias("spans")), "found")
+    verdicts = kinds.join(found, ["w1", "w2"], "left").where("lowest < highest or spans is not null").select(
+        "w1", "w2", "lowest", F.coalesce("spans", F.expr("array()")).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n").alias("stop")))
+    own = F.explode(F.when(F.col("place") > F.col("lowest"), whole).otherwise(F.col("spans"))).alias("own")
+    return passages.drop("words", "shard").join(verdicts, ["w1", "w2"]).select("r1", "r2", "first", own).select(
+        "r1", "r2", (F.col("first") + F.col("own.first")).alias("first"), (F.col("first") + F.col("own.stop")).alias("stop"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +330,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["rid", "n_removed", "kept"])
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, split: int = SPLIT) -> DataFrame:
     """Per row of (doc_id, text): n_words, n_removed, kept_sha256, and the kept text where it differs from all words."""
     keyed = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"),
@@ -277,14 +345,14 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataF
     rows = read.join(firsts, ["c1", "c2"], "left").withColumn(
         "copy", F.coalesce(F.col("place") > F.col("lowest"), F.lit(False)))
     held = written(rows.where("not copy").select("place", "rid", F.explode("anchors").alias("anchor")).distinct(), "held")
-    shared = written(held.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
-                     .where("a < b").select("anchor", (F.col("n") > hot).alias("is_hot")), "shared")
+    shared = written(held.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+                     .where("a < b").select("anchor"), "shared")
     lists = held.join(shared, "anchor").groupBy("rid").agg(  # at most a document's anchors
-        F.first("place").alias("place"), F.collect_list("anchor").alias("shared"),
-        F.collect_list(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
+        F.first("place").alias("place"), F.collect_list("anchor").alias("shared"))
     texts = written(
         keyed.select("rid", "text").join(lists, "rid").dropDuplicates(["rid"]), "texts")
-    spans = repeated_spans(texts, window).groupBy("rid").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    passages = written(texts.mapInArrow(lambda b: _passages(b, window), PASSAGES), "passages")
+    spans = repeated_spans(passages, window, split).groupBy(F.col("r1").alias("rid")).agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
     changed = texts.select("rid", "text").join(spans, "rid").mapInArrow(
         _without, "rid bigint, n_removed bigint, kept string").withColumnRenamed("rid", "of")
     whole = F.col("copy") & (F.col("n_words") >= window)
@@ -295,6 +363,24 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataF
         F.when(whole, "").otherwise(F.col("kept")).alias("kept"))
 
 
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {LAST}) AS place,
+                  regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+w AS (SELECT rid, place, unnest(range(1, len(words) - {WINDOW - 2})) AS pos, words FROM d WHERE len(words) >= {WINDOW}),
+r AS (SELECT rid, place, pos, array_to_string(words[pos:pos + {WINDOW - 1}], ' ') AS run FROM w),
+f AS (SELECT rid, pos, min(place) OVER (PARTITION BY run) < place AS again FROM r),
+k AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+g AS (SELECT rid, word, pos, coalesce(bool_or(again) OVER (
+        PARTITION BY rid ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), FALSE) AS gone
+      FROM k LEFT JOIN f USING (rid, pos)),
+s AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+      FROM g GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (rid)
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicated(docs).drop("kept")
