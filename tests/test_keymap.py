@@ -1,0 +1,65 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.plans import keymap
+from tidemark.plans.keymap import KeyMap
+
+
+def ids(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "id STRING")
+
+
+def pairs(df):
+    return sorted(((r.id, r.key) for r in df.collect()), key=str)
+
+
+def test_keys_stay_and_new_ones_are_dense(spark, tmp_path):
+    keys = KeyMap(spark, f"{tmp_path}/m", "id STRING", "key")
+    assert pairs(keys.assign(ids(spark, "b", "a", "b", None))) == [("a", 1), ("b", 2), ("b", 2), (None, None)]
+    assert pairs(keys.assign(ids(spark, "c", "a", "0"))) == [("0", 3), ("a", 1), ("c", 4)]
+    assert pairs(keys.assign(ids(spark, "c"))) == [("c", 4)] and keys.records().count() == 2
+    assert pairs(keys.assign(ids(spark))) == []
+    assert keys.merge() == 2 and keys.merge() == 1
+    assert pairs(keys.rows()) == [("0", 3), ("a", 1), ("b", 2), ("c", 4)]
+    assert pairs(keys.assign(ids(spark, "d", "b"))) == [("b", 2), ("d", 5)]
+
+
+def test_a_failed_run_is_not_seen(spark, tmp_path, monkeypatch):
+    keys = KeyMap(spark, f"{tmp_path}/m", "id STRING", "key")
+    keys.assign(ids(spark, "a"))
+    with monkeypatch.context() as patch:
+        patch.setattr(keymap, "RECORDS", "wrong BIGINT")
+        with pytest.raises(Exception):
+            keys._write(spark.createDataFrame([("b", 2)], "id STRING, key BIGINT"), "torn", 1, [])
+    assert pairs(keys.rows()) == [("a", 1)]
+    assert pairs(keys.assign(ids(spark, "c"))) == [("c", 2)]
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_named_and_joined_keys_agree(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(keymap, "MOST", most)
+    keys = KeyMap(spark, f"{tmp_path}/m", "id BIGINT", "key")
+    keys.assign(spark.range(100).select((F.col("id") * 2).alias("id")))
+    got = {r.id: r.key for r in keys.assign(spark.range(60, 90)).collect()}
+    assert got == {i: i // 2 + 1 if i % 2 == 0 else 101 + (i - 61) // 2 for i in range(60, 90)}
+
+
+def test_reading_follows_the_batch(spark, tmp_path):
+    """Rows that leave the scan, of a map of 400,000 keys: some pages for a few keys, none for keys it cannot hold."""
+    keys = KeyMap(spark, f"{tmp_path}/m", "id STRING", "key", group_bytes=1 << 18)
+    keys._write(spark.range(400_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), (F.col("id") + 1).alias("key")),
+                "first", 0, [])
+
+    def read(batch):
+        found = keys.holding(batch)
+        held = found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return len(held), leaf.metrics().apply("numOutputRows").value()
+
+    some = spark.range(3).select(F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    strange = spark.range(3).select(F.sha2(F.concat(F.lit("x"), F.col("id")), 256).alias("id"))
+    assert keys.rows().count() == 400_000
+    held, rows = read(some)
+    assert held == 3 and 0 < rows < 400_000 * 0.25
+    held, rows = read(strange)
+    assert held == 0 and rows < 400_000 * 0.05

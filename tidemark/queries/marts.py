@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import date_key, ntz
 from tidemark.operators import contracts, dims
 from tidemark.operators.dedupe import dedupe_latest
+from tidemark.plans.keymap import KeyMap
 from tidemark.queries.catalogue import AS_OF, query, table
 from tidemark.queries.landing import CURATED_ORDERS_SQL, curated_orders
+from tidemark.session import ensure_checkpoint_dir
 
 # Day the dimension was last built: orders before it are known, later ones arrive.
 BUILT = "1999-01-01"
@@ -85,6 +89,22 @@ def surrogate_key(spark: SparkSession, sf: str) -> DataFrame:
     return dims.assign_keys(known, customers, "c_custkey", "customer_key")
 
 
+@query("""
+WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN 1
+                                  WHEN c_custkey % 50 = 0 THEN 2 END AS batch FROM customer)
+SELECT c_custkey, row_number() OVER (ORDER BY batch, c_custkey) AS customer_key FROM b WHERE batch IS NOT NULL
+""")
+def key_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers that arrive in three batches, the later ones repeating known ones: keys are looked up in sorted runs
+    and handed out to new customers; the runs are merged at the end."""
+    keys = KeyMap(spark, f"{ensure_checkpoint_dir(spark)}/key-map-{uuid.uuid4().hex}", "c_custkey BIGINT", "customer_key")
+    customers, number = table(spark, sf, "customer").select("c_custkey"), F.col("c_custkey")
+    for batch in (number % 3 == 0, number % 3 <= 1, number % 50 == 0):
+        keys.assign(customers.filter(batch))
+    keys.merge()
+    return keys.rows()
+
+
 @query(f"""
 WITH d AS ({_latest_order_sql(f"< TIMESTAMP '{EARLY}'")}),
      s AS ({_latest_order_sql(f">= TIMESTAMP '{EARLY}'")}),
