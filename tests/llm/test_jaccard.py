@@ -60,6 +60,25 @@ def test_the_stage_drops_a_near_copy_that_three_bits_keep(spark):
     assert [r.doc_id for r in stage(spark, docs, "").collect()] == [1]
 
 
+def test_the_stage_finds_near_copies_by_fingerprints_and_verifies_them(spark, monkeypatch):
+    """Without prefixes the fingerprints' links are left; texts of one fingerprint that are not similar both stay."""
+    import corpus_pipeline
+    from tidemark.llm import simhash
+    monkeypatch.setattr(jaccard, "_groups", lambda batches: iter(()))
+    rng = random.Random(2)
+    while True:
+        words = [f"w{rng.randrange(500)}" for _ in range(200)]
+        a, b = " ".join(words), " ".join([*words[:-1], "other"])
+        if 0 < (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() <= 3:
+            break
+    c, d = "a " * 100 + "b c d e f g", "a " * 100 + "h i j k l m"
+    assert simhash.fingerprint(c, 5) == simhash.fingerprint(d, 5)
+    rows = [(1, a), (2, b), (3, c), (4, d)]
+    assert slow(rows) == [1, 3, 4]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()) == [1, 3, 4]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     kept = jaccard.drop_similar(docs)

@@ -151,6 +151,18 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
         members = large.select("fp", "path", "fixed")
 
 
+def suspects(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) rids spanning every group of rows linked within the radius: a row hangs on the first row of its fingerprint,
+    first rows hang on one another as their fingerprints' ``links`` do."""
+    firsts = written(prints.groupBy("fp").agg(F.min("rid").alias("first")), "firsts")
+    same = prints.select("rid", "fp").join(firsts, "fp").where("rid <> first").select(
+        F.col("rid").alias("a"), F.col("first").alias("b"))
+    a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in ("a", "b"))
+    linked = links(prints, radius, bucket).distinct().join(a, "a").join(b, "b").select(
+        F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return same.unionAll(linked).distinct()
+
+
 def grouped(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """The fingerprints with their component's root and component_id, the smallest document id in it."""
     roots = written(components(links(prints, radius, bucket)), "roots")
