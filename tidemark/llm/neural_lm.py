@@ -4,7 +4,8 @@ A position's prediction is the sum of the vectors of the ``CONTEXT`` words befor
 its distance; a target's score is the product of the prediction with the target's vector, plus the target's bias. Targets are
 the ``SINGLE`` most frequent tokens and ``SHARED`` classes of all others, by the words' endings; within a class a word has its
 share of the class's training tokens, one unseen word included. So probabilities of all words sum to one, and a
-batch of positions is normalised by one matrix product over the targets.
+batch of contexts is normalised by one matrix product over the targets. A task splits, counts and numbers words by Arrow, some
+hundred texts at once, and normalises a context that several of their positions share only once.
 
 Training is numpy in tasks over every training text: each task runs through its texts by minibatches that share ``NOISE`` draws from
 the targets' frequencies, and returns how far it moved each row; moves are averaged by row, weighted by use. A first round
@@ -13,8 +14,8 @@ counts of words, which make the shares, the biases and the base score, are of th
 meet their counts in a join, only those of the ``COUNTED`` most frequent are sent to tasks.
 
 Defined results. Words are split at ASCII space and lowered in ASCII; NULL and empty texts are the end alone. A row
-without an id is not held out. Repeated rows are scored each, and count each. Equally frequent words go by their bytes. Long texts go through
-in blocks of ``ROWS`` positions. An empty table gives an empty result; if no text is for training, all words are
+without an id is not held out. Repeated rows are scored each, and count each. Equally frequent words go by their bytes. Contexts are
+normalised in blocks of ``ROWS``. An empty table gives an empty result; if no text is for training, all words are
 unseen. Other columns are not read.
 """
 
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +53,27 @@ END = b"\n"  # no word holds a line break
 PLUS = 0.1  # what an unseen token counts
 SAFE = 60.0  # exp of so much, and a sum of them, is well within single precision
 GATHER = 1 << 19  # words that a counting task holds before it passes them on
+PART = 1 << 21  # bytes of text that a task splits at once, or one text
+PADDING = KNOWN + ENDINGS  # the input row before a text's first word
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of texts that ``PART`` bytes hold; a longer text is alone."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + PART, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many tokens each text has: its words and its end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, text_of = split.flatten(), pc.list_parent_indices(split)
+    full = pc.greater(pc.binary_length(words), 0)
+    length = np.bincount(text_of.filter(full).to_numpy(), minlength=len(texts)) + 1
+    return words.filter(full).cast(pa.binary()), length
 
 
 def ending(word: bytes) -> int:
@@ -80,40 +99,63 @@ class Model:
         return row if row < SINGLE else SINGLE + ending(word) % SHARED
 
 
-class _Codes(dict):
+def _endings(words: pa.Array, at: np.ndarray) -> np.ndarray:
+    """``ending`` of the words at these places, once for each two last bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    end, size = offsets[1:][at], (offsets[1:] - offsets[:-1])[at]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    pair = np.where(size > 1, data[end - 2].astype(np.int32) << 8, 1 << 16) | data[end - 1]
+    met = np.flatnonzero(np.bincount(pair))
+    found = np.zeros(met.max(initial=0) + 1, np.int32)
+    for code in met.tolist():
+        found[code] = ending(code.to_bytes(3)[1 if code < 1 << 16 else 2:])
+    return found[pair]
+
+
+class _Codes:
     """A number for every token: its place among the counted ones, or behind them one that words of an ending share."""
 
     def __init__(self, model: Model):
-        super().__init__((w, place) for w, (place, _) in model.words.items())
-        self.ends: dict[bytes, int] = {}
-        rest = np.arange(ENDINGS)
+        self.words = pa.array(sorted(model.words, key=lambda word: model.words[word][0]), pa.binary())
+        self.end = model.words[END][0]
+        place, rest = np.arange(len(self.words)), np.arange(ENDINGS)
+        own = _endings(self.words, place)
         self.row = np.r_[np.zeros(COUNTED, np.int32), KNOWN + rest].astype(np.int32)
         self.target = np.r_[np.zeros(COUNTED, np.int32), SINGLE + rest % SHARED].astype(np.int32)
-        for word, (place, _) in model.words.items():
-            self.row[place], self.target[place] = model.row(word), model.target(word)
+        self.row[place] = np.where(place < KNOWN, place, KNOWN + own)
+        self.target[place] = np.where(place < SINGLE, place, SINGLE + own % SHARED)
 
-    def __missing__(self, word: bytes) -> int:
-        end = word[-2:]
-        found = self.ends.get(end)
-        if found is None:
-            found = self.ends[end] = COUNTED + ending(end)
-        return found
+    def of(self, words: pa.Array) -> np.ndarray:
+        code = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        rare = np.flatnonzero(code < 0)
+        if len(rare):
+            code[rare] = COUNTED + _endings(words, rare)
+        return code
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+def _merged(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+    waiting = ends = 0
     for batch in batches:
-        for text in batch.column("text"):
-            held.update(tokens(text.as_py()))
-            if len(held) >= GATHER:
-                yield out()
-                held.clear()
-    yield out()
+        for part in _parts(batch):
+            words, length = _words(part.column("text"))
+            ends += len(length)
+            own = pc.value_counts(words)
+            held.append(pa.table([own.field("values"), own.field("counts")], ["word", "c"]))
+            waiting += len(own)
+            if waiting >= GATHER:
+                held = [_merged(held)]
+                waiting = held[0].num_rows
+            if waiting >= GATHER // 2 and len(held) == 1:
+                yield from held[0].combine_chunks().to_batches()
+                held, waiting = [], 0
+    if ends:
+        held.append(pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "c"]))
+        yield from _merged(held).combine_chunks().to_batches()
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -122,20 +164,20 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
 
 
-def _sequences(batch: pa.RecordBatch, ids: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Code, context rows and target of every position of a batch's texts, the texts' lengths, and all tokens."""
-    words, length = [], []
-    for text in batch.column("text"):
-        own = tokens(text.as_py())
-        words += own
-        length.append(len(own))
-    code = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-    row, length = ids.row[code], np.array(length)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-    context = np.zeros((len(row), CONTEXT), np.int32)
+def _sequences(batch: pa.RecordBatch, ids: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Code, context rows and target of every position of a batch's texts, the texts' lengths, and all words but the ends."""
+    words, length = _words(batch.column("text"))
+    ends = np.cumsum(length)
+    code = np.full(ends[-1] if len(ends) else 0, ids.end, np.int32)
+    inside = np.ones(len(code), bool)
+    inside[ends - 1] = False
+    code[inside] = ids.of(words)
+    row, starts = ids.row[code], ends - length
+    context = np.full((len(row), CONTEXT), PADDING, np.int32)
     for j in range(CONTEXT):
         context[j + 1:, j] = row[:-j - 1]
-        context[place <= j, j] = -1
+        for k in range(j + 1):  # the first words of a text have none so far before them
+            context[starts[length > k] + k, j] = PADDING
     return code, context, ids.target[code], length, words
 
 
@@ -151,7 +193,7 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     ordered = rows[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.r_[starts, len(rows)])
+    return ordered[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0), np.diff(np.r_[starts, len(rows)])
 
 
 class _Trainer:
@@ -172,7 +214,7 @@ class _Trainer:
         self.cumulated = np.cumsum(model.frequency)
 
     def _move(self, rows: np.ndarray, gradient: np.ndarray, counts: np.ndarray) -> None:
-        gradient = gradient / np.sqrt(np.maximum(counts, 1))[:, None]
+        gradient = gradient / np.sqrt(np.maximum(counts, 1)).astype(np.float32)[:, None]
         self.seen[rows] += np.square(gradient).mean(axis=1)
         self.all[rows] += RATE * gradient / np.sqrt(self.seen[rows])[:, None]
         self.used[rows] += counts
@@ -181,26 +223,26 @@ class _Trainer:
         inputs, places = self.first
         vectors, distances, targets = self.all[:inputs], self.all[inputs:places], self.all[places:]
         noise = np.minimum(np.searchsorted(self.cumulated, self.random.random(NOISE) * self.cumulated[-1]), len(targets) - 1)
-        own = [vectors[context[:, j]] for j in range(CONTEXT)]
+        own = [vectors.take(context[:, j], axis=0) for j in range(CONTEXT)]
+        chosen, drawn = targets.take(target, axis=0), targets[noise]
         guess = sum(own[j] * distances[j] for j in range(CONTEXT))
         with np.errstate(over="ignore"):
-            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", guess, targets[target]) + self.bias[target] - self.offset[target]))
-            wrong = -1 / (1 + np.exp(self.offset[noise] - guess @ targets[noise].T - self.bias[noise]))
-        back = right[:, None] * targets[target] + wrong @ targets[noise]
-        to_distances = np.stack([(back * own[j]).sum(axis=0) for j in range(CONTEXT)])
+            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", guess, chosen) + (self.bias - self.offset)[target]))
+            wrong = -1 / (1 + np.exp((self.offset - self.bias)[noise] - guess @ drawn.T))
+        back = right[:, None] * chosen + wrong @ drawn
+        to_distances = np.stack([np.einsum("ij,ij->j", back, own[j]) for j in range(CONTEXT)])
         to_vectors = np.vstack([back * distances[j] for j in range(CONTEXT)])
         moved = np.r_[target, noise]
         gradient = np.vstack([right[:, None] * guess, wrong.T @ guess])
         to_bias = np.bincount(moved, np.r_[right, wrong.sum(axis=0)], len(targets)).astype(np.float32)
-        rows, sums, counts = _summed(np.where(context < 0, inputs - 1, context).T.ravel(), to_vectors)
+        rows, sums, counts = _summed(context.T.ravel(), to_vectors)
         self._move(rows, sums, counts)
         self._move(np.arange(inputs, places), to_distances, np.full(CONTEXT, len(target)))
         rows, sums, counts = _summed(moved, gradient)
         self._move(places + rows, sums, counts)
-        touched = np.unique(moved)
-        step = to_bias[touched] / np.sqrt(len(target))
-        self.seen_bias[touched] += np.square(step)
-        self.bias[touched] += RATE * step / np.sqrt(self.seen_bias[touched])
+        step = to_bias[rows] / np.float32(np.sqrt(len(target)))
+        self.seen_bias[rows] += np.square(step)
+        self.bias[rows] += RATE * step / np.sqrt(self.seen_bias[rows])
 
     def moves(self, task: int) -> pa.RecordBatch:
         """How far each used row has moved, times its uses; a target's row has its bias behind it."""
@@ -219,8 +261,8 @@ def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
     held: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            _, context, target, *_ = _sequences(batch.slice(at, 256), ids)
+        for texts in _parts(batch):
+            _, context, target, *_ = _sequences(texts, ids)
             held.append((context, target))
             waiting += len(target)
             if waiting < 8 * BATCH:
@@ -310,12 +352,13 @@ def learn(docs: DataFrame) -> Trained:
                   random.normal(0, 0.1, (KNOWN + ENDINGS + 1, WIDTH)).astype(np.float32),
                   np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32),
                   random.normal(0, 0.1, (SINGLE + SHARED, WIDTH)).astype(np.float32), np.zeros(SINGLE + SHARED, np.float32))
-    model.vectors[-1] = 0  # before a text's first word
+    model.vectors[PADDING] = 0  # before a text's first word
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Codes(model)
         for batch in batches:
-            target = [model.target(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(target, pa.int32())], ["word", "c", "target"])
+            target = ids.target[ids.of(batch.column("word"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(target)], ["word", "c", "target"])
 
     classed = written(counted.mapInArrow(classes, "word binary, c bigint, target int"), "classed")
     sums = {r.target: (r.c, r.v) for r in classed.groupBy("target").agg(
@@ -332,6 +375,33 @@ def learn(docs: DataFrame) -> Trained:
     return Trained(model, classed, n, shares)
 
 
+def _network(model: Model, with_bias: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log10 of the targets' probabilities; a context that several positions share is normalised once."""
+    pair, place = np.unique(context @ (PADDING + 1) ** np.arange(CONTEXT), return_inverse=True)
+    context = np.stack([pair // (PADDING + 1) ** j % (PADDING + 1) for j in range(CONTEXT)], axis=1)
+    guess = np.ones((len(pair), WIDTH + 1), np.float32)  # the last place is the bias's
+    norm = np.empty(len(pair), np.float32)
+    room, ones = np.empty((ROWS, with_bias.shape[1]), np.float32), np.ones(with_bias.shape[1], np.float32)
+    for start in range(0, len(pair), ROWS):
+        part = slice(start, start + ROWS)
+        guess[part, :WIDTH] = _predicted(model, context[part], model.vectors)
+        score = np.matmul(guess[part], with_bias, out=room[:len(guess[part])])
+        high = score.max()
+        if max(high, -score.min()) > SAFE:  # exp would leave its range
+            high = score.max(axis=1)
+            score -= high[:, None]
+        else:
+            high = 0
+        np.exp(score, out=score)
+        norm[part] = high + np.log(score @ ones)
+    out, of_target = np.empty(len(target)), np.ascontiguousarray(with_bias.T)
+    for start in range(0, len(target), 16 * ROWS):
+        part = slice(start, start + 16 * ROWS)
+        own = np.einsum("ij,ij->i", guess.take(place[part], axis=0), of_target.take(target[part], axis=0))
+        out[part] = (own - norm[place[part]]) / math.log(10)
+    return out
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, in_class: list[float]) -> Iterator[pa.RecordBatch]:
     """Per text: what the network and the known words' counts give, and its rare words."""
     task, number = TaskContext.get().partitionId(), 0
@@ -344,34 +414,23 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, in_class: list[floa
     to_share = np.where(ids.target < SINGLE, 0.0, log_c - np.log10(in_class)[np.maximum(ids.target - SINGLE, 0)])
     to_base[COUNTED:] = to_share[COUNTED:] = 0  # those wait for their counts
     with_bias = np.vstack([model.targets.T, model.bias]).astype(np.float32)
-    guess = np.ones((ROWS, WIDTH + 1), np.float32)  # the last place is the bias's
     for whole in batches:
-        for at in range(0, whole.num_rows, 64):
-            batch = whole.slice(at, 64)
+        for batch in _parts(whole):
             codes, context, target, length, words = _sequences(batch, ids)
             log_p = to_share[codes]
-            for start in range(0, len(target), ROWS):
-                part = slice(start, start + ROWS)
-                guess[:target[part].size, :WIDTH] = _predicted(model, context[part], model.vectors)
-                score = guess[:target[part].size] @ with_bias
-                own = score[np.arange(len(score)), target[part]]
-                high = score.max()
-                if max(high, -score.min()) > SAFE:  # exp would leave its range
-                    high = score.max(axis=1)
-                    score -= high[:, None]
-                else:
-                    high = 0
-                np.exp(score, out=score)
-                log_p[part] += (own - high - np.log(score.sum(axis=1))) / math.log(10)
+            for start in range(0, len(target), PART // 4):  # more than one only within a text longer than ``PART``
+                run = slice(start, start + PART // 4)
+                log_p[run] += _network(model, with_bias, context[run], target[run])
             starts = np.cumsum(length) - length
             network, base, n_known = (np.add.reduceat(x, starts) for x in (log_p, to_base[codes], known[codes].astype(np.int64)))
-            text_of = np.repeat(np.arange(len(length)), length)
             far = np.flatnonzero(codes >= COUNTED)
-            rare = Counter(zip(text_of[far].tolist(), [words[i] for i in far.tolist()], (target[far] - SINGLE).tolist(), strict=True))
-            offsets = np.r_[0, np.cumsum(np.bincount(np.array([k[0] for k in rare], np.int64), minlength=len(length)))].astype(np.int32)
+            text_of = np.repeat(np.arange(len(length)), length)[far]
+            own = words.take(pa.array(far - text_of)).dictionary_encode()  # a text's words come behind as many ends
+            _, first, times = np.unique(text_of * len(own.dictionary) + own.indices.to_numpy(), return_index=True, return_counts=True)
+            offsets = np.r_[0, np.cumsum(np.bincount(text_of[first], minlength=len(length)))].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
-                [pa.array([k[1] for k in rare], pa.binary()), pa.array(list(rare.values()), pa.int32()),
-                 pa.array([k[2] for k in rare], pa.int32())], ["word", "times", "shared"]))
+                [own.dictionary.take(own.indices.take(pa.array(first))), pa.array(times, pa.int32()),
+                 pa.array(target[far[first]] - SINGLE, pa.int32())], ["word", "times", "shared"]))
             names = (task << 33) + number + np.arange(len(length))
             number += len(length)
             yield pa.RecordBatch.from_arrays(
