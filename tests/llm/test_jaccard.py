@@ -119,3 +119,42 @@ def test_blocks_compare_every_pair_of_a_group(spark, monkeypatch):
         rows.append((2 * i + 1, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in jaccard.drop_similar(docs).collect()) == slow(rows) == list(range(0, 40, 2))
+
+
+def test_a_task_remembers_few_words():
+    words, held = jaccard._Words(), 0
+    for i in range(300_000):
+        words[b"word %d" % i]
+        held = max(held, len(words))
+    assert held <= 1 << 17
+
+
+def test_the_stage_splits_texts_once_and_verifies_links_with_stars(spark, monkeypatch):
+    """Links of fingerprints are verified in one go with the pairs of prefixes; a group of two nodes is not compared again."""
+    import corpus_pipeline
+    from tidemark.llm import simhash
+    verified = []
+    real, within = jaccard._verified, jaccard._within
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: verified.append(pairs.count()) or real(pairs, *rest))
+    monkeypatch.setattr(jaccard, "_common", lambda rows: np.zeros(0, np.uint64))
+    monkeypatch.setattr(simhash, "fingerprints", None)
+    cells = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            cells.add(batch.num_rows)
+            yield from within(iter([batch]))
+
+    monkeypatch.setattr(jaccard, "_within", counted)
+    rng = random.Random(4)
+    rows = []
+    for i in range(8):  # pairs that share a prefix, and are not similar
+        shared = [f"{i}s{k}" for k in range(60)]
+        rows += [(2 * i + j, " ".join(shared + [f"{i}x{j}x{k}" for k in range(60)])) for j in range(2)]
+    words = [f"w{rng.randrange(500)}" for _ in range(200)]
+    rows += [(100, " ".join(words)), (101, " ".join([*words[:-1], "other"]))]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == slow(rows) == [*range(16), 100]
+    assert len(verified) == 2 and verified[0] >= 1
+    assert cells.value == 0

@@ -39,7 +39,10 @@ BLOCK = 1 << 15
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority bits of the words' shingle hashes, as an unsigned integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return majority((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
+
+
+def majority(words: list[bytes], shingle: int) -> int:
     if not words:
         return 0
     if len(words) <= shingle:
@@ -152,15 +155,14 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 
 
 def suspects(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) rids spanning every group of rows linked within the radius: a row hangs on the first row of its fingerprint,
-    first rows hang on one another as their fingerprints' ``links`` do."""
-    firsts = written(prints.groupBy("fp").agg(F.min("rid").alias("first")), "firsts")
-    same = prints.select("rid", "fp").join(firsts, "fp").where("rid <> first").select(
-        F.col("rid").alias("a"), F.col("first").alias("b"))
+    """(a, b) names spanning every group of (name, fp) linked within the radius: a name hangs on the first one of its
+    fingerprint, first ones hang on one another as their fingerprints' ``links`` do."""
+    firsts = written(prints.groupBy("fp").agg(F.min("name").alias("first")), "firsts")
+    same = prints.join(firsts, "fp").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b"))
     a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in ("a", "b"))
     linked = links(prints, radius, bucket).distinct().join(a, "a").join(b, "b").select(
         F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    return same.unionAll(linked).distinct()
+    return same.unionAll(linked)
 
 
 def grouped(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
